@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: A word is a run of characters other than these.
 SPACE = " \t\n\x0b\x0c\r"
@@ -15,6 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under spark.checkpoint.dir, or under a temporary folder where that is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder that spark.checkpoint.dir names."""
     spark = df.sparkSession
@@ -39,3 +47,22 @@ def with_text_key(df: DataFrame, text: str = "text") -> DataFrame:
 def let(value, body):
     """body(value) with value evaluated once per row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def rank_within(df: DataFrame, keys: list[str], order: list[str], name: str, rows: int, per_bucket: int = 200_000) -> DataFrame:
+    """Adds ``name``: 0, 1, ... within each key, without gathering a key's rows in one task.
+
+    The rows of a key are dealt over buckets by a hash of ``order``, counted
+    per bucket, and ranked inside their bucket. ``rows``: how many df has.
+    """
+    buckets = max(16, -(-rows // per_bucket))
+    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    counts = dealt.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
+    before = counts.select(*keys, "_bucket", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_bucket")) - F.col("_n")).alias("_before"))
+    own = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    return (
+        dealt.withColumn("_own", F.row_number().over(own) - 1)
+        .join(before, [*keys, "_bucket"])
+        .withColumn(name, (F.col("_own") + F.col("_before")).cast("long"))
+        .drop("_bucket", "_own", "_before")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_folder, table
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,7 +18,42 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import packing
+
+    return packing.best_fit_packing(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")).drop("ids")
+
+
+def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import sharding
+
+    rows = sharding.vector_shards(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "tokens"
+    )
+
+
+def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one inserted batch, sent twice; the second time changes nothing."""
+    from . import token_counts as tc
+
+    counts = tc.count_tokens(table(spark, sf_dir, "documents"), {"words-1": tc.words, "word_bpe_49k-1": tc.vocabulary(tokenizer_file("word_bpe_49k.json"))})
+    rollup = tc.Rollup(spark, shared_folder(spark, "rollup"))
+    for _ in range(2):
+        rollup.commit("documents", tc.signed(counts, 1))
+    return rollup.totals()
+
+
 QUERIES = {
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_vector_sharding": op8_vector_sharding,
+    "op10_token_rollup": op10_token_rollup,
     "op9_quality_rules": op9_quality_rules,
 }
 
