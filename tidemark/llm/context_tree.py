@@ -8,6 +8,10 @@ import numpy as np
 
 #: What ends a text, and what stands before its first byte; words never hold it.
 END = 10
+#: Decisions whose trees are weighted at once.
+BLOCK = 32
+#: So many contexts fit the automaton's 16-bit states.
+MAX_CONTEXTS = 1 << 16
 
 
 def grams(data: np.ndarray, depth: int) -> np.ndarray:
@@ -19,9 +23,6 @@ def grams(data: np.ndarray, depth: int) -> np.ndarray:
     return code
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-
-
 def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of a zeros and b ones."""
     top = 4096
@@ -44,8 +45,8 @@ class ContextTree:
 
     ctx_depth, ctx_code: the contexts kept; with a context its suffix without
     the oldest byte and its prefix without the newest must be kept. They are
-    sorted by depth, then code, the empty context first. counts: for each
-    context, how often each byte followed.
+    sorted by depth, then code, the empty context first. at, byte, count: how
+    often a byte followed the context with that index.
 
     A byte is eight binary decisions; each has its own tree, whose node at a
     context holds zeros and ones counted there. Bottom up, a node's weighted
@@ -55,53 +56,26 @@ class ContextTree:
     the prediction of the next bit; a context without longer ones is a leaf.
     """
 
-    def __init__(self, ctx_depth: np.ndarray, ctx_code: np.ndarray, counts: np.ndarray):
+    def __init__(self, ctx_depth: np.ndarray, ctx_code: np.ndarray, at: np.ndarray, byte: np.ndarray, count: np.ndarray):
         n = len(ctx_depth)
         index = {(int(d), int(c)): i for i, (d, c) in enumerate(zip(ctx_depth, ctx_code, strict=True))}
         parent = np.array([index[d - 1, c & ((1 << 8 * (d - 1)) - 1)] if d else 0 for d, c in index], np.int64)
-        zeros, ones = np.zeros((n, 256), np.int64), np.zeros((n, 256), np.int64)
-        level = counts.astype(np.int64)
-        for bit in range(7, -1, -1):  # node 1 decides the first bit; node m has the nodes 2m and 2m + 1 below
-            pairs = level.reshape(n, -1, 2)
-            zeros[:, 1 << bit : 2 << bit], ones[:, 1 << bit : 2 << bit] = pairs[:, :, 0], pairs[:, :, 1]
-            level = pairs.sum(axis=2)
-        weight = np.zeros((n, 256), np.float32)
-        below = np.zeros((n, 256))  # ln of the product over longer contexts
-        rest0, rest1 = zeros.copy(), ones.copy()
         has = np.zeros(n, bool)
         has[parent[1:]] = True
-        np.subtract.at(rest0, parent[1:], zeros[1:])
-        np.subtract.at(rest1, parent[1:], ones[1:])
-        deepest = int(ctx_depth.max())
-        for d in range(deepest, -1, -1):
-            at = np.flatnonzero(ctx_depth == d)
-            kt = _log_kt(zeros[at], ones[at])
-            split = below[at] + _log_kt(np.maximum(rest0[at], 0), np.maximum(rest1[at], 0))
-            mixed = np.where(has[at][:, None], np.logaddexp(kt, split) - math.log(2), kt)
-            weight[at] = np.where(has[at][:, None], np.exp(kt - math.log(2) - mixed), 1.0)
-            if d:
-                np.add.at(below, parent[at], mixed)
-        del below, rest0, rest1
-        # The prediction at a context: what shallower depths add, and the share they leave to it.
-        one = ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32)
-        del zeros, ones
-        added, share = np.zeros((n, 256), np.float32), np.ones((n, 256), np.float32)
-        for d in range(1, deepest + 1):
-            at = np.flatnonzero(ctx_depth == d)
-            up = parent[at]
-            added[at] = added[up] + share[up] * weight[up] * one[up]
-            share[at] = share[up] * (1 - weight[up])
-        p = np.clip(added + share * one, 1e-7, 1 - 1e-7)
-        del added, share, one, weight
-        log1, log0 = np.log10(p), np.log10(1 - p)
+        levels = [np.flatnonzero(ctx_depth == d) for d in range(int(ctx_depth.max()) + 1)]
         self.log10 = np.zeros((n, 256), np.float32)
         symbols = np.arange(256)
-        for bit in range(8):
-            node = (1 << bit) | (symbols >> (8 - bit))
-            self.log10 += np.where((symbols >> (7 - bit)) & 1, log1[:, node], log0[:, node])
+        for first in range(0, 256, BLOCK):  # the trees of different decisions are independent
+            one = self._predict(first, n, parent, has, levels, at, byte, count)
+            for bit in range(8):
+                node = (1 << bit) | (symbols >> (8 - bit))
+                here = np.flatnonzero((node >= first) & (node < first + BLOCK))
+                if len(here):
+                    p = one[:, node[here] - first]
+                    self.log10[:, here] += np.log10(np.where((symbols[here] >> (7 - bit)) & 1, p, 1 - p))
         # The automaton: the longest context kept after one more byte.
-        self.depth = deepest
-        self.next = np.zeros((n, 256), np.int32)
+        self.depth = len(levels) - 1
+        self.next = np.zeros((n, 256), np.uint16)
         longer: dict[int, list[tuple[int, int]]] = {}
         for (d, c), i in index.items():
             if d:
@@ -112,6 +86,38 @@ class ContextTree:
             for byte, to in longer.get(i, ()):
                 self.next[i, byte] = to
 
+    @staticmethod
+    def _predict(first: int, n: int, parent: np.ndarray, has: np.ndarray, levels: list[np.ndarray], at: np.ndarray, byte: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """The probability of a one at decisions first, first + 1, ... for every context, mixed over all its depths."""
+        zeros, ones = np.zeros((n, BLOCK)), np.zeros((n, BLOCK))
+        for bit in range(8):  # decision 1 is the first bit; below decision m are 2m and 2m + 1
+            node = (1 << bit) | (byte >> (8 - bit))
+            mine = (node >= first) & (node < first + BLOCK)
+            if mine.any():
+                place, high = at[mine] * BLOCK + node[mine] - first, (byte[mine] >> (7 - bit)) & 1
+                zeros += np.bincount(place, weights=count[mine] * (1 - high), minlength=n * BLOCK).reshape(n, BLOCK)
+                ones += np.bincount(place, weights=count[mine] * high, minlength=n * BLOCK).reshape(n, BLOCK)
+        weight = np.ones((n, BLOCK), np.float32)
+        below, rest0, rest1 = np.zeros((n, BLOCK)), zeros.copy(), ones.copy()
+        np.subtract.at(rest0, parent[1:], zeros[1:])
+        np.subtract.at(rest1, parent[1:], ones[1:])
+        for d in range(len(levels) - 1, -1, -1):
+            own = levels[d]
+            kt, inner = _log_kt(zeros[own], ones[own]), has[own][:, None]
+            split = below[own] + _log_kt(np.maximum(rest0[own], 0), np.maximum(rest1[own], 0))
+            mixed = np.where(inner, np.logaddexp(kt, split) - math.log(2), kt)
+            weight[own] = np.where(inner, np.exp(kt - math.log(2) - mixed), 1.0)
+            if d:
+                np.add.at(below, parent[own], mixed)
+        # What shallower depths add to the prediction at a context, and the share that they leave to it.
+        one = (ones + 0.5) / (zeros + ones + 1.0)
+        added, share = np.zeros((n, BLOCK)), np.ones((n, BLOCK))
+        for own in levels[1:]:
+            up = parent[own]
+            added[own] = added[up] + share[up] * weight[up] * one[up]
+            share[own] = share[up] * (1 - weight[up])
+        return np.clip(added + share * one, 1e-9, 1 - 1e-9)
+
     def score(self, texts: list[bytes], chunk: int = 1024) -> np.ndarray:
         """log10 of the probability of each text and its end. Texts are cut into chunks that advance side by side."""
         depth = self.depth
@@ -129,12 +135,12 @@ class ContextTree:
             length = np.array([len(parts[i]) for i in mine])
             width = int(length[0])
             block = np.frombuffer(b"".join(parts[i].ljust(width, b"\0") for i in mine), np.uint8).reshape(len(mine), width).T.copy()
-            state, total = np.zeros(len(mine), np.int32), np.zeros(len(mine))
+            state, total = np.zeros(len(mine), np.uint16), np.zeros(len(mine))
             live = np.searchsorted(-length, -np.arange(width), side="left")  # how many chunks are longer than t
             flat_log, flat_next = self.log10.ravel(), self.next.ravel()
             for t in range(width):
                 m = live[t]
-                at = state[:m] * 256 + block[t, :m]
+                at = state[:m].astype(np.int64) * 256 + block[t, :m]
                 if t >= depth:
                     total[:m] += flat_log[at]
                 state[:m] = flat_next[at]

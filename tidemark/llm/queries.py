@@ -24,6 +24,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lm_scoring
+
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import packing
 
@@ -51,6 +57,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_lm_scoring": op4_lm_scoring,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_vector_sharding": op8_vector_sharding,
     "op10_token_rollup": op10_token_rollup,
