@@ -24,6 +24,12 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import near_duplicates
+
+    return near_duplicates.jaccard_join(table(spark, sf_dir, "documents")).drop("k1", "k2")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import decontaminate
 
@@ -75,6 +81,7 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op6_html_extraction": op6_html_extraction,
     "op5_language_id": op5_language_id,
