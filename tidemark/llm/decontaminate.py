@@ -180,7 +180,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"), text.alias("text"))
     found = rows.mapInArrow(task, "doc long, t1 long, t2 long, size int, hash long, doc_at int, word_at int, doc_slots array<string>") if sizes else None
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_matched int, n_windows int, share double, shift int, first_word int, last_word int").withColumnRenamed("doc_id", key)
+        return docs.sparkSession.createDataFrame([], f"{key} long, item_id long, n_matched int, n_windows int, share double, shift int, first_word int, last_word int" + ("" if key == "doc_id" else ", t1 long, t2 long"))
     joined = found.join(items, ["hash", "size"]).withColumn("shift", F.col("doc_at") - F.col("item_at"))
     kind = lambda x: F.when(x.rlike("^[123]="), F.substring(x, 1, 2)).otherwise(x)
     same = F.transform("doc_slots", kind) == F.transform("item_slots", kind)  # not only the hashes
@@ -209,6 +209,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that no item contaminates; all columns stay."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    tagged = docs.withColumns({"_t1": F.xxhash64(text), "_t2": F.xxhash64(F.lit("second"), text)})
-    found = matches(docs.select("text").withColumn("_one", F.lit(0).cast("long")), benchmark, key="_one").select(F.col("t1").alias("_t1"), F.col("t2").alias("_t2")).distinct()
-    return tagged.join(found, ["_t1", "_t2"], "left_anti").select(*docs.columns)
+    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit("second"), text).alias("t2"))
+    found = matches(docs.select("text", F.lit(0).cast("long").alias("one")), benchmark, key="one").select("t1", "t2").distinct()
+    return tagged.join(found, ["t1", "t2"], "left_anti").select("row.*")

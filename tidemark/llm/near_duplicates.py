@@ -36,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import durable, require, with_text_key
 from .hashing import Stretches, mix, word_bounds
@@ -200,7 +201,11 @@ def _node(k1: Column, k2: Column) -> Column:
 
 
 def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, k1, k2, n_copies of every row; class_id is shared by all that links connect."""
+    """doc_id, class_id, n_links, n_copies, k1, k2, class_key of every row.
+
+    class_id and class_key are shared by all that links connect; class_key is
+    null for texts without words, and stands for the class where ids are null.
+    """
     require(docs, "doc_id", "text")
     rows = with_text_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     rows = rows.withColumn("has_words", F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)))
@@ -249,7 +254,7 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     ids = texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"))
     ids = durable(ids.join(links, ["k1", "k2"], "left").withColumn("node", _node(F.col("k1"), F.col("k2"))).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     classes = ids.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    known = ids.join(classes, "component").select("k1", "k2", "class_id", "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.lit(True).alias("has_words"))
+    known = ids.join(classes, "component").select("k1", "k2", "class_id", F.col("component").alias("class_key"), "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.lit(True).alias("has_words"))
     return rows.select("doc_id", "k1", "k2", "has_words").join(known, ["k1", "k2", "has_words"], "left").select(
         "doc_id",
         F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -257,18 +262,17 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"),
         "k1",
         "k2",
+        "class_key",
     )
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns: the least doc_id's; texts without words all stay."""
-    from pyspark.sql.window import Window
-
-    classes = jaccard_join(docs).filter("n_links > 0").select("k1", "k2", F.col("class_id").alias("_class")).distinct()
-    keyed = with_text_key(docs)
-    marked = keyed.join(classes, ["k1", "k2"], "left")
-    # Among the rows of a class only those with its least doc_id can stay; a window over them alone settles repeated rows.
-    first = marked.filter(F.col("_class").isNull() | F.col("doc_id").eqNullSafe(F.col("_class")))
-    alone = first.filter("_class is null")
-    tied = first.filter("_class is not null").withColumn("_rank", F.row_number().over(Window.partitionBy("_class").orderBy("k1", "k2")))
-    return alone.select(*docs.columns).unionByName(tied.filter("_rank = 1").select(*docs.columns))
+    classes = jaccard_join(docs).filter("n_links > 0").select("k1", "k2", "class_id", "class_key").distinct()
+    rows = with_text_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    marked = rows.drop("text").join(classes, ["k1", "k2"], "left")
+    # Of a class only rows with its least doc_id can stay; a window over these few settles repeated rows.
+    alone = marked.filter("class_key is null")
+    tied = marked.filter(F.col("class_key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
+    first = tied.withColumn("rank", F.row_number().over(Window.partitionBy("class_key").orderBy("k1", "k2"))).filter("rank = 1")
+    return alone.select("row").unionByName(first.select("row")).select("row.*")

@@ -154,6 +154,12 @@ def apply_policy(entries: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     return entries.withColumns({"policy": F.lit(policy), "kept": F.col("fail_bits").bitwiseAND(F.lit(mask(policy))) == 0})
 
 
+def keep(docs: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
+    """The rows of docs that the policy keeps; all columns stay."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return apply_policy(ledger(rows), policy).filter("kept").select("row.*")
+
+
 def ablation(entries: DataFrame, policy: str = DEFAULT_POLICY) -> DataFrame:
     """One row per rule of the policy: documents it fails, fails alone, and that stay if the rule is dropped.
 

@@ -27,7 +27,7 @@ def tokenizer_file(name: str) -> str:
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import near_duplicates
 
-    return near_duplicates.jaccard_join(table(spark, sf_dir, "documents")).drop("k1", "k2")
+    return near_duplicates.jaccard_join(table(spark, sf_dir, "documents")).drop("k1", "k2", "class_key")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,6 +36,13 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import repeats
+
+    cut = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lm_scoring
 
@@ -80,7 +87,15 @@ def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op6_html_extraction": op6_html_extraction,
