@@ -412,3 +412,60 @@ def vtt_time(spark, sf_dir):
 def path_join(spark, sf_dir):
     relative = F.element_at(F.array(*map(F.lit, ("a/b.ts", "../up.ts", "/root.m3u8", "./here.ts", "https://cdn.example.org/x.ts"))), (F.col("page_id") % 5 + 1).cast("int"))
     return _table(spark, sf_dir, "pages").select("page_id", text.join_paths("url", relative).alias("path"))
+
+
+@query()
+def stream_append(spark, sf_dir):
+    """Segments from a stream of packets, run to the end of what is there; the same as in one batch."""
+    import tempfile
+    import uuid
+
+    from .streaming import live
+
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    folder = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = packets(spark, sf_dir).select("track", "seq", "us", "bytes", "key")
+    rows.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema("track long, seq long, us long, bytes long, key boolean").parquet(f"{folder}/in")
+    live.write_progressively(live.segment_stream(stream, 24 * SLOT), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema(live.SEGMENT_OUT).parquet(f"{folder}/out")
+
+
+@query("""SELECT p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN 'key' ELSE 'delta' END AS type, CASE WHEN p_size % 4 IN (1, 3) THEN p_size * 10 ELSE p_size * 16 END AS display_width, CASE WHEN p_size % 4 IN (1, 3) THEN p_size * 16 ELSE p_size * 10 END AS display_height FROM part""")
+def display_size(spark, sf_dir):
+    w, h = tracks.display_size(F.col("p_size") % 4 * 90, F.col("p_size") * 16, F.col("p_size") * 10)
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), F.when(F.col("p_size") % 3 == 0, "key").otherwise("delta").alias("type"), w.alias("display_width"), h.alias("display_height"))
+
+
+@query("""SELECT n_nationkey AS nation, CASE WHEN regexp_full_match(lower(n_name[1:3]), '[a-z]{3}') THEN lower(n_name[1:3]) ELSE 'und' END AS language FROM nation""")
+def language_code(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), text.language_code(F.concat(F.substring("n_name", 1, 3), F.lit("-XX"))).alias("language"))
+
+
+@query(f"""WITH {P} SELECT kind, string_agg(track::VARCHAR, ', ' ORDER BY track) AS tracks FROM (SELECT DISTINCT kind, track FROM p) GROUP BY kind""")
+def mime_parameters(spark, sf_dir):
+    rows = packets(spark, sf_dir).select("kind", "track").distinct()
+    return rows.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("track")), lambda x: x.cast("string")), ", ").alias("tracks"))
+
+
+@query(f"""WITH {P} SELECT CASE WHEN max(e) IS NULL THEN 0 ELSE greatest(0.0, least(1.0, min(e)::DOUBLE / 1800000000000000.0::DOUBLE)) END AS progress FROM (SELECT track, max(us + dur) AS e FROM p GROUP BY track)""")
+def progress(spark, sf_dir):
+    return stats.progress(packets(spark, sf_dir), TRACK, 1_800_000_000_000_000)
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: greatest(least(floor(x::DOUBLE * 32767 + 0.5), 32767), -32768)::BIGINT::DOUBLE / 32768.0::DOUBLE) AS samples FROM embeddings")
+def pcm_round_trip(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select("vec_id", audio.normalise(audio.quantise(F.col("embedding"), "s16"), "s16").alias("samples"))
+
+
+@query("""SELECT o_orderkey AS file, l_linenumber::BIGINT AS track, CASE WHEN l_returnflag = 'R' THEN 'copy' ELSE 'transcode' END AS action FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+def conversion_plan(spark, sf_dir):
+    """Line items as video tracks: returned ones are in the target's codec, the others must be transcoded."""
+    from .plans import conversion
+
+    rows = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+        F.col("o_orderkey").alias("file_id"), F.col("l_linenumber").cast("long").alias("track_id"), F.lit("video").alias("type"), F.when(F.col("l_returnflag") == "R", "vp9").otherwise("avc").alias("codec"), F.col("l_linenumber").alias("ordinal"), F.lit(0).alias("rotation"), F.lit(640).alias("coded_width"), F.lit(480).alias("coded_height")
+    )
+    options = spark.createDataFrame([("video", 0, False, None, None, None, False)], "type string, option int, discard boolean, target_codec string, width int, height int, force boolean")
+    plan = conversion.plan(rows, options, "webm")
+    return plan.select(F.col("file_id").alias("file"), F.col("track_id").alias("track"), "action")
