@@ -469,3 +469,39 @@ def conversion_plan(spark, sf_dir):
     options = spark.createDataFrame([("video", 0, False, None, None, None, False)], "type string, option int, discard boolean, target_codec string, width int, height int, force boolean")
     plan = conversion.plan(rows, options, "webm")
     return plan.select(F.col("file_id").alias("file"), F.col("track_id").alias("track"), "action")
+
+
+@query("""SELECT p_partkey AS part, CAST(ceil(3000000.0::DOUBLE * pow((p_size * 16 * p_size * 9)::DOUBLE / 2073600.0::DOUBLE, 0.95::DOUBLE) * (CASE p_size % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.6 ELSE 0.4 END)::DOUBLE * (0.3::DOUBLE * exp(2.5538::DOUBLE * 0.5::DOUBLE)) / 1000) * 1000 AS BIGINT) AS bitrate,
+  CASE p_size % 3 WHEN 0 THEN 29 WHEN 1 THEN 36 ELSE 144 END AS quantiser FROM part""")
+def quality_bitrate(spark, sf_dir):
+    from .functions import encoding
+
+    codec = F.element_at(F.array(F.lit("avc"), F.lit("vp9"), F.lit("av1")), (F.col("p_size") % 3 + 1).cast("int"))
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("part"), "p_size", codec.alias("codec"))
+    return rows.select("part", encoding.video_bitrate(F.col("codec"), F.col("p_size") * 16, F.col("p_size") * 9, F.lit(0.5)).alias("bitrate"), encoding.quantiser(F.col("codec"), F.lit(0.5)).alias("quantiser"))
+
+
+@query("""SELECT s_suppkey AS part, (s_suppkey % 9 + 1) // gcd(s_suppkey % 9 + 1, s_suppkey % 12 + 1) AS num, (s_suppkey % 12 + 1) // gcd(s_suppkey % 9 + 1, s_suppkey % 12 + 1) AS den FROM supplier""")
+def pixel_aspect_ratio(spark, sf_dir):
+    from .functions import bitstream
+
+    ratio = bitstream.pixel_aspect_ratio(F.col("s_suppkey") % 9 + 1, F.lit(1), F.col("s_suppkey") % 12 + 1, F.lit(1))
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("part"), ratio.alias("r")).select("part", "r.num", "r.den")
+
+
+@query("SELECT vec_id, md5(string_agg(v::VARCHAR, ',' ORDER BY i)) AS digest FROM (SELECT vec_id, unnest(range(0, len(embedding))) AS i, unnest(list_transform(embedding, lambda x: greatest(least(floor(x::DOUBLE * 32767 + 0.5), 32767), -32768)::BIGINT)) AS v FROM embeddings) GROUP BY vec_id")
+def pcm_digest(spark, sf_dir):
+    s16 = audio.quantise(F.col("embedding"), "s16")
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.md5(F.array_join(F.transform(s16, lambda x: x.cast("string")), ",").cast("binary")).alias("digest"))
+
+
+@query(f"""WITH {P} SELECT track, seq, us - us % {SLOT} AS floored, (us + {SLOT // 2}) // {SLOT} * {SLOT} AS rounded FROM p""")
+def round_to_multiple(spark, sf_dir):
+    whole = lambda c: (F.floor(c / SLOT).cast("long") * SLOT).cast("long")
+    return packets(spark, sf_dir).select("track", "seq", whole(F.col("us")).alias("floored"), whole(F.col("us") + SLOT // 2).alias("rounded"))
+
+
+@query("""SELECT conv_id, count(*) AS cues, '00:00:' || lpad(max(turn)::VARCHAR, 2, '0') || '.000' AS last_start FROM conversations WHERE turn < 60 GROUP BY conv_id""")
+def cue_times(spark, sf_dir):
+    rows = _table(spark, sf_dir, "conversations").filter("turn < 60").groupBy("conv_id").agg(F.count("*").alias("cues"), F.max("turn").alias("t"))
+    return rows.select("conv_id", "cues", text.format_subtitle_time(F.col("t") * 1000).alias("last_start"))
