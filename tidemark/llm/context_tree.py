@@ -9,9 +9,9 @@ import numpy as np
 #: What ends a text, and what stands before its first byte; words never hold it.
 END = 10
 #: Decisions whose trees are weighted at once.
-BLOCK = 32
+BLOCK = 8
 #: So many contexts fit the automaton's 16-bit states.
-MAX_CONTEXTS = 1 << 16
+MAX_CONTEXTS = 1 << 15
 
 
 def grams(data: np.ndarray, depth: int) -> np.ndarray:

@@ -7,7 +7,7 @@ length per byte is -score / log10(2) / n_bytes. See ``context_tree``.
 Counting covers every training text: each task sums the codes of all bytes
 with the DEPTH bytes before them, and the 64-bit hashes of all tokens; both are
 added up by a shuffle. The tree keeps the most frequent contexts of any depth,
-at most MAX_CONTEXTS, so what is sent to every task has a fixed bound (96 MB).
+at most MAX_CONTEXTS, so what is sent to every task has a fixed bound (48 MB).
 Token counts have no bound: the most frequent ones, HOT at most, are sent to
 every task, and a text's other tokens are joined with the counts by a shuffle.
 
