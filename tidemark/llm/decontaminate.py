@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require
+from .common import durable, require
 from .hashing import mix
 
 WINDOW = 8
@@ -55,35 +55,34 @@ class Words:
 
     def forget(self) -> None:
         self.index: dict[str, int] = {}
-        self.hash: list[int] = []
-        self.kind: list[int] = []
-        self.capital: list[bool] = []
-        self.ends: list[bool] = []
-        self.size = 0
-        self.arrays: tuple[np.ndarray, ...] = ()
+        self.room = 1 << 16
+        self.hash, self.kind = np.zeros(self.room, np.uint64), np.zeros(self.room, np.int8)
+        self.capital, self.ends = np.zeros(self.room, bool), np.zeros(self.room, bool)
 
     def add(self, word: str) -> int:
         bare = word.strip(EDGE)
         low = bare.lower()
         kind = NUMBER if any(c.isdigit() for c in low) else UNIT if low in UNITS else LITERAL
-        self.index[word] = i = len(self.hash)
-        self.hash.append(_literal(low) if low else 0)
-        self.kind.append(kind if low else -1)
-        self.capital.append(bare[:1].isupper() and not bare.isupper() or len(bare) > 1 and bare.isupper())
-        self.ends.append(word.rstrip("\"'’”»)]*#$%&|")[-1:] in (".", "!", "?", ":", "…"))
+        self.index[word] = i = len(self.index)
+        if i == self.room:
+            self.room *= 2
+            self.hash, self.kind, self.capital, self.ends = (np.concatenate([a, np.zeros_like(a)]) for a in (self.hash, self.kind, self.capital, self.ends))
+        self.hash[i] = _literal(low) if low else 0
+        self.kind[i] = kind if low else -1
+        self.capital[i] = bare[:1].isupper()
+        self.ends[i] = word.rstrip("\"'’”»)]*#$%&|")[-1:] in (".", "!", "?", ":", "…")
         return i
 
     def of(self, words: list[str]) -> tuple[np.ndarray, ...]:
         """Hashes, kinds and places of the tokens; words without a letter or digit are none."""
-        if len(self.hash) > CACHE_WORDS:
+        if not words:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64)
+        if len(self.index) > CACHE_WORDS:
             self.forget()
         get, add = self.index.get, self.add
         found = np.array([i if (i := get(w)) is not None else add(w) for w in words], np.int64)
-        if self.size != len(self.hash):
-            self.size = len(self.hash)
-            self.arrays = np.array(self.hash, np.uint64), np.array(self.kind, np.int8), np.array(self.capital, bool), np.array(self.ends, bool)
-        h, k, capital, ends = (a[found] for a in self.arrays)
-        inside = np.concatenate([[False], ~ends[:-1]]) if len(found) else np.zeros(0, bool)
+        h, k, capital, ends = (a[found] for a in (self.hash, self.kind, self.capital, self.ends))
+        inside = np.concatenate([[False], ~ends[:-1]])
         k = np.where((k == LITERAL) & capital & inside, NAME, k)
         for kind, slot in SLOTS.items():
             h = np.where(k == kind, slot, h)
@@ -186,6 +185,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share:
     same = F.transform("doc_slots", kind) == F.transform("item_slots", kind)  # not only the hashes
     pairs = F.filter(F.arrays_zip("item_slots", "doc_slots"), lambda p: p["item_slots"].rlike("^[123]="))
     joined = joined.filter(same).select("doc", "t1", "t2", "item_row", "item_id", "n_windows", "shift", "item_at", "word_at", "size", pairs.alias("pairs")).distinct()
+    joined = durable(joined)  # it is read three times; the documents only once
     place = ["doc", "t1", "t2", "item_row", "shift"]
     # A slot value of either side that goes with two values of the other is inconsistent.
     slots = joined.filter(F.size("pairs") > 0).select(*place, F.explode("pairs").alias("p")).distinct()
