@@ -175,23 +175,36 @@ def least_of(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([find(i) for i in range(count)])
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """node, component of every node that edges (a, b: structs or longs that sort) connect; the component is its least node.
-
-    Every round a node takes the least label among its neighbours' and its
-    own, then its label's label, so paths halve. Partial aggregation keeps a
-    node with very many neighbours from being gathered in one task.
+def components(edges: DataFrame, most: int = 60) -> DataFrame:
+    """node, component of every node that edges (a, b) connect; the component is its least node.
+
+    Every round each node is merged into the first node, in some order, among
+    its neighbours and itself; edges between merged nodes are relabelled, and
+    loops and repeats of them go, so later rounds are small. The order is that
+    of the nodes in the first rounds, which collapses stars at once, then a
+    hash that differs from round to round, which halves long chains too.
+    Partial aggregation keeps a node with very many neighbours from being
+    gathered in one task.
     """
-    both = durable(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter(F.col("a") != F.col("b")).distinct())
-    labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
-    for _ in range(most):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        jump = labels.select(F.col("node").alias("new"), F.col("label").alias("further"))
-        after = durable(step.join(jump, "new", "left").select("node", F.least("new", F.coalesce("further", "new")).alias("label"), (F.least("new", F.coalesce("further", "new")) != F.col("label")).alias("moved")))
-        labels = after.select("node", "label")
-        if after.filter("moved").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+    least, greatest = F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")
+    live = durable(edges.filter("a <> b").select(greatest, least).distinct())
+    labels = None
+    for number in range(most):
+        if number < 3:
+            both = live.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("to"))
+            merged = both.unionByName(live.select(F.col("b").alias("node"), F.col("b").alias("to"))).groupBy("node").agg(F.min("to").alias("to"))
+        else:
+            rank = lambda c: F.struct(F.xxhash64(c, F.lit(number)).alias("h"), F.col(c).alias("n"))
+            near = live.select(F.col("a").alias("node"), rank("b").alias("r")).unionByName(live.select(F.col("b").alias("node"), rank("a").alias("r")))
+            near = near.unionByName(near.select("node").distinct().select("node", rank("node").alias("r")))
+            merged = near.groupBy("node").agg(F.min("r").alias("r")).select("node", F.col("r.n").alias("to"))
+        merged = durable(merged)
+        labels = merged if labels is None else durable(labels.join(merged.select(F.col("node").alias("to"), F.col("to").alias("next")), "to", "left").select("node", F.coalesce("next", "to").alias("to")))
+        to_a, to_b = merged.select(F.col("node").alias("a"), F.col("to").alias("x")), merged.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        live = durable(live.join(to_a, "a").join(to_b, "b").filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+        if live.isEmpty():
+            names = labels.groupBy("to").agg(F.min("node").alias("component"))
+            return labels.join(names, "to").select("node", "component")
     raise RuntimeError("components did not settle")
 
 
