@@ -202,7 +202,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
     texts = with_text_key(docs.select(row.alias("row"), text.alias("text"))).select("row", "k1", "k2", "text")
     found = texts.select("k1", "k2", "text").mapInArrow(_find, "ah long, sh long, k1 long, k2 long, se long")
-    twice = found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah")
+    # Written first: a join of two exchanges lets Spark split an anchor that very many texts share.
+    twice = durable(found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))
     places = durable(found.join(twice, "ah").groupBy("ah", "sh", "k1", "k2", "se").agg(F.count("*").alias("n")))
     # first() of several columns takes them from one row.
     distinct = places.groupBy("ah", "sh").agg(F.sum("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("se").alias("se"))
