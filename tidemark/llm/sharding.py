@@ -44,6 +44,23 @@ def place(items: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def level(items: np.ndarray, where: np.ndarray, shards: int, dimension: int = 0) -> np.ndarray:
+    """Moves items from the fullest to the emptiest shard of one dimension while that brings the two closer."""
+    where, load = where.copy(), np.bincount(where, items[:, dimension], shards)
+    for _ in range(64 * shards):
+        a, b = int(np.argmax(load)), int(np.argmin(load))
+        gap, mine = load[a] - load[b], np.flatnonzero(where == a)
+        if not len(mine):
+            break
+        i = mine[np.argmin(np.abs(items[mine, dimension] - gap / 2))]
+        size = items[i, dimension]
+        if not 0 < size < gap:
+            break
+        where[i] = b
+        load[a], load[b] = load[a] - size, load[b] + size
+    return where
+
+
 def vector_shards(docs: DataFrame, shards: int = 16, bundles: int = BUNDLES) -> DataFrame:
     """doc_id, size, tokens, text_crc32, k1, k2, shard, slot of every row; slots are gapless from 0 in each shard."""
     require(docs, "doc_id", "text")
@@ -72,7 +89,8 @@ def vector_shards(docs: DataFrame, shards: int = 16, bundles: int = BUNDLES) ->
     })
     key = ["part", "i1", "i2"]
     found = item.groupBy(*key).agg(*sums).orderBy(*key).collect()  # at most bundles + the heavy parts
-    where = place(np.array([[r[d] for d in DIMENSIONS] for r in found], float).reshape(-1, 3), shards)
+    items = np.array([[r[d] for d in DIMENSIONS] for r in found], float).reshape(-1, 3)
+    where = level(items, place(items, shards), shards)  # bytes are the law; what a group took of rows must not unbalance them
     placed = pa.table({k: pa.array([r[k] for r in found], t) for k, t in (("part", pa.int32()), ("i1", pa.int64()), ("i2", pa.int64()))} | {"shard": pa.array(where, pa.int32())})
     out = item.join(F.broadcast(spark.createDataFrame(placed)), key).drop(*key, "parts")
     return rank_within(out, ["shard"], ["doc_id", "k1", "k2"], "slot", total["one"])
