@@ -144,3 +144,23 @@ def test_vectors_are_sums_of_bound_letters():
     want = sum(np.roll(e.letter(ord(x)).astype(int), 2) * np.roll(e.letter(ord(y)).astype(int), 1) * e.letter(ord(z)) for x, y, z in (" ab", "ab "))
     assert v.tolist() == want.tolist()
     assert e.vector("1 2") is None
+
+
+@pytest.mark.parametrize("hot_grams", [1 << 20, 500, 0])
+def test_scores_are_those_of_the_tree_of_all_contexts(spark, hot_grams):
+    """More contexts than 32,768: rare ones count too, whether grams are sent to the tasks or joined."""
+    texts = [(i, words(i, 150) + (" été Größe" if i % 3 else "")) for i in range(80)] + [(80, None), (81, "Zq0zq " * 40)]
+    held = lambda d: zlib.crc32(str(d).encode()) % 10 == 0
+    plain = {d: lm_scoring.plain(t) for d, t in texts}
+    tree, _, index = tree_of([t for d, t in plain.items() if not held(d)], lm_scoring.DEPTH, most=1 << 30)
+    assert len(index) > 1 << 15 and any(map(held, plain))
+    want = tree.score(list(plain.values()))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs, hot_grams=hot_grams).collect()}
+    assert np.allclose([got[d] for d in plain], want, rtol=1e-5, atol=1e-3)
+
+
+def test_without_training_texts_every_bit_is_a_half(spark):
+    held = next(d for d in range(1000) if zlib.crc32(str(d).encode()) % 10 == 0)
+    row = lm_scoring.score_documents(spark.createDataFrame([(held, "some text")], "doc_id long, text string")).collect()[0]
+    assert row["held_out"] and math.isclose(row["score"], 10 * 8 * math.log10(0.5))

@@ -1,4 +1,4 @@
-"""The context tree of byte contexts: its weights, and its automaton. Plain numpy, no Spark."""
+"""The context tree of byte contexts: its weights, whole in one table or in parts that are put together. Plain numpy, no Spark."""
 
 from __future__ import annotations
 
@@ -10,8 +10,8 @@ import numpy as np
 END = 10
 #: Decisions whose trees are weighted at once.
 BLOCK = 8
-#: So many contexts fit the automaton's 16-bit states.
-MAX_CONTEXTS = 1 << 15
+#: Contexts up to this depth are weighted together; below, each context's subtree is weighted on its own.
+TOP = 2
 
 
 def grams(data: np.ndarray, depth: int) -> np.ndarray:
@@ -40,6 +40,142 @@ def _log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return half(a) + half(b) - fact(a + b)
 
 
+def newest_first(code: np.ndarray, depth: int) -> np.ndarray:
+    """Codes of grams with the context's bytes turned round, so that the contexts with one suffix stand side by side."""
+    out = np.zeros(len(code), np.int64)
+    for i in range(1, depth + 1):
+        out = (out << 8) | ((code >> (8 * i)) & 255)
+    return (out << 8) | (code & 255)
+
+
+def _shorter(rows: np.ndarray) -> np.ndarray:
+    """Codes, newest byte first, without the oldest byte of the context."""
+    return ((rows >> 16) << 8) | (rows & 255)
+
+
+def _nodes(rows: np.ndarray, n: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nodes of the trees of that bit's decisions, of sorted rows: context and the bits so far, zeros and ones."""
+    ids = rows >> (8 - bit)
+    first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]])) if len(ids) else np.zeros(0, np.int64)
+    if not len(ids):
+        return ids, n, n
+    total, ones = np.add.reduceat(n, first), np.add.reduceat(n * ((rows >> (7 - bit)) & 1), first)
+    return ids[first], total - ones, ones
+
+
+def _up(ids: np.ndarray, bit: int, parents: np.ndarray) -> np.ndarray:
+    """Where the node of the same decisions at the shorter context stands."""
+    return np.searchsorted(parents, ((ids >> (bit + 8)) << bit) | (ids & ((1 << bit) - 1)))
+
+
+def _mix(zeros: np.ndarray, ones: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """ln of the weighted probability, and the weight of the node's own estimate; below is None at leaves."""
+    kt = _log_kt(zeros, ones)
+    if below is None:
+        return kt, np.ones(len(kt))
+    mixed = np.logaddexp(kt, below) - math.log(2)
+    return mixed, np.exp(kt - math.log(2) - mixed)
+
+
+class Level:
+    """The nodes of one depth and bit: how they predict what no deeper node sees."""
+
+    def __init__(self, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, weight: np.ndarray, above: Level | None, bit: int):
+        one = (ones + 0.5) / (zeros + ones + 1.0)
+        if above is None:
+            added, share = np.zeros(len(ids)), np.ones(len(ids))
+        else:
+            up = _up(ids, bit, above.ids)
+            added, share = above.passed[up], above.left[up]
+        self.ids = ids
+        self.passed, self.left = added + share * weight * one, share * (1 - weight)
+        #: At the longest known context; and where longer ones are known, but never stood before this decision.
+        self.last, self.deeper = added + share * one, self.passed + self.left * 0.5
+
+
+class Subtrees:
+    """The counts below contexts of depth TOP (all of those that share one), and what they say of grams there.
+
+    The tree holds every context counted, so a node's counts are those of its
+    longer contexts, and nodes without counts neither add to a probability nor
+    need a place. Weighted over 8 bits and all depths the parts give just what
+    ContextTree gives with all contexts.
+    """
+
+    def __init__(self, code: np.ndarray, n: np.ndarray, depth: int):
+        if depth <= TOP:
+            raise ValueError(f"depth must be over {TOP}")
+        self.depth = depth
+        rows = newest_first(code[n > 0], depth)
+        order = np.argsort(rows)
+        self.rows = {depth: (rows[order], n[n > 0][order].astype(float))}
+        for d in range(depth - 1, TOP - 1, -1):
+            longer, count = self.rows[d + 1]
+            short, place = np.unique(_shorter(longer), return_inverse=True)
+            self.rows[d] = short, np.bincount(place, weights=count, minlength=len(short))
+
+    def _weighted(self, bit: int) -> tuple[dict, np.ndarray]:
+        """By depth, ids, zeros, ones and weights; ln of the weighted probabilities at depth TOP."""
+        out, mixed = {}, None
+        for d in range(self.depth, TOP - 1, -1):
+            ids, zeros, ones = _nodes(*self.rows[d], bit)
+            below = None if mixed is None else np.bincount(_up(out[d + 1][0], bit, ids), weights=mixed, minlength=len(ids))
+            mixed, weight = _mix(zeros, ones, below)
+            out[d] = ids, zeros, ones, weight
+        return out, mixed
+
+    def roots(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By bit, what the top of the tree needs: ids, zeros, ones and ln of the weighted probability at depth TOP."""
+        out = []
+        for bit in range(8):
+            nodes, mixed = self._weighted(bit)
+            out.append((*nodes[TOP][:3], mixed))
+        return out
+
+    def log10(self, code: np.ndarray, top: list[list[Level]]) -> np.ndarray:
+        """log10 of the probability of each gram's last byte after the others; the grams stand below these contexts."""
+        asked, out = newest_first(code, self.depth), np.zeros(len(code))
+        known = np.full(len(code), -1)  # the depth of the longest context counted
+        for bit in range(8):
+            nodes, _ = self._weighted(bit)
+            levels = list(top[bit])
+            for d in range(TOP + 1, self.depth + 1):
+                levels.append(Level(*nodes[d], levels[-1], bit))
+            p, open_ = np.full(len(code), 0.5), np.arange(len(code))
+            for d in range(self.depth, -1, -1):
+                context = asked[open_] >> (8 * (self.depth - d + 1))
+                ids, wanted = levels[d].ids, (context << bit) | ((asked[open_] & 255) >> (8 - bit))
+                if not len(ids):
+                    continue
+                i = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+                hit = ids[i] == wanted
+                mine, i = open_[hit], i[hit]
+                if bit == 0:
+                    known[mine] = d  # every context counted has the first decision
+                p[mine] = np.where(known[mine] == d, levels[d].last[i], levels[d].deeper[i])
+                open_ = open_[~hit]
+            p = np.clip(p, 1e-9, 1 - 1e-9)
+            out += np.log10(np.where((code >> (7 - bit)) & 1, p, 1 - p))
+        return out
+
+
+def top_levels(bit: int, ids: np.ndarray, zeros: np.ndarray, ones: np.ndarray, mixed: np.ndarray) -> list[Level]:
+    """The levels of depth 0 to TOP, from the roots of all subtrees."""
+    order = np.argsort(ids)
+    ids, zeros, ones, mixed = ids[order], zeros[order], ones[order], mixed[order]
+    # A root's weight follows from its own estimate and its weighted probability.
+    steps = [(ids, zeros, ones, np.minimum(np.exp(_log_kt(zeros, ones) - math.log(2) - mixed), 1.0))]
+    for _ in range(TOP):
+        short, place = np.unique(((ids >> (bit + 8)) << bit) | (ids & ((1 << bit) - 1)), return_inverse=True)
+        zeros, ones, below = (np.bincount(place, weights=x, minlength=len(short)) for x in (zeros, ones, mixed))
+        ids, (mixed, weight) = short, _mix(zeros, ones, below)
+        steps.append((ids, zeros, ones, weight))
+    levels: list[Level] = []
+    for step in reversed(steps):
+        levels.append(Level(*step, levels[-1] if levels else None, bit))
+    return levels
+
+
 class ContextTree:
     """A weighted context tree over the given contexts, and tables that read it in one step per byte.
 
@@ -75,7 +211,7 @@ class ContextTree:
                     self.log10[:, here] += np.log10(np.where((symbols[here] >> (7 - bit)) & 1, p, 1 - p))
         # The automaton: the longest context kept after one more byte.
         self.depth = len(levels) - 1
-        self.next = np.zeros((n, 256), np.uint16)
+        self.next = np.zeros((n, 256), np.int32)
         longer: dict[int, list[tuple[int, int]]] = {}
         for (d, c), i in index.items():
             if d:
@@ -135,7 +271,7 @@ class ContextTree:
             length = np.array([len(parts[i]) for i in mine])
             width = int(length[0])
             block = np.frombuffer(b"".join(parts[i].ljust(width, b"\0") for i in mine), np.uint8).reshape(len(mine), width).T.copy()
-            state, total = np.zeros(len(mine), np.uint16), np.zeros(len(mine))
+            state, total = np.zeros(len(mine), np.int32), np.zeros(len(mine))
             live = np.searchsorted(-length, -np.arange(width), side="left")  # how many chunks are longer than t
             flat_log, flat_next = self.log10.ravel(), self.next.ravel()
             for t in range(width):

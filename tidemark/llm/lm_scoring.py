@@ -6,10 +6,15 @@ length per byte is -score / log10(2) / n_bytes. See ``context_tree``.
 
 Counting covers every training text: each task sums the codes of all bytes
 with the DEPTH bytes before them, and the 64-bit hashes of all tokens; both are
-added up by a shuffle. The tree keeps the most frequent contexts of any depth,
-at most MAX_CONTEXTS, so what is sent to every task has a fixed bound (48 MB).
-Token counts have no bound: the most frequent ones, HOT at most, are sent to
-every task, and a text's other tokens are joined with the counts by a shuffle.
+added up by a shuffle. The tree holds every context counted. It is weighted in
+parts: the grams are dealt by the two bytes before the last one, each task
+weights the subtrees below its pairs, and the driver only joins the pairs' own
+nodes (at most 2 ** 16 contexts, however large the corpus is). A second pass
+hands each gram of any text, held out or not, the log10 of its probability.
+
+Neither grams nor tokens have a bound: the most frequent ones, HOT_GRAMS and
+HOT at most, are sent to every task, and a text's others are joined with the
+grams' probabilities and the tokens' counts by a shuffle.
 
 Defined cases: a null text is empty, which is the end alone; a null doc_id
 reads as an empty string, whose remainder is 0 (held out); every row is scored,
@@ -27,11 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, require
-from .context_tree import END, MAX_CONTEXTS, ContextTree, grams
+from .context_tree import END, TOP, Level, Subtrees, grams, top_levels
 from .hashing import word_bounds, word_hashes
 
 DEPTH = 5
 HOT = 1 << 19
+HOT_GRAMS = 1 << 20
+#: About so many grams are weighted by a task.
+PART = 250_000
 #: Bytes of text that are counted at once.
 CHUNK = 2_000_000
 GRAM, TOKEN = 0, 1
@@ -59,8 +67,9 @@ class _Sums:
     def __init__(self) -> None:
         self.keys, self.counts, self.waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
-    def add(self, keys: np.ndarray) -> None:
-        self.waiting.append(np.unique(keys, return_counts=True))
+    def add(self, keys: np.ndarray, each: int = 1) -> None:
+        keys, counts = np.unique(keys, return_counts=True)
+        self.waiting.append((keys, counts * each))
         if sum(len(k) for k, _ in self.waiting) > 3_000_000:
             self.settle()
 
@@ -73,32 +82,38 @@ class _Sums:
         self.keys, self.counts, self.waiting = keys[first], np.add.reduceat(counts, first) if len(keys) else counts, []
 
 
-def count(train: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """kind, key, n: how often each gram and each token stands in the texts."""
+def _padded(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with their ends, each after padding; which bytes end a gram (grams may not run from one text into the next)."""
+    pad = bytes([END]) * depth
+    whole = np.frombuffer(b"".join(pad + t + bytes([END]) for t in texts), np.uint8)
+    sizes = np.array([len(t) + 1 + depth for t in texts])
+    inside = np.ones(len(whole), bool)
+    inside[((np.cumsum(sizes) - sizes)[:, None] + np.arange(depth)).ravel()] = False
+    return whole, inside
+
+
+def count(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """kind, key, n: how often each gram and each token stands in the texts that aren't held out. Grams of held-out texts are listed too, if only with 0."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {GRAM: _Sums(), TOKEN: _Sums()}
-        pad = bytes([END]) * depth
-        held: list[bytes] = []
+        held: dict[bool, list[bytes]] = {False: [], True: []}
 
         def flush() -> None:
-            if held:
-                # Each text is preceded by padding, so grams may not run from one text into the next.
-                whole = np.frombuffer(b"".join(pad + t + bytes([END]) for t in held), np.uint8)
-                codes = grams(whole, depth)
-                sizes = np.array([len(t) + 1 + depth for t in held])
-                start = np.cumsum(sizes) - sizes
-                inside = np.ones(len(whole), bool)
-                inside[(start[:, None] + np.arange(depth)).ravel()] = False
-                sums[GRAM].add(codes[inside[depth:]])
-                sums[TOKEN].add(np.concatenate([_hashes(b" ".join(held)), np.full(len(held), END_HASH)]))
-                held.clear()
+            for out, texts in held.items():
+                if texts:
+                    whole, inside = _padded(texts, depth)
+                    sums[GRAM].add(grams(whole, depth)[inside[depth:]], 0 if out else 1)
+                    if not out:
+                        sums[TOKEN].add(np.concatenate([_hashes(b" ".join(texts)), np.full(len(texts), END_HASH)]))
+                    texts.clear()
 
         size = 0
         for batch in batches:
-            for t in batch.column(0):
-                held.append(plain(t.as_py()))
-                size += len(held[-1])
+            for t, out in zip(batch.column(0), batch.column(1), strict=True):
+                text = plain(t.as_py())
+                held[out.as_py()].append(text)
+                size += len(text)
                 if size > CHUNK:
                     flush()
                     size = 0
@@ -109,31 +124,44 @@ def count(train: DataFrame, depth: int = DEPTH) -> DataFrame:
                 k, c = s.keys[at : at + 100_000], s.counts[at : at + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c)], names=["kind", "key", "n"])
 
-    return train.select(F.col("text").cast("string")).mapInArrow(task, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def fit_tree(counts: DataFrame, depth: int = DEPTH, contexts: int = MAX_CONTEXTS) -> ContextTree:
-    """The tree over the most frequent contexts; ties go to the shorter one, so suffixes and prefixes are kept too."""
-    each = counts.filter(F.col("kind") == GRAM).select("key", "n", F.explode(F.array(*map(F.lit, range(depth + 1)))).alias("d"))
-    code = F.when(F.col("d") == 0, F.lit(0)).otherwise(F.shiftright("key", 8).bitwiseAND(F.element_at(F.array(*[F.lit((1 << 8 * d) - 1).cast("long") for d in range(depth + 1)]), F.col("d") + 1)))
-    each = each.select("d", code.cast("long").alias("code"), F.col("key").bitwiseAND(F.lit(255).cast("long")).cast("int").alias("byte"), "n")
-    kept = each.groupBy("d", "code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "d", "code").limit(contexts).select("d", "code").toArrow()
-    d, c = kept.column("d").to_numpy().astype(np.int64), kept.column("code").to_numpy().astype(np.int64)
-    if not len(d):
-        d, c = np.zeros(1, np.int64), np.zeros(1, np.int64)
-    order = np.lexsort((c, d))
-    d, c = d[order], c[order]
-    names = pa.table({"d": pa.array(d, pa.int32()), "code": pa.array(c, pa.int64()), "i": pa.array(np.arange(len(d)), pa.int32())})
-    after = each.join(F.broadcast(counts.sparkSession.createDataFrame(names)), ["d", "code"]).groupBy("i", "byte").agg(F.sum("n").alias("n")).toArrow()
-    at, byte, n = (after.column(x).to_numpy() for x in ("i", "byte", "n"))
-    return ContextTree(d, c, at.astype(np.int64), byte.astype(np.int64), n.astype(float))
-
-
-def hot_tokens(counts: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """Hashes (sorted) and counts of the most frequent tokens, the sum of all counts, and how many tokens there are."""
-    tokens = counts.filter(F.col("kind") == TOKEN)
+    return docs.select(F.col("text").cast("string"), "held_out").mapInArrow(task, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def gram_scores(counts: DataFrame, depth: int = DEPTH, part: int = PART) -> DataFrame:
+    """key, n, log10 of every gram counted: the probability of its last byte after the others, by the tree of all contexts."""
+    sc = counts.sparkSession.sparkContext
+    listed = counts.filter(F.col("kind") == GRAM).select("key", "n")
+    parts = max(12, -(-listed.count() // part))
+    dealt = listed.repartition(parts, F.shiftright("key", 8).bitwiseAND(F.lit((1 << 8 * TOP) - 1).cast("long")))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *(k for k, _ in held)]), np.concatenate([none, *(n for _, n in held)])
+
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bit, (ids, *rest) in enumerate(Subtrees(*read(batches), depth).roots()):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), bit, np.int32)), pa.array(ids), *(pa.array(x.astype(float)) for x in rest)], names=["bit", "id", "zeros", "ones", "mixed"])
+
+    found = dealt.mapInArrow(roots, "bit int, id long, zeros double, ones double, mixed double").toArrow()
+    bits, *columns = (found.column(x).to_numpy() for x in ("bit", "id", "zeros", "ones", "mixed"))
+    top: list[list[Level]] = [top_levels(bit, *(x[bits == bit] for x in columns)) for bit in range(8)]
+    shared = sc.broadcast(top)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, n = read(batches)
+        logs = Subtrees(keys, n, depth).log10(keys, shared.value)
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in (keys, n, logs)], names=["key", "n", "log10"])
+
+    return dealt.mapInArrow(score, "key long, n long, log10 double")
+
+
+def frequent(counted: DataFrame, most: int, value: str = "n") -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Keys (sorted) and values of the most frequent rows, the sum of all counts, and how many are counted."""
+    counted = counted.filter("n > 0")
     step = F.floor(F.log2("n") * 16)
-    levels = sorted(((r["step"], r["k"], r["s"]) for r in tokens.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()), reverse=True)
+    levels = sorted(((r["step"], r["k"], r["s"]) for r in counted.groupBy(step.alias("step")).agg(F.count("*").alias("k"), F.sum("n").alias("s")).collect()), reverse=True)
     room, least = most, None  # a few hundred levels at most
     for level, k, _ in levels:
         if k > room:
@@ -141,24 +169,46 @@ def hot_tokens(counts: DataFrame, most: int = HOT) -> tuple[np.ndarray, np.ndarr
         room, least = room - k, level
     total, distinct = sum(s for _, _, s in levels), sum(k for _, k, _ in levels)
     if least is None:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), total, distinct
-    hot = tokens.filter(step >= least).select("key", "n").toArrow()
-    keys, n = hot.column("key").to_numpy(), hot.column("n").to_numpy()
+        return np.zeros(0, np.int64), np.zeros(0), total, distinct
+    hot = counted.filter(step >= least).select("key", value).toArrow()
+    keys, values = hot.column("key").to_numpy(), hot.column(value).to_numpy()
     order = np.argsort(keys)
-    return keys[order], n[order], total, distinct
+    return keys[order], values[order], total, distinct
 
 
-def score_documents(docs: DataFrame, folds: int = 10, depth: int = DEPTH, contexts: int = MAX_CONTEXTS, hot: int = HOT) -> DataFrame:
+def score_documents(docs: DataFrame, folds: int = 10, depth: int = DEPTH, hot: int = HOT, hot_grams: int = HOT_GRAMS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes of every row."""
     require(docs, "doc_id", "text")
     sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), (fold(F.col("doc_id"), folds) == 0).alias("held_out"))
-    counts = durable(count(rows.filter(~F.col("held_out")), depth))
-    tree = sc.broadcast(fit_tree(counts, depth, contexts))
-    keys, n, total, distinct = hot_tokens(counts, hot)
+    counts = durable(count(rows, depth))
+    logs = durable(gram_scores(counts, depth))
+    tree = sc.broadcast(frequent(logs, hot_grams, "log10")[:2])
+    keys, n, total, distinct = frequent(counts.filter(F.col("kind") == TOKEN), hot)
     known = sc.broadcast((keys, n))
     log_base = float(np.log10(total + 0.1 * (distinct + 1)))
 
+    def score(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """By text, the sum over its frequent grams, its other grams and how often it has them."""
+        hot_keys, hot_log = tree.value
+        whole, inside = _padded(texts, depth)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) + 1 + depth for t in texts])
+        sums, rest, whose = np.zeros(len(texts)), [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for at in range(0, len(whole) - depth, CHUNK):
+            use = inside[at + depth : at + depth + CHUNK]
+            codes, mine = grams(whole[at : at + depth + CHUNK], depth)[use], owner[at + depth : at + depth + CHUNK][use]
+            i = np.searchsorted(hot_keys, codes)
+            found = np.zeros(len(codes), bool)
+            within = i < len(hot_keys)
+            found[within] = hot_keys[i[within]] == codes[within]
+            sums += np.bincount(mine[found], weights=hot_log[i[found]], minlength=len(texts))
+            rest.append(codes[~found])
+            whose.append(mine[~found])
+        others, who = np.concatenate(rest), np.concatenate(whose)
+        cuts = np.searchsorted(who, np.arange(1, len(texts)))
+        each = [np.unique(x, return_counts=True) for x in np.split(others, cuts)]
+        return sums, [k for k, _ in each], [c for _, c in each]
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_keys, hot_n = known.value
         log_n = np.log10(hot_n + 0.1)
@@ -166,7 +216,7 @@ def score_documents(docs: DataFrame, folds: int = 10, depth: int = DEPTH, contex
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = [plain(t.as_py()) for t in part.column(1)]
-                scores = tree.value.score(texts)
+                scores, other, other_n = score(texts)
                 out: list[list] = [[], [], [], [], []]
                 whole = b"\n".join(texts)
                 data = np.frombuffer(whole, np.uint8)
@@ -183,11 +233,11 @@ def score_documents(docs: DataFrame, folds: int = 10, depth: int = DEPTH, contex
                     for x, v in zip(out, (int(tf.sum()), int(tf[found].sum()), float((tf[found] * (log_n[i[found]] - log_base)).sum()), tokens[~found], tf[~found]), strict=True):
                         x.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)), pa.array(scores), pa.array([len(t) + 1 for t in texts], pa.int64())],
-                    names=["doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "rest", "rest_tf", "score", "n_bytes"],
+                    [part.column(0), part.column(2), *(pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())), strict=True)), pa.array(scores), pa.array(other, pa.list_(pa.int64())), pa.array(other_n, pa.list_(pa.int64())), pa.array([len(t) + 1 for t in texts], pa.int64())],
+                    names=["doc_id", "held_out", "n_tokens", "hot_known", "hot_score", "rest", "rest_tf", "score", "grams", "grams_tf", "n_bytes"],
                 )
 
-    scored = durable(rows.mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, rest array<long>, rest_tf array<long>, score double, n_bytes long"))
+    scored = durable(rows.mapInArrow(task, "doc_id long, held_out boolean, n_tokens long, hot_known long, hot_score double, rest array<long>, rest_tf array<long>, score double, grams array<long>, grams_tf array<long>, n_bytes long"))
     scored = scored.withColumn("row", F.monotonically_increasing_id())  # over a checkpoint: the same each time
     rest = scored.select("row", F.explode(F.arrays_zip("rest", "rest_tf")).alias("r")).select("row", F.col("r.rest").alias("key"), F.col("r.rest_tf").alias("tf"))
     rare = counts.filter(F.col("kind") == TOKEN).select("key", "n")
@@ -195,13 +245,15 @@ def score_documents(docs: DataFrame, folds: int = 10, depth: int = DEPTH, contex
     sums = rest.join(rare, "key", "left").groupBy("row").agg(
         F.sum(F.when(c > 0, F.col("tf")).otherwise(0)).alias("rest_known"), F.sum(F.col("tf") * (F.log10(c + 0.1) - F.lit(log_base))).alias("rest_score")
     )
-    return scored.join(sums, "row", "left").select(
+    others = scored.select("row", F.explode(F.arrays_zip("grams", "grams_tf")).alias("g")).select("row", F.col("g.grams").alias("key"), F.col("g.grams_tf").alias("tf"))
+    more = others.join(logs.select("key", "log10"), "key").groupBy("row").agg(F.sum(F.col("tf") * F.col("log10")).alias("rest_log10"))  # logs has every gram
+    return scored.join(sums, "row", "left").join(more, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("hot_known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce("rest_score", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest_log10", F.lit(0.0))).alias("score"),
         "n_bytes",
     )
