@@ -59,3 +59,10 @@ def test_keep_returns_the_columns(odd_docs, no_docs):
 def test_no_python_in_the_plan(odd_docs):
     plan = quality.keep(odd_docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_insults_count_in_any_case(spark):
+    texts = [words(4, 70) + " you are an IDIOT and a MORON", words(4, 70).upper() + " IDIOT MORON", words(4, 70) + " Idiot, mOrOn", words(4, 70) + " IDIOT idiotic", words(4, 70)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_toxic"], r["kept"]) for r in quality.apply_policy(quality.ledger(docs)).collect()}
+    assert got == {0: (2, False), 1: (2, False), 2: (2, False), 3: (1, True), 4: (0, True)}

@@ -106,12 +106,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         )
 
     def toxic_terms(w: Column, joined: Column) -> Column:
-        # A search for the terms' tails, which need no lower-casing of the whole text, spares most texts the exact count.
-        maybe = F.lit(False)
-        for term in TOXIC:
-            maybe = maybe | F.contains(joined, F.lit(term[1:]))
+        # A search for the terms in the lower-cased letters spares most texts the exact count.
+        def maybe(low: Column) -> Column:
+            found = F.lit(False)
+            for term in TOXIC:
+                found = found | F.contains(low, F.lit(term))
+            return found
+
         plain = F.split(F.lower(F.array_join(w, " ")), "[^a-z]+")
-        return F.when(maybe | (F.upper(joined) == joined), F.size(F.array_intersect(plain, F.array(*map(F.lit, TOXIC))))).otherwise(0).cast("long")
+        return F.when(let(F.lower(joined), maybe), F.size(F.array_intersect(plain, F.array(*map(F.lit, TOXIC))))).otherwise(0).cast("long")
 
     def line_counts(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
