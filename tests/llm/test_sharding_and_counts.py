@@ -107,8 +107,42 @@ def test_rollup(odd_docs, no_docs, spark, tmp_path):
     want = brute([d for d in odd_docs.collect() if d["doc_id"] not in (1, 3, 8, 9)] + after.collect())
     assert counts_of(rollup.totals()) == want
     assert tc.changes(counts, counts).count() == 0
-    rollup.compact("all")
-    assert counts_of(tc.Rollup(spark, str(tmp_path / "r-compacted")).totals()) == want
+    assert rollup.compact() and not rollup.compact()
+    again = tc.Rollup(spark, str(tmp_path / "r"))
+    assert counts_of(again.totals()) == want and again.batches() == ["b1", "b2", "b3"]
+    assert not again.commit("b1", tc.signed(counts, 1)) and counts_of(again.totals()) == want
+    assert again.commit("b4", tc.signed(counts, 1)) and again.commit("b5", tc.signed(counts, -1))
+    assert counts_of(again.totals()) == want and again.compact() and counts_of(again.totals()) == want
+
+
+def test_of_two_writers_of_a_batch_one_succeeds(odd_docs, spark, tmp_path):
+    first, second = (tc.Rollup(spark, str(tmp_path / "r")) for _ in range(2))
+    counts = tc.count_tokens(odd_docs, {"w": tc.words})
+    settle = second._settle
+
+    def late(aside, done):
+        assert first.commit("b", tc.signed(counts, 1))  # the other writer comes between
+        return settle(aside, done)
+
+    second._settle = late
+    assert not second.commit("b", tc.signed(counts, 1))
+    assert counts_of(first.totals()) == brute(odd_docs.collect()) and first._names("staged") == []
+
+
+def test_query_equals_a_plain_count(spark, tmp_path, odd_docs):
+    from tidemark.llm.queries import op10_token_rollup, tokenizer_file
+
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = counts_of(op10_token_rollup(spark, str(tmp_path)))
+    want = {(s, lang, "words-1"): v for (s, lang, _), v in brute(odd_docs.collect()).items()}
+    from tokenizers import Tokenizer
+
+    library, more = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json")), defaultdict(lambda: [0, 0])
+    for d in odd_docs.collect():
+        k = d["source"], d["lang"], "word_bpe_49k-1"
+        more[k][0] += 1
+        more[k][1] += len(library.encode(d["text"] or "", add_special_tokens=False).ids)
+    assert got == want | {k: tuple(v) for k, v in more.items()}
 
 
 def test_a_failed_batch_leaves_nothing(odd_docs, spark, tmp_path):

@@ -77,13 +77,22 @@ def op8_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one inserted batch, sent twice; the second time changes nothing."""
+    """The documents' totals after a life of batches: arrival, sorting, a mistaken load, its deletion, and every batch sent again.
+
+    Documents arrive without a source and are counted in words only; a revision
+    files them under their sources and adds the vocabulary's counts.
+    """
     from . import token_counts as tc
+    from .common import durable
 
-    counts = tc.count_tokens(table(spark, sf_dir, "documents"), {"words-1": tc.words, "word_bpe_49k-1": tc.vocabulary(tokenizer_file("word_bpe_49k.json"))})
+    counts = durable(tc.count_tokens(table(spark, sf_dir, "documents"), {"words-1": tc.words, "word_bpe_49k-1": tc.vocabulary(tokenizer_file("word_bpe_49k.json"))}))
+    arrived = counts.filter("tokenizer = 'words-1'").withColumn("source", F.lit(None).cast("string"))
     rollup = tc.Rollup(spark, shared_folder(spark, "rollup"))
+    life = {"arrival": tc.signed(arrived, 1), "sorting": tc.changes(arrived, counts), "mistake": tc.signed(counts, 1), "deletion": tc.signed(counts, -1)}
     for _ in range(2):
-        rollup.commit("documents", tc.signed(counts, 1))
+        for batch, deltas in life.items():
+            rollup.commit(batch, deltas)
+    rollup.compact()
     return rollup.totals()
 
 
