@@ -1,7 +1,9 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import packing
@@ -51,6 +53,66 @@ def test_plan_is_near_the_bound():
     assert check_plan(counts, 4096) <= bound * 1.005 + 1
 
 
+def best_fit_decreasing(counts, capacity):
+    """How many sequences plain best fit of all pieces takes."""
+    from bisect import bisect_left, insort
+
+    rooms, opened = [], 0
+    for x in sorted(Counter(counts).elements(), reverse=True):
+        i = bisect_left(rooms, x)
+        if i < len(rooms):
+            room = rooms.pop(i)
+        else:
+            room, opened = capacity, opened + 1
+        insort(rooms, room - x)
+    return opened
+
+
+def histogram(kind):
+    r = random.Random(3)
+    draw = {
+        "thirds and halves": lambda: r.choice([r.randint(1300, 1420), r.randint(1900, 2150), r.randint(1030, 1100)]),
+        "even": lambda: r.randint(1030, 2400),
+        "long": lambda: min(4096, int(r.lognormvariate(7.6, 0.5)) + 1),
+    }[kind]
+    return Counter(draw() for _ in range(3000))
+
+
+@pytest.mark.parametrize("kind", ["thirds and halves", "even", "long"])
+def test_configurations_beat_best_fit(kind):
+    """On hard histograms the programme's plan takes fewer sequences than best fit, and configurations place nearly all large pieces."""
+    counts = histogram(kind)
+    plain = best_fit_decreasing(counts, 4096)
+    assert check_plan(counts, 4096) < plain
+    _, placed = packing._plan(counts, 4096, 128, 1024)
+    assert placed >= 0.95 * sum(n for x, n in counts.items() if x > 1024)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_programme_against_all_bases(seed):
+    """The simplex method's total is the least over all basic solutions of a small programme."""
+    r = random.Random(seed)
+    capacity = 20
+    sizes = sorted(r.sample(range(6, 18), 3), reverse=True)
+    demand = np.array([r.randint(1, 30) for _ in sizes], float)
+    patterns = packing.configurations(sizes, capacity)
+    got = packing.fewest(patterns, demand).sum()
+    everything = set()
+    for counts in itertools.product(range(4), repeat=3):
+        if 0 < sum(c * s for c, s in zip(counts, sizes, strict=True)) <= capacity:
+            everything.add(counts)
+    columns = np.array([*sorted(everything), *(-np.eye(3))]).T
+    costs = np.array([1.0] * len(everything) + [0.0] * 3)
+    best = np.inf
+    for basis in itertools.combinations(range(columns.shape[1]), 3):
+        m = columns[:, basis]
+        if abs(np.linalg.det(m)) > 1e-9:
+            x = np.linalg.solve(m, demand)
+            if (x >= -1e-9).all():
+                best = min(best, costs[list(basis)] @ x)
+    assert abs(got - best) < 1e-3
+
+
 def test_linear_groups_round_up_and_have_equal_cardinality():
     groups = packing.linear_groups({10: 3, 7: 5, 5: 4}, 4)
     assert [sum(n for _, n in g[1]) for g in groups] == [3, 3, 3, 3]

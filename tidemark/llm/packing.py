@@ -7,13 +7,21 @@ needs a fixed amount of memory on the driver:
 
 1. Lengths above ``small`` are sorted and cut into ``groups`` groups of equal
    cardinality; within a group every length is rounded up to the longest.
-2. A configuration is a multiset of at most two kinds of rounded lengths, or
-   three pieces, that fits a sequence. Configurations are taken greedily by how
-   full they are, as often as their lengths last.
-3. Actual pieces replace the rounded ones: the longest of a group goes where
-   the room is largest, so that what rounding gave up is known exactly.
-4. Small pieces, and the rests of large ones, go by best fit decreasing into
-   the room that is left; a new sequence is opened where none fits.
+2. A configuration is a multiset of rounded lengths that fits a sequence; as
+   ``small`` is a quarter or a third of it, it has three sizes at most. How often
+   each is used is optimised: a linear programme takes the fewest sequences that
+   hold every group, by the simplex method over all fullest configurations, whose
+   slots shorter pieces can take too. Whole parts are used as they stand; of the
+   rest the largest fractions are rounded up, as many as the programme's total.
+3. Actual pieces replace the rounded ones: a slot takes the longest piece left
+   that is no longer than it, a sequence's last slot the longest that fits into
+   all the room that rounding has left there.
+4. Small pieces, and large ones that no whole configuration took, go by best fit
+   decreasing into the room that is left; a new sequence is opened where none fits.
+
+Several numbers of groups and bounds of ``small`` are tried, as all of it works on
+the histogram; the plan with the fewest sequences is kept, and of equals the one
+whose configurations place the most.
 
 The plan is a list of runs: "pieces of this length with ranks a to b in the
 order of their keys go to sequences n, n + 1, ... at this offset". Joining runs
@@ -21,17 +29,23 @@ to ranked pieces places every piece without moving texts or ids.
 
 Defined cases: a null or empty text is the closing id alone, one token; a null
 doc_id and repeated rows are packed like any other, each row on its own; no
-rows give no pieces; input columns other than the id and the text are ignored.
+rows give no pieces; input columns other than the id and the text are ignored;
+very long texts are cut into pieces of ``capacity``, whole texts are never cut.
+Ties: pieces of one length are ranked by doc_id, piece and the ids' checksum;
+of equally good plans the first tried is kept.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import unicodedata
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -152,35 +166,97 @@ def linear_groups(counts: dict[int, int], groups: int) -> list[tuple[int, list[t
     return out
 
 
-def configurations(sizes: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Multisets of group indices with few sizes that fit, fullest first."""
-    found: set[tuple[int, ...]] = set()
-    n = len(sizes)
-    for i in range(n):
-        for k in range(1, capacity // sizes[i] + 1):
-            room = capacity - k * sizes[i]
-            found.add((i,) * k)
-            for j in range(i + 1, n):
-                if m := room // sizes[j]:
-                    found.add((i,) * k + (j,) * m)
-        for j in range(i, n):
-            room = capacity - sizes[i] - sizes[j]
-            if room >= sizes[-1]:
-                k = next((k for k in range(j, n) if sizes[k] <= room), None)
-                if k is not None:
-                    found.add((i, j, k))
-    # Fullest first; among equally full ones those with the longest piece first.
-    return sorted(found, key=lambda c: (-sum(sizes[x] for x in c), len(c), c))
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = (16, 64)) -> list[tuple[int, int, int, int, int]]:
+def configurations(sizes: list[int], capacity: int) -> np.ndarray:
+    """Fullest multisets of groups that fit a sequence: a row each of group indices, -1 where there is no piece. Sizes fall.
+
+    Of all that share their longer pieces only the one with the longest last
+    piece is listed: its last slot can also hold any shorter piece.
+    """
+    s, n = np.array(sizes), len(sizes)
+    most = capacity // sizes[-1]  # pieces in a sequence at most
+    first = np.searchsorted(-s, -np.arange(capacity + 1))  # by room, the longest group that fits; n: none
+    open_ = np.arange(n)[:, None]
+    room = capacity - s
+    done = []
+    for depth in range(1, most + 1):
+        fits = np.maximum(first[room], open_[:, -1])  # never longer than the piece before it
+        ends = fits == n
+        done.append(np.pad(open_[ends], ((0, 0), (0, most - depth)), constant_values=-1))
+        open_, room, fits = open_[~ends], room[~ends], fits[~ends]
+        if depth == most or not len(open_):
+            break
+        if depth == most - 1:
+            done.append(np.pad(np.column_stack([open_, fits]), ((0, 0), (0, most - depth - 1)), constant_values=-1))
+            break
+        times = n - fits  # every group from the longest that fits on
+        row = np.repeat(np.arange(len(open_)), times)
+        nxt = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + fits[row]
+        open_, room = np.column_stack([open_[row], nxt]), room[row] - s[nxt]
+    alone = np.full((n, most), -1)
+    alone[:, 0] = np.arange(n)
+    return np.vstack([*done, alone])
+
+
+def fewest(patterns: np.ndarray, demand: np.ndarray, steps: int = 20_000) -> np.ndarray:
+    """How often (fractions too) to use each pattern so that every demand is met with the least total: the revised simplex method.
+
+    A slot can be given to the next shorter group, or be left empty, for nothing.
+    The last patterns must be the single groups in order.
+    """
+    m = len(demand)
+    # A little more is asked of every group, by another amount each, so that no step stands still.
+    asked = demand + 1e-7 * (1 + np.random.default_rng(5).random(m))
+    index = np.where(patterns < 0, m, patterns)
+
+    def column(i: int) -> np.ndarray:
+        out = np.zeros(m + 1)
+        if i < len(patterns):
+            np.add.at(out, index[i], 1)
+        else:
+            out[i - len(patterns)] = -1
+            out[i - len(patterns) + 1] = 1  # the last group's goes to place m, which is nothing
+        return out[:m]
+
+    # To begin with, every piece has a sequence of its own.
+    basis, cost = np.arange(len(patterns) - m, len(patterns)), np.ones(m)
+    inverse, x = np.eye(m), asked.copy()
+    for step in range(steps):
+        price = np.append(cost @ inverse, 0.0)
+        gain = price[index].sum(axis=1) - 1
+        slack = price[1:] - price[:-1]
+        best, loose = int(np.argmax(gain)), int(np.argmax(slack))
+        if max(gain[best], slack[loose]) < 1e-9:
+            break
+        enter = best if gain[best] >= slack[loose] else len(patterns) + loose
+        d = inverse @ column(enter)
+        up = np.flatnonzero(d > 1e-10)
+        leave = up[int(np.argmin(x[up] / d[up]))]
+        basis[leave], cost[leave] = enter, float(enter < len(patterns))
+        if step % 100 == 99:
+            inverse = np.linalg.inv(np.column_stack([column(i) for i in basis]))
+            x = np.maximum(inverse @ asked, 0)
+        else:
+            row = inverse[leave] / d[leave]
+            by = x[leave] / d[leave]
+            inverse -= np.outer(d, row)
+            inverse[leave] = row
+            x = np.maximum(x - by * d, 0)
+            x[leave] = by
+    used = np.zeros(len(patterns))
+    for i, v in zip(basis, x, strict=True):
+        if i < len(patterns):
+            used[i] += v
+    return used
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: tuple[int, ...] = (32, 128)) -> list[tuple[int, int, int, int, int]]:
     """The plan with the fewest sequences among some numbers of groups and bounds of what counts as large."""
-    tried = [_plan(counts, capacity, g, small) for g in groups for small in sorted({capacity // 16, capacity // 4, capacity // 2})]
-    return min(tried, key=lambda runs: max([0, *(seq + n for _, _, n, seq, _ in runs)]))
+    tried = [_plan(counts, capacity, g, small) for g, small in itertools.product(groups, sorted({capacity // 4, capacity // 3}))]
+    return min(tried, key=lambda t: (max([0, *(seq + n for _, _, n, seq, _ in t[0])]), -t[1]))[0]
 
 
-def _plan(counts: dict[int, int], capacity: int, groups: int, small: int, fill: float = 1.0) -> list[tuple[int, int, int, int, int]]:
-    """Runs (length, first rank, pieces, first sequence, offset) that place every piece of the histogram.
+def _plan(counts: dict[int, int], capacity: int, groups: int, small: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Runs (length, first rank, pieces, first sequence, offset) that place every piece of the histogram; how many pieces configurations placed.
 
     Ranks count the pieces of one length from 0; the k-th piece of a run goes
     to the k-th sequence after the first, at the same offset.
@@ -188,7 +264,7 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, small: int, fill:
     counts = {int(x): int(n) for x, n in counts.items() if n}
     used = dict.fromkeys(counts, 0)
     runs: list[tuple[int, int, int, int, int]] = []
-    sequences = 0
+    sequences = placed = 0
     #: Room left: sorted room sizes, and for each the ranges [first sequence, how many).
     rooms: list[int] = []
     ranges: dict[int, list[list[int]]] = {}
@@ -205,32 +281,46 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, small: int, fill:
         runs.append((length, used[length], n, first, offset))
         used[length] += n
 
-    large = {x: n for x, n in counts.items() if x > small}
-    grouped = linear_groups(large, groups)
-    sizes = [g[0] for g in grouped]
-    members = [[list(x) for x in g[1]] for g in grouped]
-    left = [sum(n for _, n in g[1]) for g in grouped]
-
-    for config in configurations(sizes, capacity) if sizes else []:
-        if sum(sizes[x] for x in config) < capacity * fill:
-            break  # what no full configuration takes is left to best fit
-        need = {x: config.count(x) for x in set(config)}
-        times = min(left[x] // k for x, k in need.items())
+    rest = {x: n for x, n in counts.items() if x > small}
+    grouped = Counter()
+    # So few lengths need no rounding: each is a group.
+    for size, members in linear_groups(rest, groups) if len(rest) > groups else [(x, [(x, rest[x])]) for x in sorted(rest, reverse=True)]:
+        grouped[size] += sum(n for _, n in members)  # groups that are rounded up to one length are one group
+    sizes, have = list(grouped), sorted(rest)
+
+    def place(config: list[int], times: int) -> None:
+        """Fills a configuration's slots, each with the longest piece left that fits it; the last slot has all the room that is left."""
+        nonlocal sequences, placed
         while times:
-            # Every slot takes its group's longest pieces; a run lasts while no group's length changes.
-            n = max(1, min([times] + [members[x][0][1] // k for x, k in need.items()]))
+            lengths, room = Counter(), capacity
+            for k, x in enumerate(config):
+                i = bisect_right(have, room if k == len(config) - 1 else min(room, sizes[x])) - 1
+                while i >= 0 and rest[have[i]] == lengths[have[i]]:
+                    i -= 1
+                if i >= 0:
+                    lengths[have[i]] += 1
+                    room -= have[i]
+            if not lengths:
+                return
+            n = min([times] + [rest[x] // k for x, k in lengths.items()])
             offset = 0
-            for x in config:
-                head = members[x][0]
-                take(head[0], sequences, n, offset)
-                offset += head[0]
-                head[1] -= n
-                left[x] -= n
-                if not head[1]:
-                    members[x].pop(0)
-            free(capacity - offset, sequences, n)
-            sequences += n
-            times -= n
+            for x in lengths.elements():
+                take(x, sequences, n, offset)
+                offset, placed, rest[x] = offset + x, placed + n, rest[x] - n
+            have[:] = [x for x in have if rest[x]] if any(not rest[x] for x in lengths) else have
+            free(room, sequences, n)
+            sequences, times = sequences + n, times - n
+
+    if sizes:
+        patterns = configurations(sizes, capacity)
+        times = fewest(patterns, np.array(list(grouped.values()), float))
+        chosen = [(i, [int(x) for x in patterns[i] if x >= 0]) for i in np.flatnonzero(times > 1e-6)]
+        chosen.sort(key=lambda c: (-sum(sizes[x] for x in c[1]), c[1]))
+        for i, config in chosen:
+            place(config, int(times[i] + 1e-6))
+        more = int(np.ceil(times.sum() - 1e-6)) - sequences
+        for _, config in sorted(chosen, key=lambda c: -((times[c[0]] + 1e-6) % 1))[: max(0, more)]:
+            place(config, 1)
 
     for length in sorted(counts, reverse=True):
         while n := counts[length] - used[length]:
@@ -251,10 +341,10 @@ def _plan(counts: dict[int, int], capacity: int, groups: int, small: int, fill:
                 rooms.pop(i)
             take(length, first + m - k, k, capacity - room)
             free(room - length, first + m - k, k)
-    return runs
+    return runs, placed
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = (16, 64)) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: tuple[int, ...] = (32, 128)) -> DataFrame:
     """Adds sequence_id and offset to pieces; the places in a sequence have no gap and no overlap.
 
     Pieces of one length are ranked without gathering them in one task.
@@ -275,8 +365,6 @@ def _place(ranked: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> Dat
         by.setdefault(length, []).append((first, seq, at))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         tables = {x: np.array(v, np.int64) for x, v in by.items()}
         for batch in batches:
             if not batch.num_rows:
@@ -296,6 +384,6 @@ def _place(ranked: DataFrame, runs: list[tuple[int, int, int, int, int]]) -> Dat
     return ranked.mapInArrow(look_up, f"{schema}, sequence_id long, offset long")
 
 
-def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, groups: tuple[int, ...] = (16, 64), keep_ids: bool = False) -> DataFrame:
+def best_fit_packing(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, groups: tuple[int, ...] = (32, 128), keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places. The pieces are written once, so that ids aren't computed twice."""
     return pack(durable(tokenise(docs, tokenizer, capacity, end_id, keep_ids)), capacity, groups)
