@@ -61,6 +61,24 @@ def test_random_families(spark, monkeypatch, block):
     assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def test_recall_just_above_the_threshold(spark):
+    docs = []
+    for f in range(150):
+        base = words(9000 + f, 120)  # 116 shingles; 29 more make a similarity of 0.8 exactly
+        docs += [(2 * f, base), (2 * f + 1, base + " " + words(20_000 + f, 20 + f % 10))]
+    assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+
+
+def test_a_chain_of_buckets_is_not_one_group(spark, monkeypatch):
+    """Texts that overlap like tiles of a roof: neighbours are similar, ends are not; blocks that share no bucket aren't compared."""
+    monkeypatch.setattr(nd, "BLOCK", 4)
+    text = words(77, 460).split()
+    docs = [(k, " ".join(text[6 * k : 6 * k + 100])) for k in range(60)]
+    want = brute(docs)
+    assert got(spark.createDataFrame(docs, "doc_id long, text string")) == want
+    assert len({c for _, c, _ in want}) == 1 and max(n for _, _, n in want) <= 4
+
+
 def test_deduplicate_keeps_one_of_each_class(odd_docs, no_docs):
     kept = nd.deduplicate(odd_docs)
     assert kept.columns == odd_docs.columns

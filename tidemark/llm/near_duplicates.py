@@ -5,13 +5,13 @@ Jaccard similarity of their sets is THRESHOLD or more.
 
 1. Equal texts are one class, keyed by two 64-bit hashes of the text.
 2. Each text's MinHash signature (BANDS * ROWS values) is cut into bands. Texts
-   that agree in a band are candidates. Such a bucket isn't expanded into pairs:
-   every member gets an edge to the bucket's least member, and connected
-   candidates form a component. At similarity 0.8 a pair shares no band with
-   probability 5e-6, and falls with every bit more.
-3. A component's pairs are compared in tiles: members are dealt over blocks by a
-   hash, and every pair of blocks is a task's unit, so no task holds more than
-   two blocks and none emits pairs.
+   that agree in a band are candidates: they stand in one bucket. At similarity
+   0.8 a pair shares no band with probability 5e-6, and falls with every bit more.
+3. Buckets aren't expanded into pairs. Every text has a home, the least member
+   of all its buckets, so that texts of one cluster mostly share a home; a
+   home's texts are dealt over blocks of BLOCK. Two blocks are compared, as a
+   tile, only if some bucket has members of both; a tile is a task's unit, so
+   no task holds more than two blocks and none emits pairs.
 4. In a tile, MinHash values are compared STEP at a time; a pair is dropped when
    the posterior probability (uniform prior) that its similarity reaches the
    threshold falls below TOLERANCE. What is left is verified exactly.
@@ -24,7 +24,11 @@ is linked to nothing, not even to texts equal to it; a text of under five words
 has one shingle, all its words; words are compared as they stand; equal texts
 are linked to each other; every row gives one row, repeated rows and null
 doc_ids too: they count as documents; class_id is the least non-null doc_id of
-the class, null if there is none, and own doc_id where nothing is linked.
+the class, null if there is none, and own doc_id where nothing is linked; very
+long texts are read whole, and two of them meet in one task; other columns are
+carried by ``deduplicate`` whatever their names, and ignored otherwise; an empty
+table gives no rows. Ties: of rows with a class's least doc_id the one with the
+least text key stays, then the one with the least hash of all its columns.
 """
 
 from __future__ import annotations
@@ -36,7 +40,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import durable, require, with_text_key
 from .hashing import Stretches, mix, word_bounds
@@ -44,7 +47,7 @@ from .hashing import Stretches, mix, word_bounds
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 STEP, TOLERANCE = 24, 1e-6
-#: Members of a block of a candidate component: a tile compares two blocks.
+#: Members of a block: a tile compares two blocks.
 BLOCK = 400
 
 _multipliers = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -232,21 +235,29 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
     texts = rows.filter("has_words")
     keyed = texts.select("k1", "k2", "text").mapInArrow(band_keys, "k1 long, k2 long, keys array<long>").select("k1", "k2", F.explode("keys").alias("band"))
-    # A bucket with two different texts: their keys' least and greatest differ.
+    # A bucket with two different texts: their keys' least and greatest differ. Texts with equal k1 and different k2 go the same way.
     band = durable(keyed)
-    bucket = band.groupBy("band").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).filter("least != most").select("band", "least")
-    edges = band.join(bucket, "band").filter("k1 != least").select(F.col("k1").alias("a"), F.col("least").alias("b"))
-    candidates = components(edges).select(F.col("node").alias("k1"), "component")
-    # Texts with equal k1 and different k2 share a node; both are members of its component.
-    copies = texts.groupBy("k1", "k2").agg(F.count("*").alias("copies"))
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("size"))
-    inside = candidates.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    members = texts.select("k1", "k2", "text").join(inside, "k1").dropDuplicates(["k1", "k2"]).join(copies, ["k1", "k2"])
-    block = F.pmod(F.xxhash64("k2"), F.col("blocks")).cast("int")
-    tiles = members.withColumn("block", block).select(
-        "k1", "k2", "text", "copies", "component", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    bucket = durable(band.groupBy("band").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).filter("least != most").select("band", "least"))
+    member = durable(band.join(bucket, "band").groupBy(F.struct("k1", "band", "least").alias("m")).agg(F.lit(1).alias("one")).select("m.*"))
+    home = member.groupBy("k1").agg(F.min("least").alias("home"))
+    home = durable(home)
+    sizes = durable(home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    block = durable(home.join(sizes, "home").select("k1", F.xxhash64("home", F.pmod(F.xxhash64(F.lit("block"), "k1"), F.col("blocks"))).alias("block")))
+    # Blocks that meet in a bucket. Most buckets lie within one block.
+    meet = durable(member.select("k1", "band").join(block, "k1").groupBy(F.struct("band", "block").alias("m")).agg(F.lit(1).alias("one")).select("m.*"))
+    wide = durable(meet.groupBy("band").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low != high").select("band"))
+    crossing = durable(meet.join(wide, "band").groupBy(F.struct("band", "block").alias("m")).agg(F.lit(1).alias("one")).select("m.*"))
+    pairs = crossing.select("band", F.col("block").alias("ti")).join(crossing.select("band", F.col("block").alias("tj")), "band").filter("ti < tj")
+    pairs = pairs.groupBy(F.struct("ti", "tj").alias("t")).agg(F.lit(1).alias("one")).select("t.*")
+    whole = block.groupBy("block").agg(F.count("*").alias("n")).select(F.col("block").alias("ti"), F.col("block").alias("tj"))
+    tile_list = durable(pairs.unionByName(whole))
+    sides = durable(
+        tile_list.select("ti", "tj", F.col("ti").alias("block"), F.lit(0).alias("side")).unionByName(tile_list.filter("ti != tj").select("ti", "tj", F.col("tj").alias("block"), F.lit(1).alias("side")))
     )
-    tiles = tiles.withColumns({"ti": F.least("block", "other"), "tj": F.greatest("block", "other"), "side": (F.col("block") > F.col("other")).cast("int")})
+    # Copies of a text are one member with a count; the struct has the join dealt anew, so that Spark can split a text with very many copies.
+    members = texts.select("k1", "k2", "text").join(block, "k1").groupBy(F.struct("k1", "k2").alias("k")).agg(F.first("text").alias("text"), F.first("block").alias("block"), F.count("*").alias("copies"))
+    members = durable(members.select("k.*", "text", "block", "copies"))
+    tiles = members.join(sides, "block")
 
     def tile(group: pa.Table) -> pa.Table:
         side, square = group.column("side").to_numpy(), group.column("ti")[0].as_py() == group.column("tj")[0].as_py()
@@ -261,12 +272,12 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
         r1, r2 = group.column("k1").to_numpy()[root[at]], group.column("k2").to_numpy()[root[at]]
         return pa.table({"k1": k1, "k2": k2, "r1": r1, "r2": r2, "links": n[at].astype(np.int64)})
 
-    found = durable(tiles.groupBy("component", "ti", "tj").applyInArrow(tile, "k1 long, k2 long, r1 long, r2 long, links long"))
+    found = durable(tiles.groupBy("ti", "tj").applyInArrow(tile, "k1 long, k2 long, r1 long, r2 long, links long"))
     links = found.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
     joined = components(found.select(_node(F.col("k1"), F.col("k2")).alias("a"), _node(F.col("r1"), F.col("r2")).alias("b")))
     ids = texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"))
     ids = durable(ids.join(links, ["k1", "k2"], "left").withColumn("node", _node(F.col("k1"), F.col("k2"))).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
-    classes = ids.groupBy("component").agg(F.min("least_id").alias("class_id"))
+    classes = durable(ids.groupBy("component").agg(F.min("least_id").alias("class_id")))  # written: Spark can split the join at a large class
     known = ids.join(classes, "component").select("k1", "k2", "class_id", F.col("component").alias("class_key"), "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.lit(True).alias("has_words"))
     return rows.select("doc_id", "k1", "k2", "has_words").join(known, ["k1", "k2", "has_words"], "left").select(
         "doc_id",
@@ -283,9 +294,9 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns: the least doc_id's; texts without words all stay."""
     classes = jaccard_join(docs).filter("n_links > 0").select("k1", "k2", "class_id", "class_key").distinct()
     rows = with_text_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    marked = rows.drop("text").join(classes, ["k1", "k2"], "left")
-    # Of a class only rows with its least doc_id can stay; a window over these few settles repeated rows.
+    marked = rows.drop("text").join(durable(classes), ["k1", "k2"], "left")
+    # Of a class only rows with its least doc_id can stay; repeated ones of these are settled by partial minima, not by a window over the class.
     alone = marked.filter("class_key is null")
     tied = marked.filter(F.col("class_key").isNotNull() & F.col("doc_id").eqNullSafe(F.col("class_id")))
-    first = tied.withColumn("rank", F.row_number().over(Window.partitionBy("class_key").orderBy("k1", "k2"))).filter("rank = 1")
+    first = tied.groupBy(F.struct("class_key").alias("c")).agg(F.min_by("row", F.struct("k1", "k2", F.xxhash64(F.to_json("row")))).alias("row"))
     return alone.select("row").unionByName(first.select("row")).select("row.*")
