@@ -84,3 +84,16 @@ def test_common_prefixes():
     a, b = np.array([0, 0, 3]), np.array([3, 6, 6])
     assert common_at_least(data, a, b, 5).tolist() == [True, False, False]
     assert common_at_least(data, a, b, 2).tolist() == [True, True, True]
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_only_wanted_suffixes_keep_their_order(seed):
+    r = np.random.default_rng(seed)
+    data = r.integers(97, 97 + r.integers(1, 4), 300).astype(np.uint8)
+    begin = np.sort(r.choice(280, 6, replace=False))
+    end = np.minimum(begin + r.integers(1, 12, 6), np.append(begin[1:], 300))
+    order = suffix_array(data, 400, begin, end).tolist()
+    wanted = {i for a, b in zip(begin.tolist(), end.tolist(), strict=True) for i in range(a, b)}
+    assert len(set(order)) == len(order) and wanted <= set(order)
+    raw = data.tobytes()
+    assert order == sorted(order, key=lambda i: raw[i:])

@@ -7,16 +7,21 @@ in another text or the same one. Suffixes are sorted where repeats can be:
    least hash, the first of equals. Strings with one anchor in a text are
    neighbours; together they are a segment of the text. Equal strings have equal
    anchors, so a segment whose anchor stands nowhere else repeats nothing.
-2. Segments with equal bytes are one, with a count.
-3. The segments of an anchor meet in one task, which sorts the suffixes of all
-   its segments in two stages (``suffix_sort``), compares neighbours in that
+2. Segments with equal bytes are one, with a count; one that stands twice or more
+   repeats all its strings.
+3. Where an anchor has others beside it, its segments meet in one task, which
+   sorts the suffixes of all
+   of them in two stages (``suffix_sort``), compares neighbours in that
    order, and marks the starts whose first LENGTH bytes stand there twice,
-   counts included. Where an anchor has very many different segments, they are
-   cut at fixed distances from it and dealt by the bytes that all strings of a
-   cut share, which keeps equal strings together.
+   counts included. An anchor with more than ``MANY`` different segments would
+   not fit a task: the strings of its segments are counted one by one instead,
+   by two 64-bit hashes, with partial sums, so that no task gathers them.
 4. The marks go back to every place of a segment; each text is cut once.
 
-Texts are moved once, keyed by two 64-bit hashes: Spark reuses that exchange.
+Texts are moved once, keyed by two 64-bit hashes: Spark reuses that exchange,
+as all that needs texts is one query.
+Joins on anchors, segments and texts are followed by an exchange on other keys,
+so that Spark can split a key that very many rows share.
 
 Defined cases: a null text is empty; texts of under LENGTH bytes keep everything;
 every row is cut, repeated rows too, which repeat each other; null doc_ids are
@@ -40,9 +45,9 @@ from .suffix_sort import common_at_least, suffix_array
 
 LENGTH, GRAM = 200, 64
 #: Bytes whose anchors are found at once, and that are suffix-sorted at once.
-CHUNK, SORTED = 1_000_000, 4_000_000
-#: Different segments of one anchor beyond which they are cut and dealt anew; the width of a cut.
-MANY, CUT = 50_000, 16
+CHUNK, SORTED = 1_000_000, 500_000
+#: Different segments of one anchor beyond which their strings are counted one by one.
+MANY = 1_000
 
 
 def anchors(data: np.ndarray) -> np.ndarray:
@@ -100,7 +105,7 @@ def repeated_starts(pieces: list[bytes], counts: np.ndarray, starts: np.ndarray)
     data = np.frombuffer(b"".join(pieces), np.uint8)
     sizes = np.array([len(p) for p in pieces])
     begin = np.cumsum(sizes) - sizes
-    order = suffix_array(data, LENGTH)
+    order = suffix_array(data, LENGTH, begin, begin + starts)
     owner = np.repeat(np.arange(len(pieces)), sizes)
     own = owner[order]
     order = order[order - begin[own] < starts[own]]
@@ -130,51 +135,85 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["group", "ah", "sh", "lead", "n", "starts", "bytes"]
+    """The bytes of each segment that a text was chosen for. Copies of a text come one after the other; all but a task's first are passed over."""
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    last = None
     for batch in batches:
-        for text, list_ in zip(batch.column("text"), batch.column("list"), strict=True):
+        keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist(), strict=True))
+        for key, text, list_ in zip(keys, batch.column("text"), batch.column("list"), strict=True):
+            if key == last:
+                continue
+            last = key
             data = text.as_py().encode("utf-8", "surrogatepass")
             rows = []
             for x in list_.as_py():
-                first, ahead, count = x["se"] >> 16, (x["se"] >> 8) & 255, (x["se"] & 255) + 1
-                if not x["many"]:
-                    rows.append((x["ah"], x["ah"], x["sh"], 0, x["n"], count, data[first : first + count - 1 + LENGTH]))
-                    continue
-                anchor = first + ahead
-                for j in range((ahead - count + 1) // CUT, ahead // CUT + 1):  # starts from CUT * j to CUT * j + CUT - 1 before the anchor
-                    lo, hi = max(first, anchor - CUT * j - CUT + 1), min(first + count - 1, anchor - CUT * j)
-                    core = data[anchor - CUT * j : anchor - CUT * j - CUT + 1 + LENGTH]
-                    key = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=(x["ah"] % (1 << 64)).to_bytes(8, "big"), salt=j.to_bytes(2, "big")).digest(), "big", signed=True)
-                    rows.append((key, x["ah"], x["sh"], lo - first, x["n"], hi - lo + 1, data[lo : hi + LENGTH]))
+                first, count = x["se"] >> 16, (x["se"] & 255) + 1
+                rows.append((x["ah"], x["sh"], x["n"], count, data[first : first + count - 1 + LENGTH]))
             for at in range(0, len(rows), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2000], strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 2000], strict=True), types, strict=True)], names=["ah", "sh", "n", "starts", "bytes"])
+
+
+def _marks(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["ah", "sh", "a", "b"])
 
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Input: sorted by group. Groups are sorted together up to SORTED bytes."""
+    """Input: sorted by anchor, of which each has MANY segments at most. Anchors are sorted together up to SORTED bytes.
+
+    A segment can come again where the copies of its text were split over tasks; it counts once.
+    """
     held: list[dict] = []
-    size = 0
+    size, anchor, seen = 0, None, set()
 
     def flush() -> Iterator[pa.RecordBatch]:
         flags = repeated_starts([x["bytes"] for x in held], np.array([x["n"] for x in held]), np.array([x["starts"] for x in held]))
-        rows = []
-        for x, f in zip(held, flags, strict=True):
-            for a, b in zip(*runs(f), strict=True):
-                rows.append((x["ah"], x["sh"], x["lead"] + int(a), x["lead"] + int(b)))
+        rows = [(x["ah"], x["sh"], int(a), int(b)) for x, f in zip(held, flags, strict=True) if x["n"] == 1 for a, b in zip(*runs(f), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["ah", "sh", "a", "b"])
+            yield _marks(rows)
 
     for batch in batches:
         for x in batch.to_pylist():
-            if size >= SORTED and x["group"] != held[-1]["group"]:
-                yield from flush()
-                held, size = [], 0
+            if x["ah"] != anchor:
+                if size >= SORTED:
+                    yield from flush()
+                    held, size = [], 0
+                anchor, seen = x["ah"], set()
+            if x["sh"] in seen:
+                continue
+            seen.add(x["sh"])
             held.append(x)
             size += len(x["bytes"])
     if held:
         yield from flush()
 
 
+def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each string of LENGTH bytes of the segments, as two 64-bit hashes."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            starts = part.column("starts").to_numpy()
+            pieces = part.column("bytes").to_pylist()
+            sizes = np.array([len(p) for p in pieces])
+            data = np.frombuffer(b"".join(pieces), np.uint8)
+            begin, before = np.cumsum(sizes) - sizes, np.cumsum(starts) - starts
+            own = np.repeat(np.arange(len(pieces)), starts)
+            place = np.arange(len(own)) - before[own]
+            first = begin[own] + place
+            h1 = Stretches(data).windows(LENGTH)[first]
+            h2 = Stretches(data[::-1]).windows(LENGTH)[len(data) - LENGTH - first]
+            ah, sh, n = (part.column(c).to_numpy()[own] for c in ("ah", "sh", "n"))
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(n), pa.array(ah), pa.array(sh), pa.array(place.astype(np.int32))], names=["h1", "h2", "n", "ah", "sh", "a"])
+
+
+def _counted(segments_: DataFrame) -> DataFrame:
+    """ah, sh, a, b of the strings that stand twice or more, for anchors with too many segments to be sorted in one task."""
+    once = segments_.groupBy("ah", "sh").agg(F.first("n").alias("n"), F.first("starts").alias("starts"), F.first("bytes").alias("bytes"))
+    each = once.select("ah", "sh", "n", "starts", "bytes").mapInArrow(_strings, "h1 long, h2 long, n long, ah long, sh long, a int")
+    twice = each.groupBy(F.struct("h1", "h2").alias("h")).agg(F.sum("n").alias("times")).filter("times > 1").select("h.*")
+    return each.join(twice, ["h1", "h2"]).select("ah", "sh", "a", (F.col("a") + 1).alias("b"))
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: list[list] = [[], [], [], [], []]
@@ -202,19 +241,29 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     row = F.struct(*[F.col(f"`{c}`") for c in own]) if own else F.struct(F.lit(0).alias("none"))
     texts = with_text_key(docs.select(row.alias("row"), text.alias("text"))).select("row", "k1", "k2", "text")
     found = texts.select("k1", "k2", "text").mapInArrow(_find, "ah long, sh long, k1 long, k2 long, se long")
-    # Written first: a join of two exchanges lets Spark split an anchor that very many texts share.
+    # Written first: a join of two exchanges lets Spark split an anchor that very many texts share,
+    # if what follows is dealt anew; grouping by a struct sees to that.
     twice = durable(found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))
-    places = durable(found.join(twice, "ah").groupBy("ah", "sh", "k1", "k2", "se").agg(F.count("*").alias("n")))
+    places = found.join(twice, "ah").groupBy(F.struct("ah", "sh", "k1", "k2", "se").alias("place")).agg(F.count("*").alias("n"))
+    places = durable(places.select("place.*", "n"))
     # first() of several columns takes them from one row.
     distinct = places.groupBy("ah", "sh").agg(F.sum("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("se").alias("se"))
     distinct = durable(distinct)
-    many = distinct.groupBy("ah").agg(F.count("*").alias("d")).filter(F.col("d") > MANY).select("ah", F.lit(True).alias("many"))
-    wanted = distinct.join(many, "ah", "left").groupBy("k1", "k2").agg(F.collect_list(F.struct("ah", "sh", "n", "se", F.coalesce("many", F.lit(False)).alias("many"))).alias("list"))
-    bytes_ = texts.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("row", "text", "list").mapInArrow(_extract, "group long, ah long, sh long, lead int, n long, starts int, bytes binary")
-    judged = bytes_.repartition("group").sortWithinPartitions("group").mapInArrow(_judge, "ah long, sh long, a int, b int")
+    # A segment that stands twice repeats all its strings. Suffixes are sorted for the anchors of those that stand once beside others.
+    sure = distinct.filter("n > 1").select("ah", "sh", F.lit(0).alias("a"), (F.col("se").bitwiseAND(255) + 1).cast("int").alias("b"))
+    open_ = distinct.groupBy("ah").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 and least = 1").select("ah", (F.col("d") > MANY).alias("many"))
+    undecided = durable(distinct.join(durable(open_), "ah"))
+
+    def bytes_of(part: DataFrame) -> DataFrame:
+        wanted = part.groupBy(F.struct("k1", "k2").alias("k")).agg(F.collect_list(F.struct("ah", "sh", "n", "se")).alias("list")).select("k.*", "list")
+        return texts.join(wanted, ["k1", "k2"]).select("row", "k1", "k2", "text", "list").mapInArrow(_extract, "ah long, sh long, n long, starts int, bytes binary")
+
+    judged = bytes_of(undecided.filter("not many")).repartition("ah").sortWithinPartitions("ah").mapInArrow(_judge, "ah long, sh long, a int, b int")
+    judged = judged.unionByName(_counted(bytes_of(undecided.filter("many"))))
     first = F.shiftright("se", 16)
-    spans = places.join(judged, ["ah", "sh"]).select("k1", "k2", (first + F.col("a")).alias("a"), (first + F.col("b") - 1 + LENGTH).alias("b"))
-    by_text = spans.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("places"))
+    marks = judged.unionByName(sure)
+    spans = places.join(marks, ["ah", "sh"]).select("k1", "k2", (first + F.col("a")).alias("a"), (first + F.col("b") - 1 + LENGTH).alias("b"))
+    by_text = spans.groupBy(F.struct("k1", "k2").alias("k")).agg(F.collect_list(F.struct("a", "b")).alias("places")).select("k.*", "places")
     kind = texts.schema["row"].dataType.simpleString()
     cut = texts.join(by_text, ["k1", "k2"], "left").select("row", "text", "places").mapInArrow(_cut, f"row {kind}, kept string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     at = {c: F.col("row")[c] for c in own} | {"text": F.col("kept")}

@@ -54,8 +54,19 @@ def sort_directly(data: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     return at
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """All suffixes of data, ordered by depth bytes at least.
+def closed(small: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The suffixes from begin to end of each stretch, and those that follow up to the first that is smaller than its successor: what the others are induced from."""
+    n = len(small)
+    direct = np.append(np.flatnonzero(small), n - 1)
+    upto = direct[np.minimum(np.searchsorted(direct[:-1], end - 1), len(direct) - 1)]
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, begin, 1)
+    np.add.at(edge, upto + 1, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def suffix_array(data: np.ndarray, depth: int, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+    """The suffixes of data, ordered by depth bytes at least; only those that start from begin[i] to end[i], and what they need, if these are given.
 
     Stage one sorts the suffixes that are smaller than their successors
     directly. Stage two scans the buckets of first bytes upwards: the
@@ -69,20 +80,22 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     padded = np.concatenate([data, np.zeros(depth + 16, np.uint8)])
     small = smaller_than_next(data, n)
-    out = np.full(n, -1, np.int64)
-    sizes = np.bincount(data, minlength=256)
+    used = np.ones(n, bool) if begin is None else closed(small, begin, end)
+    sizes = np.bincount(data[used], minlength=256)
+    out = np.full(sizes.sum(), -1, np.int64)
     start = np.cumsum(sizes) - sizes
     front = start.copy()  # next free place for induced suffixes
-    direct = sort_directly(padded, np.flatnonzero(small), depth)
+    direct = sort_directly(padded, np.flatnonzero(small & used), depth)
     first = data[direct]
     back = start + sizes - np.bincount(first, minlength=256)  # in a bucket the direct ones come last
     for b in np.unique(first):
         mine = direct[first == b]
         out[back[b] : back[b] + len(mine)] = mine
+    induced = used & ~small
 
     def induce(found: np.ndarray) -> None:
         before = found[found > 0] - 1
-        before = before[~small[before]]
+        before = before[induced[before]]
         byte = data[before]
         order = np.argsort(byte, kind="stable")
         before, byte = before[order], byte[order]
@@ -91,9 +104,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             out[front[b] : front[b] + m] = before[i : i + m]
             front[b] += m
 
-    # The last suffix is larger than the end, which comes before all.
-    out[front[data[n - 1]]] = n - 1
-    front[data[n - 1]] += 1
+    if used[n - 1]:  # the last suffix is larger than the end, which comes before all
+        out[front[data[n - 1]]] = n - 1
+        front[data[n - 1]] += 1
     for b in np.flatnonzero(sizes):
         done = start[b]
         while done < front[b]:  # induced ones, and those that they induce in their own bucket
