@@ -22,6 +22,7 @@ def folder(spark, tmp_path_factory):
     r.shuffle(rows)
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     return str(d), dict(docs), passage
 
 
@@ -54,6 +55,61 @@ def test_run(spark, folder):
     assert Counter(r["piece"] for r in rows) == {0: 62}
 
 
+def brute_run(docs, items):
+    """(doc_id, length in tokens) of what the pipeline keeps, by plain loops."""
+    from .test_decontaminate import brute as leaks
+    from .test_near_duplicates import brute as classes
+    from .test_quality import brute as measures
+
+    def keep(text):
+        n, chars, symbols, lines, repeats = measures(text)
+        return n >= 50 and 100 * repeats <= 50 * n and 100 * symbols <= 25 * n and lines == 0 and 2 * n <= chars <= 15 * n
+
+    docs = [d for d in docs if keep(d[1])]
+    least, once = {}, []
+    for (d, c, links), (_, text) in zip(sorted(classes(docs), key=str), sorted(docs, key=lambda x: str((x[0],))), strict=True):
+        if not links or d == c and c not in least:
+            once.append((d, text))
+            least[c] = d
+    data = [(d, t.encode()) for d, t in once]
+    count = Counter(b[k : k + 200] for _, b in data for k in range(len(b) - 199))
+    cut = []
+    for d, b in data:
+        mark = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                mark[k : k + 200] = b"\1" * 200
+        cut.append((d, bytes(x for x, m in zip(b, mark, strict=True) if not m).decode("utf-8", "ignore")))
+    bad = {d for d, _, _ in leaks(cut, items)}
+    encode = packing.encoder(tokenizer_file("word_bpe_49k.json"))
+    return sorted((d, len(encode(t)) // 4 + 1) for d, t in cut if d not in bad)
+
+
+def test_against_brute_force_with_odd_rows(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, ties, columns with clashing names; then empty tables."""
+    import corpus_pipeline as cp
+
+    r = random.Random(9)
+    item, passage = words(800, 40), words(801, 90)
+    docs = [(i, words(500 + i, 120)) for i in range(25)]
+    docs += [(3, docs[3][1]), (30, docs[4][1]), (31, docs[5][1] + " tail"), (32, words(33, 60) + " " + item.upper()), (34, words(35, 70) + " " + passage), (36, passage + " " + words(37, 70))]
+    docs += [(40, None), (41, ""), (42, "word " * 80), (43, words(44, 3000))]
+    rows = [(i, t, None, "src", len(t or ""), "x", 7, 8) for i, t in docs]
+    r.shuffle(rows)
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k1 string, kept int, shift int"
+    frame = spark.createDataFrame(rows, schema)
+    frame.write.parquet(f"{tmp_path}/a/documents.parquet")
+    items = spark.createDataFrame([(1, item), (2, None)], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    items.write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    labels.write.parquet(f"{tmp_path}/a/labels.parquet")
+    got = cp.run(spark, f"{tmp_path}/a").collect()
+    assert sorted((x["doc_id"], x["length"]) for x in got) == brute_run(docs, [(1, item)])
+    for name, table in (("documents", frame), ("benchmark", items), ("labels", labels)):
+        table.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
+    assert cp.run(spark, f"{tmp_path}/b").collect() == []
+
+
 def test_registration():
     import __spark_entry__ as entry
 

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -66,3 +67,45 @@ def test_insults_count_in_any_case(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_toxic"], r["kept"]) for r in quality.apply_policy(quality.ledger(docs)).collect()}
     assert got == {0: (2, False), 1: (2, False), 2: (2, False), 3: (1, True), 4: (0, True)}
+
+
+def labelled(spark):
+    """Documents of which some hold words that begin alike; labels of most of them; copies of one toxic document."""
+    docs = [(k, words(700 + k, 90) + (" badwork Badword" if k % 5 == 0 else "")) for k in range(120)]
+    docs += [(500 + k, docs[0][1] + " " + words(60_000 + k, 3)) for k in range(60)] + [(None, "badwords"), (900, None)]
+    labels = [(k, int(k % 5 == 0)) for k in range(110)] + [(500 + k, 1) for k in range(60)] + [(None, 1), (900, 1), (3, None), (77_777, 1)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_marks_are_found_once_for_copies(spark):
+    docs, labels = labelled(spark)
+    marks = quality.toxic_marks(docs, labels)
+    # The words of the copied document would all be marks if its copies counted.
+    assert marks == ["badwo"]
+    assert quality.toxic_marks(docs, labels.limit(0)) == [] and quality.toxic_marks(docs.limit(0), labels) == []
+    # By hand: 22 toxic documents and a few of the copies have the mark, none of 88 others has it.
+    assert 2 * (22 * math.log(110 / 22) + 88 * math.log(110 / 88)) > quality.LEAST_SURE > 2 * (3 * math.log(110 / 22) + 1)
+
+
+def test_marked_words_are_counted_in_the_whole_text(spark):
+    texts = ["badword BADWORK " + words(4, 120), words(4, 120) + " badwo", words(4, 3000) + " badwo badwo", words(4, 120) + " abadwo badw", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    entries = quality.apply_policy(quality.ledger(docs, marks=["badwo", "other"])).collect()
+    assert {r["doc_id"]: (r["n_marked"], r["kept"]) for r in entries} == {0: (2, False), 1: (1, True), 2: (2, True), 3: (0, True), 4: (0, False)}
+    assert {r["n_marked"] for r in quality.ledger(docs).collect()} == {0}
+
+
+def test_held_out_toxic_documents(spark):
+    """Marks found on some documents hold for others."""
+    docs = [(k, words(3000 + k, 100) + (" ".join(["", f"vilek{k}", f"vilek{k}ast"]) if k % 4 == 0 else "")) for k in range(400)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = quality.toxic_marks(frame, spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int"))
+    kept = {r["doc_id"] for r in quality.keep(frame, marks=marks).collect()}
+    assert kept == {k for k in range(400) if k % 4}
+
+
+def test_ablation_of_an_older_policy_ignores_newer_bits(spark):
+    docs = spark.createDataFrame([(0, "badword badwork " + words(4, 120))], "doc_id long, text string")
+    entries = quality.ledger(docs, marks=["badwo"])
+    assert [r["kept"] for r in quality.apply_policy(entries, "v2").collect()] == [True]
+    assert {r["rule"]: r["n_kept_without"] for r in quality.ablation(entries, "v3").collect()}["toxic_rate"] == 1

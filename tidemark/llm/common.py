@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import os
 import tempfile
 import uuid
 
@@ -18,9 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir, or under a temporary folder where that is unset."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder name under spark.checkpoint.dir."""
+    return f"{_shared(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _shared(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset, a temporary one, but only if driver and executors are one process."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if top:
+        return top
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/tidemark-{os.getpid()}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -28,10 +39,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        sc.setCheckpointDir(_shared(spark))
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver drop what nothing refers to any more, so that Spark removes the shuffle files behind it before more are written."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def require(df: DataFrame, *columns: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:

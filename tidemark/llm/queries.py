@@ -11,7 +11,8 @@ from .common import shared_folder, table
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
-    rows = quality.apply_policy(quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = quality.apply_policy(quality.ledger(docs, marks=quality.toxic_marks(docs, table(spark, sf_dir, "labels"))))
     base = F.col("fail_bits").bitwiseAND(F.lit(quality.mask("base"))) != 0
     return rows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits"

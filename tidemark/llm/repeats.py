@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, require, with_text_key
+from .common import durable, release, require, with_text_key
 from .hashing import Stretches
 from .suffix_sort import common_at_least, suffix_array
 
@@ -246,6 +246,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     twice = durable(found.groupBy("ah").agg(F.count("*").alias("n")).filter("n > 1").select("ah"))
     places = found.join(twice, "ah").groupBy(F.struct("ah", "sh", "k1", "k2", "se").alias("place")).agg(F.count("*").alias("n"))
     places = durable(places.select("place.*", "n"))
+    del found, twice
+    release(docs.sparkSession)
     # first() of several columns takes them from one row.
     distinct = places.groupBy("ah", "sh").agg(F.sum("n").alias("n"), F.first("k1").alias("k1"), F.first("k2").alias("k2"), F.first("se").alias("se"))
     distinct = durable(distinct)
@@ -253,6 +255,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     sure = distinct.filter("n > 1").select("ah", "sh", F.lit(0).alias("a"), (F.col("se").bitwiseAND(255) + 1).cast("int").alias("b"))
     open_ = distinct.groupBy("ah").agg(F.count("*").alias("d"), F.min("n").alias("least")).filter("d > 1 and least = 1").select("ah", (F.col("d") > MANY).alias("many"))
     undecided = durable(distinct.join(durable(open_), "ah"))
+    release(docs.sparkSession)
 
     def bytes_of(part: DataFrame) -> DataFrame:
         wanted = part.groupBy(F.struct("k1", "k2").alias("k")).agg(F.collect_list(F.struct("ah", "sh", "n", "se")).alias("list")).select("k.*", "list")
