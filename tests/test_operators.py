@@ -194,6 +194,18 @@ def test_frame_rate_fit(quantise, rate, resolution):
     assert rates.underlying_rate(ticks[dropped], resolution) == pytest.approx(rate)
 
 
+def test_frame_rate_of_long_and_late_tracks():
+    n = int(3600 * 24000 / 1001)
+    assert rates.underlying_rate(np.round(np.arange(n) * 1001 / 24000 * 1000), 1000) == 24000 / 1001
+    assert rates.underlying_rate(np.round((1e9 + np.arange(300) / 30) * 1000), 1000) == 30
+    assert rates.underlying_rate(np.arange(300) * 4000.0, 90000) == 22.5  # not a known rate
+    odd = np.arange(400) * 3000.0
+    odd[200:] += 1234  # one gap that no number of frames explains
+    assert rates.underlying_rate(odd, 90000) == 30
+    r = np.random.default_rng(1)
+    assert rates.underlying_rate(np.cumsum(r.integers(10, 4000, 300)), 90000) is None
+
+
 def test_frame_rate_without_one():
     assert rates.underlying_rate(np.array([0, 20, 50]), 100) is None
     assert rates.underlying_rate(np.array([5]), 100) is None and rates.underlying_rate(np.array([5, 5]), 100) is None
@@ -237,9 +249,9 @@ def test_resampling():
         ("http://h", "/c", "http://h/c"), ("http://h/a", "https://g/x", "https://g/x"),
     ],
 )
-def test_paths(base, relative, want):
-    got = text.join_path(base, relative)
-    assert got == want
+def test_paths(spark, base, relative, want):
+    got = spark.createDataFrame([(base, relative)], "b string, r string").select(text.join_paths(F.col("b"), F.col("r")).alias("p")).first()["p"]
+    assert got == want == text.join_path(base, relative)
 
 
 def test_text_functions(spark):

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def parse_subtitle_time(c: Column) -> Column:
-    """[HH:]MM:SS.mmm to milliseconds; null without a match."""
-    part = lambda i: F.regexp_extract(c, r"(?:(\d{2}):)?(\d{2}):(\d{2}).(\d{3})", i)
-    number = lambda i: F.when(part(i) == "", F.lit(0)).otherwise(F.try_to_number(part(i), F.lit("999"))).cast("long")
-    return F.when(part(4) != "", 3_600_000 * number(1) + 60_000 * number(2) + 1000 * number(3) + number(4))
+    """A WebVTT timestamp ([hours:]mm:ss.ttt) in milliseconds; null for anything else."""
+    fields = F.split(F.trim(c), "[:.]")
+    number = lambda i: F.try_element_at(fields, F.lit(i)).cast("long")
+    valid = F.trim(c).rlike("^([0-9]{2,}:)?[0-9]{2}:[0-9]{2}[.][0-9]{3}$")
+    hours = F.when(F.size(fields) > 3, number(1)).otherwise(0)
+    return F.when(valid, 3_600_000 * hours + 60_000 * number(-3) + 1000 * number(-2) + number(-1))
 
 
 def format_subtitle_time(ms: Column) -> Column:
@@ -25,33 +23,41 @@ def format_subtitle_time(ms: Column) -> Column:
 
 
 def join_path(base: str, relative: str) -> str:
-    """Resolves a path against the path of the file that names it."""
+    """What join_paths gives for one pair of texts."""
+
+    def host(address: str) -> str:
+        scheme, mark, rest = address.partition("://")
+        return scheme + mark + rest.partition("/")[0] if mark and "/" not in scheme else ""
+
     if "://" in relative:
         return relative
-    scheme = re.match(r"(.*?://[^/]*)(.*)", base.split("?", 1)[0] if "://" in base else base, re.S)
-    host, path = scheme.groups() if scheme else ("", base)
-    if relative.startswith("/"):
-        whole = relative
-    elif "/" in path:
-        whole = path[: path.rindex("/") + 1] + relative
-    elif host:  # a bare host: the part after its last slash is replaced, as in any other path
-        host, whole = "", base.split("?", 1)[0].rpartition("/")[0] + "/" + relative
-        again = re.match(r"(.*?://[^/]*)(/.*)", whole, re.S)
-        host, whole = again.groups() if again else ("", whole)
-    else:
-        whole = relative
-    out: list[str] = []
-    for part in whole.split("/"):
+    file = base.partition("?")[0] if "://" in base else base
+    whole = host(file) + relative if relative.startswith("/") else file[: file.rfind("/") + 1] + relative
+    front = host(whole) if whole[len(host(whole)) :].startswith("/") else ""
+    done: list[str] = []
+    for part in whole[len(front) :].split("/"):
         if part == "..":
-            del out[-1:]
+            done = done[:-1]
         elif part != ".":
-            out.append(part)
-    return host + "/".join(out)
+            done.append(part)
+    return front + "/".join(done)
+
+
+def join_paths(base: Column, relative: Column) -> Column:
+    """Resolves a path against the path, or the address without its query, of the file that names it."""
+    address = "^([^/]*://[^/]*)"
+    file = F.when(F.contains(base, F.lit("://")), F.substring_index(base, "?", 1)).otherwise(base)
+    # The part after the last slash is replaced; of a bare host that slash is the scheme's.
+    beside = F.concat(F.regexp_replace(file, "[^/]*$", ""), relative)
+    whole = F.when(F.startswith(relative, F.lit("/")), F.concat(F.regexp_extract(file, address, 1), relative)).otherwise(beside)
+    host = F.regexp_extract(whole, address + "/", 1)
+    parts = F.split(F.substring(whole, F.length(host) + 1, F.length(whole)), "/")
+    none = F.array().cast("array<string>")
 
+    def step(done: Column, part: Column) -> Column:
+        return F.when(part == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
 
-@F.pandas_udf(StringType())
-def join_paths(base: pd.Series, relative: pd.Series) -> pd.Series:
-    return pd.Series([None if b is None or r is None else join_path(b, r) for b, r in zip(base, relative, strict=True)])
+    return F.when(F.contains(relative, F.lit("://")), relative).otherwise(F.concat(host, F.array_join(F.aggregate(parts, none, step), "/")))
 
 
 def language_code(c: Column) -> Column:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -12,35 +11,67 @@ from pyspark.sql import functions as F
 from ..functions.text import format_subtitle_time
 from ..schemas import CUES
 
-_TIME = r"((?:\d{2}:)?\d{2}:\d{2}.\d{3})"
-_HEADER = re.compile(rf"(?:(.+?)\n)?{_TIME}\s+-->\s+{_TIME}")
-_PARTS = re.compile(r"(?:(\d{2}):)?(\d{2}):(\d{2}).(\d{3})")
+ARROW = "-->"
 
 
-def milliseconds(text: str) -> int:
-    h, m, s, ms = _PARTS.search(text).groups()
-    return ((int(h or 0) * 60 + int(m)) * 60 + int(s)) * 1000 + int(ms)
+def milliseconds(text: str) -> int | None:
+    """A timestamp of the WebVTT grammar, two digits or more of hours being optional; None for anything else."""
+    whole, dot, thousandths = text.partition(".")
+    fields = whole.split(":")
+    if not dot or len(thousandths) != 3 or len(fields) not in (2, 3) or not all(x.isascii() and x.isdigit() for x in (*fields, thousandths)):
+        return None
+    if len(fields[-1]) != 2 or len(fields[-2]) != 2 or len(fields[0]) < 2:
+        return None
+    total = 0
+    for x in fields:
+        total = 60 * total + int(x)
+    return 1000 * total + int(thousandths)
+
+
+def _timing(line: str) -> tuple[int, int, str] | None:
+    """Start, end and settings of a line of cue timings."""
+    before, arrow, after = line.partition(ARROW)
+    end, _, settings = after.strip().partition(" ")
+    start, stop = milliseconds(before.strip()), milliseconds(end.strip())
+    return (start, stop, settings.strip()) if arrow and start is not None and stop is not None else None
+
+
+def _blocks(lines: list[str]) -> Iterator[list[str]]:
+    """Runs of lines that aren't empty."""
+    held: list[str] = []
+    for line in lines:
+        if line:
+            held.append(line)
+        elif held:
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def parse(text: str) -> tuple[str, list[dict]]:
-    """The preamble and the cues, in the order of the text."""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if not re.match(r"WEBVTT(.|\n)*?\n{2}", text):
+    """The preamble (all before the first cue) and the cues, in the order of the text.
+
+    A block is a cue if its first line, or the second after an identifier, holds
+    timings; other blocks (notes, styles, regions) are kept as the notes of the
+    cue that they stand before.
+    """
+    lines = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n")
+    if lines[0].split(maxsplit=1)[:1] != ["WEBVTT"] or lines[0][:1].isspace() or "" not in lines:
         raise ValueError("no WebVTT preamble")
-    first = _HEADER.search(text)
-    at = first.start() if first else len(text)
-    preamble, cues = text[:at].rstrip(), []
-    while m := _HEADER.search(text, at):
-        line_end = text.find("\n", m.end())
-        body = len(text) if line_end < 0 else line_end + 1
-        end = text.find("\n\n", m.end())
-        end = len(text) if end < 0 else end
-        start, stop = milliseconds(m[2]), milliseconds(m[3])
+    preamble, cues, notes = [], [], []
+    for block in _blocks(lines):
+        place = next((i for i, line in enumerate(block[:2]) if ARROW in line), None)
+        timing = None if place is None else _timing(block[place])
+        if timing is None:
+            (notes if cues else preamble).append("\n".join(block))
+            continue
+        start, end, settings = timing
         cues.append({
-            "ordinal": len(cues), "timestamp": start / 1000, "duration": (stop - start) / 1000, "text": text[body:end].strip() if body <= end else "", "identifier": m[1], "settings": text[m.end() : body].strip(), "notes": text[at : m.start()],
+            "ordinal": len(cues), "timestamp": start / 1000, "duration": (end - start) / 1000, "text": "\n".join(block[place + 1 :]).strip(), "identifier": block[0] if place else None, "settings": settings, "notes": "".join(x + "\n\n" for x in notes),
         })
-        at = end + len(text[end:]) - len(text[end:].lstrip())
-    return preamble, cues
+        notes = []
+    return "\n\n".join(preamble), cues
 
 
 def read_cues(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
