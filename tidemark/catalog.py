@@ -122,17 +122,18 @@ def packet_range(spark, sf_dir):
 _RANGE = f"""{P}, b AS (SELECT min(us) + (max(us) - min(us)) // 4 AS s, min(us) + (max(us) - min(us)) // 2 AS e FROM p)"""
 
 
-def _bounds(rows: DataFrame) -> tuple[int, int]:
-    r = rows.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
-    a, b = r["a"] or 0, r["b"] or 0
-    return a + (b - a) // 4, a + (b - a) // 2
+def _with_bounds(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """rows with the least and greatest time of all packets, which are one row."""
+    ends = of.agg(F.coalesce(F.min("us"), F.lit(0)).alias("_lo"), F.coalesce(F.max("us"), F.lit(0)).alias("_hi"))
+    return rows.join(F.broadcast(ends))
 
 
 @query(f"""WITH {_RANGE} SELECT track, seq, us FROM (SELECT *, lead(us) OVER (PARTITION BY track ORDER BY us) AS n FROM p), b WHERE us < e AND (us >= s OR n IS NULL OR n > s)""")
 def sample_range(spark, sf_dir):
     rows = packets(spark, sf_dir)
-    start, end = _bounds(rows)
-    return pk.sample_range(rows, TRACK, F.lit(start), F.lit(end)).select("track", "seq", "us")
+    span = F.col("_hi") - F.col("_lo")
+    start, end = (F.col("_lo") + F.floor(span / n).cast("long") for n in (4, 2))
+    return pk.sample_range(_with_bounds(rows, rows), TRACK, start, end).select("track", "seq", "us")
 
 
 @query(f"""WITH {P}, b AS (SELECT min(us) AS lo, (max(us) - min(us)) // 8 AS step FROM p),
@@ -140,9 +141,9 @@ def sample_range(spark, sf_dir):
   SELECT g.track, g.ordinal, g.us, p.seq AS hit_seq FROM g ASOF LEFT JOIN p ON g.track = p.track AND g.us >= p.us""")
 def samples_at(spark, sf_dir):
     rows = packets(spark, sf_dir)
-    r = rows.agg(F.min("us").alias("a"), F.max("us").alias("b")).first()
-    low, step = r["a"] or 0, ((r["b"] or 0) - (r["a"] or 0)) // 8
-    times = rows.select("track").distinct().withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(9)))).select("track", F.col("ordinal").cast("long").alias("ordinal"), (F.lit(low - 1) + F.col("ordinal") * F.lit(step)).alias("us"))
+    step = F.floor((F.col("_hi") - F.col("_lo")) / 8).cast("long")
+    each = _with_bounds(rows.select("track").distinct(), rows).withColumn("ordinal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    times = each.select("track", "ordinal", (F.col("_lo") - 1 + F.col("ordinal") * step).alias("us"))
     return pk.samples_at(rows.select("track", "us", F.col("seq").alias("hit_seq")), times, TRACK, ["hit_seq"])
 
 
@@ -180,10 +181,16 @@ def first_timestamp(spark, sf_dir):
     return stats.first_timestamp(reordered(spark, sf_dir), ["kind"], TRACK)
 
 
-_METRICS = f"""{P}, g AS (SELECT track, us - lag(us) OVER (PARTITION BY track ORDER BY us) AS gap, us FROM (SELECT DISTINCT track, us FROM p)),
+def _metrics_sql(source: str, gap: str = "us - lag(us) OVER (PARTITION BY track ORDER BY us)", unit: str = "1e6::DOUBLE", from_: str = "") -> str:
+    return f"""{source}, g AS (SELECT track, {gap} AS gap, us, {unit} AS unit FROM (SELECT DISTINCT track, us FROM p) {from_}),
   r AS (SELECT *, row_number() OVER (PARTITION BY track ORDER BY gap, us) AS i, count(*) OVER (PARTITION BY track) AS n FROM g WHERE gap IS NOT NULL),
-  m AS (SELECT track, max(n) + 1 AS frames, 1e6::DOUBLE / max(gap)::DOUBLE AS min_rate, 1e6::DOUBLE / min(gap)::DOUBLE AS max_rate, max(n) * 1e6::DOUBLE / CAST(sum(gap) AS BIGINT)::DOUBLE AS avg_rate,
-    (1e6::DOUBLE / max(CASE WHEN i = (n + 1) // 2 THEN gap END)::DOUBLE + 1e6::DOUBLE / max(CASE WHEN i = n // 2 + 1 THEN gap END)::DOUBLE) / 2 AS median_rate, min(gap) = max(gap) AS constant FROM r GROUP BY track)"""
+  m0 AS (SELECT track, max(n) + 1 AS frames, max(unit) / max(gap)::DOUBLE AS min_rate, max(unit) / min(gap)::DOUBLE AS max_rate, max(n) * max(unit) / CAST(sum(gap) AS BIGINT)::DOUBLE AS avg_rate,
+    (max(unit) / max(CASE WHEN i = (n + 1) // 2 THEN gap END)::DOUBLE + max(unit) / max(CASE WHEN i = n // 2 + 1 THEN gap END)::DOUBLE) / 2 AS median_rate, min(gap) = max(gap) AS constant FROM r GROUP BY track),
+  m AS (SELECT track, coalesce(frames, 1) AS frames, coalesce(min_rate, 1e6::DOUBLE) AS min_rate, coalesce(max_rate, 1e6::DOUBLE) AS max_rate, coalesce(avg_rate, 1e6::DOUBLE) AS avg_rate, coalesce(median_rate, 1e6::DOUBLE) AS median_rate, coalesce(constant, true) AS constant
+    FROM (SELECT DISTINCT track FROM p) LEFT JOIN m0 USING (track))"""
+
+
+_METRICS = _metrics_sql(P)
 
 
 @query(f"WITH {_METRICS} SELECT * FROM m")
@@ -191,6 +198,25 @@ def frame_metrics(spark, sf_dir):
     return stats.frame_metrics(packets(spark, sf_dir), TRACK)
 
 
+_FRAMES = "CASE WHEN track % 3 = 0 OR lag(us) OVER (PARTITION BY track ORDER BY us) IS NULL THEN us - lag(us) OVER (PARTITION BY track ORDER BY us) ELSE greatest(1, floor((us - lag(us) OVER (PARTITION BY track ORDER BY us)) / (1e6::DOUBLE / (0.001::DOUBLE * (track % 3))) + 0.5::DOUBLE))::BIGINT END"
+
+
+@query(f"""WITH {_metrics_sql(P, _FRAMES, "CASE WHEN track % 3 = 0 THEN 1e6::DOUBLE ELSE 0.001::DOUBLE * (track % 3) END")} SELECT * FROM m""")
+def frame_metrics_fitted(spark, sf_dir):
+    """Two tracks of three have an underlying rate: their gaps are whole frames of it."""
+    rows = packets(spark, sf_dir)
+    known = rows.select("track").distinct().select("track", F.when(F.col("track") % 3 != 0, F.lit(0.001) * (F.col("track") % 3)).alias("rate"))
+    return stats.frame_metrics(rows, TRACK, fitted=known)
+
+
+@query(f"""WITH {P.replace("p AS (", "p0 AS (", 1)}, p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY seq) AS nth FROM p0) WHERE nth <= 1 + track % 2 * 12) {_metrics_sql("")} SELECT * FROM m""")
+def frame_metrics_prefix(spark, sf_dir):
+    """The first packets only, of even tracks just one, which has the resolution as its rate."""
+    rows = packets(spark, sf_dir)
+    even, odd = (stats.frame_metrics(rows.filter(F.col("track") % 2 == k), TRACK, target=1 + 12 * k) for k in (0, 1))
+    return even.unionByName(odd)
+
+
 _GUESS = " ".join(f"WHEN abs({c!r}::DOUBLE / x - 1) <= {stats.SPECIAL_TOLERANCE} THEN {c!r}::DOUBLE" for c in stats.SPECIAL_RATES)
 _NEAR = f"(SELECT c FROM (SELECT unnest([{', '.join(f'{float(c)!r}::DOUBLE' for c in stats.COMMON_RATES)}]) AS c) WHERE abs(c / x - 1) <= {stats.COMMON_TOLERANCE} ORDER BY abs(c / x - 1), c LIMIT 1)"
 
@@ -202,9 +228,9 @@ def best_guess_rate(spark, sf_dir):
     return rows.withColumn("best_guess", stats.best_guess_rate(F.col("rate")))
 
 
-@query()
+@query(f"SELECT c_custkey AS track, [{', '.join(f'{float(r)!r}::DOUBLE' for r in rates.KNOWN_RATES)}][c_custkey % {len(rates.KNOWN_RATES)} + 1] AS true_rate, [{', '.join(f'{float(r)!r}::DOUBLE' for r in rates.KNOWN_RATES)}][c_custkey % {len(rates.KNOWN_RATES)} + 1] AS rate FROM customer")
 def frame_fit(spark, sf_dir):
-    """Rates of generated tracks: a customer is a track of 300 frames at one of the known rates, some frames dropped."""
+    """Rates of generated tracks: a customer is a track of 300 frames at one of the known rates, some frames dropped. The rates that went in must come out."""
     rate = F.element_at(F.array(*[F.lit(float(r)) for r in rates.KNOWN_RATES]), (F.col("c_custkey") % len(rates.KNOWN_RATES) + 1).cast("int"))
     rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("track"), rate.alias("true_rate"), F.explode(F.sequence(F.lit(0), F.lit(299))).alias("i"))
     rows = rows.filter("i % 11 <> 4").select("track", "true_rate", F.col("i").cast("long").alias("seq"), F.floor(F.col("i") / F.col("true_rate") * 90000 + 0.5).cast("double").alias("ticks"))
@@ -234,11 +260,11 @@ def primary_track(spark, sf_dir):
 def _supplier_tracks(spark, sf_dir):
     members = F.array_distinct(F.array(F.col("s_suppkey") % 11, F.col("s_suppkey") % 17 + 100))
     rows = _table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("file"), F.col("s_suppkey").alias("track"), members.alias("members"))
-    return rows.filter("track % 2 = 0"), rows.filter("track % 3 = 0")
+    return rows, rows
 
 
 _PAIR = """WITH s AS (SELECT s_nationkey AS file, s_suppkey AS track, [s_suppkey % 11, s_suppkey % 17 + 100] AS members FROM supplier),
-  a AS (SELECT * FROM s WHERE track % 2 = 0), b AS (SELECT * FROM s WHERE track % 3 = 0) """
+  a AS (SELECT * FROM s), b AS (SELECT * FROM s) """
 
 
 @query(_PAIR + "SELECT a.file, a.track AS a, b.track AS b FROM a JOIN b ON a.file = b.file AND a.track <> b.track AND list_has_any(a.members, b.members)")
@@ -303,21 +329,35 @@ def gap_fill(spark, sf_dir):
     return timeline.gap_fill(rows, TRACK, SLOT)
 
 
-@query()
+_STARTS = f"""o AS (SELECT track, seq, us, row_number() OVER (PARTITION BY track ORDER BY seq) AS r FROM p)"""
+
+
+@query(f"""WITH RECURSIVE {P}, {_STARTS}, c AS (SELECT track, seq, us, r, 0::BIGINT AS chunk, us AS start FROM o WHERE r = 1
+  UNION ALL SELECT o.track, o.seq, o.us, o.r, CASE WHEN o.us - c.start >= {SLOT} THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN o.us - c.start >= {SLOT} THEN o.us ELSE c.start END FROM c JOIN o ON o.track = c.track AND o.r = c.r + 1)
+  SELECT track, seq, us, chunk FROM c""")
 def chunking(spark, sf_dir):
     return timeline.chunking(packets(spark, sf_dir), TRACK, SLOT)
 
 
-@query()
+def _segments_sql(heads: str) -> str:
+    """Greedy cuts at heads: one opens a segment if it or the next one lies beyond the target."""
+    beyond = f"(h.us - c.start > {24 * SLOT} OR coalesce(h.next_us - c.start > {24 * SLOT}, false))"
+    return f"""h AS (SELECT track, seq, us, row_number() OVER w AS r, lead(us) OVER w AS next_us FROM ({heads}) WINDOW w AS (PARTITION BY track ORDER BY seq)),
+  c AS (SELECT track, seq, us, r, 0::BIGINT AS segment, us AS start FROM h WHERE r = 1
+  UNION ALL SELECT h.track, h.seq, h.us, h.r, CASE WHEN {beyond} THEN c.segment + 1 ELSE c.segment END, CASE WHEN {beyond} THEN h.us ELSE c.start END FROM c JOIN h ON h.track = c.track AND h.r = c.r + 1),
+  x AS (SELECT p.*, c.segment FROM p ASOF LEFT JOIN c ON p.track = c.track AND p.seq >= c.seq)"""
+
+
+@query(f"""WITH RECURSIVE {P}, {_segments_sql("SELECT * FROM p WHERE key")} SELECT track, seq, us, coalesce(segment, 0) AS segment FROM x""")
 def segment_greedy(spark, sf_dir):
     return timeline.segment_greedy(packets(spark, sf_dir), TRACK, 24 * SLOT).select("track", "seq", "us", "segment")
 
 
-@query(f"""WITH {P}, c AS (SELECT track % 10 AS track, us, dur FROM p WHERE kind = 'view'), d AS (SELECT track, us AS t, 1 AS d FROM c UNION ALL SELECT track, us + dur, -1 FROM c),
+@query(f"""WITH {P}, c AS (SELECT track % 10 AS track, us, dur FROM p), d AS (SELECT track, us AS t, 1 AS d FROM c UNION ALL SELECT track, us + dur, -1 FROM c),
   s AS (SELECT track, t, sum(d)::BIGINT AS d FROM d GROUP BY track, t)
   SELECT * FROM (SELECT track, t AS start_us, lead(t) OVER (PARTITION BY track ORDER BY t) AS end_us, (sum(d) OVER (PARTITION BY track ORDER BY t))::BIGINT AS shown FROM s) WHERE end_us IS NOT NULL""")
 def cue_flatten(spark, sf_dir):
-    rows = packets(spark, sf_dir).filter("kind = 'view'").withColumn("track", F.col("track") % 10)
+    rows = packets(spark, sf_dir).withColumn("track", F.col("track") % 10)
     return timeline.cue_flatten(rows, TRACK)
 
 
@@ -374,12 +414,39 @@ def _s16(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", F.transform(audio.quantise(F.col("embedding"), "s16"), lambda x: x.cast("int")).alias("s16"))
 
 
-@query()
+_S16 = "list_transform(embedding, lambda x: greatest(least(floor(x::DOUBLE * 32767 + 0.5), 32767), -32768)::INTEGER)"
+
+
+def _law_sql(encode: str, decode: str) -> str:
+    """encode: of the sample x; decode: of the byte b, whose inverted form has sign, chord h and step l."""
+    return f"""WITH s AS (SELECT vec_id, {_S16} AS s16 FROM embeddings), e AS (SELECT vec_id, list_transform(s16, lambda x: ({encode})::INTEGER) AS coded FROM s)
+  SELECT vec_id, coded, list_transform(coded, lambda b: ({decode})::INTEGER) AS decoded FROM e"""
+
+
+def _chord_sql(m: str, least: int, most: int) -> str:
+    """The place of the highest bit, by comparing."""
+    return "(CASE " + " ".join(f"WHEN {m} >= {1 << k} THEN {k}" for k in range(most, least, -1)) + f" ELSE {least} END)"
+
+
+_UM, _AM = "least(abs(x) + 33, 8191)", "least(abs(x), 4095)"
+_UH, _AH = _chord_sql(_UM, 5, 12), _chord_sql(_AM, 4, 11)
+_ULAW = _law_sql(
+    f"255 - ((CASE WHEN x < 0 THEN 128 ELSE 0 END) + ({_UH} - 5) * 16 + {_UM} // (1 << ({_UH} - 4)) % 16)",
+    "(CASE WHEN 255 - b >= 128 THEN -1 ELSE 1 END) * ((33 + 2 * ((255 - b) % 16)) * (1 << ((255 - b) // 16 % 8)) - 33)",
+)
+_A = "xor(b, 85)"
+_ALAW = _law_sql(
+    f"xor((CASE WHEN x < 0 THEN 128 ELSE 0 END) + ({_AH} - 4) * 16 + {_AM} // (1 << greatest({_AH} - 4, 1)) % 16, 85)",
+    f"(CASE WHEN {_A} >= 128 THEN -1 ELSE 1 END) * (CASE WHEN {_A} // 16 % 8 = 0 THEN 2 * ({_A} % 16) + 1 ELSE (33 + 2 * ({_A} % 16)) * (1 << ({_A} // 16 % 8 - 1)) END)",
+)
+
+
+@query(_ULAW)
 def pcm_ulaw(spark, sf_dir):
     return _s16(spark, sf_dir).withColumn("coded", audio.to_ulaw("s16")).withColumn("decoded", audio.from_ulaw("coded")).drop("s16")
 
 
-@query()
+@query(_ALAW)
 def pcm_alaw(spark, sf_dir):
     return _s16(spark, sf_dir).withColumn("coded", audio.to_alaw("s16")).withColumn("decoded", audio.from_alaw("coded")).drop("s16")
 
@@ -394,7 +461,17 @@ def audio_trim(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", audio.trim(F.col("embedding"), 2, F.lit(4), F.lit(20)).alias("frames"))
 
 
-@query()
+def _sample_sql(j: str) -> str:
+    return f"(CASE WHEN {j} >= 0 AND {j} < n THEN embedding[({j}) + 1]::DOUBLE ELSE 0 END)"
+
+
+_AT = "(i / 44100.0::DOUBLE - start) * 48000"
+_LOW = f"floor({_AT})::BIGINT"
+
+
+@query(f"""WITH e AS (SELECT vec_id, embedding, len(embedding) AS n, (vec_id * 64) / 48000::DOUBLE AS start FROM embeddings),
+  f AS (SELECT *, greatest(0, floor(start * 44100))::BIGINT AS a, ceil((start + n / 48000.0::DOUBLE) * 44100)::BIGINT AS b FROM e)
+  SELECT vec_id, a AS first_frame, list_transform(range(a, b), lambda i: ({_sample_sql(_LOW)} + ({_AT} - {_LOW}) * ({_sample_sql(_LOW + " + 1")} - {_sample_sql(_LOW)}))::FLOAT) AS samples FROM f""")
 def resample(spark, sf_dir):
     rows = _table(spark, sf_dir, "embeddings").select("vec_id", (F.col("vec_id") * 64 / 48000).alias("start"), F.col("embedding").alias("samples"))
     return audio.resample_rows(rows, ["vec_id"], 1, 48000, 44100)
@@ -408,13 +485,16 @@ def vtt_time(spark, sf_dir):
     return rows.withColumn("back", text.parse_subtitle_time(F.col("t")).cast("long"))
 
 
-@query()
+@query("""WITH u AS (SELECT page_id, regexp_extract(split_part(url, '?', 1), '^([^/]*://[^/]*)(/.*)$', ['host', 'path']) AS x FROM pages), d AS (SELECT page_id, x.host AS host, regexp_replace(x.path, '[^/]*$', '') AS dir FROM u)
+  SELECT page_id, CASE page_id % 5 WHEN 0 THEN host || dir || 'a/b.ts' WHEN 1 THEN host || (CASE WHEN dir = '/' THEN '' ELSE regexp_replace(dir, '[^/]+/$', '') END) || 'up.ts' WHEN 2 THEN host || '/root.m3u8' WHEN 3 THEN host || dir || 'here.ts' ELSE 'https://cdn.example.org/x.ts' END AS path FROM d""")
 def path_join(spark, sf_dir):
     relative = F.element_at(F.array(*map(F.lit, ("a/b.ts", "../up.ts", "/root.m3u8", "./here.ts", "https://cdn.example.org/x.ts"))), (F.col("page_id") % 5 + 1).cast("int"))
-    return _table(spark, sf_dir, "pages").select("page_id", text.join_paths("url", relative).alias("path"))
+    return _table(spark, sf_dir, "pages").select("page_id", text.join_paths(F.col("url"), relative).alias("path"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, {_segments_sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY track ORDER BY seq) AS nth FROM p) WHERE key OR nth = 1")},
+  g AS (SELECT track, segment, arg_min(us, seq) AS start_us, count(*) AS packets, sum(bytes)::BIGINT AS bytes FROM x GROUP BY track, segment)
+  SELECT * FROM (SELECT track, segment, start_us, lead(start_us) OVER (PARTITION BY track ORDER BY segment) AS end_us, packets, bytes FROM g) WHERE end_us IS NOT NULL""")
 def stream_append(spark, sf_dir):
     """Segments from a stream of packets, run to the end of what is there; the same as in one batch."""
     import tempfile
@@ -422,13 +502,17 @@ def stream_append(spark, sf_dir):
 
     from .streaming import live
 
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = tempfile.mkdtemp(prefix="tidemark-")
     folder = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
     rows = packets(spark, sf_dir).select("track", "seq", "us", "bytes", "key")
     rows.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("track long, seq long, us long, bytes long, key boolean").parquet(f"{folder}/in")
     live.write_progressively(live.segment_stream(stream, 24 * SLOT), f"{folder}/out", f"{folder}/state").awaitTermination()
-    return spark.read.schema(live.SEGMENT_OUT).parquet(f"{folder}/out")
+    return spark.read.schema(live.SEGMENT_OUT).parquet(f"{folder}/out").drop("batch")
 
 
 @query("""SELECT p_partkey AS part, CASE WHEN p_size % 3 = 0 THEN 'key' ELSE 'delta' END AS type, CASE WHEN p_size % 4 IN (1, 3) THEN p_size * 10 ELSE p_size * 16 END AS display_width, CASE WHEN p_size % 4 IN (1, 3) THEN p_size * 16 ELSE p_size * 10 END AS display_height FROM part""")
@@ -442,10 +526,10 @@ def language_code(spark, sf_dir):
     return _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("nation"), text.language_code(F.concat(F.substring("n_name", 1, 3), F.lit("-XX"))).alias("language"))
 
 
-@query(f"""WITH {P} SELECT kind, string_agg(track::VARCHAR, ', ' ORDER BY track) AS tracks FROM (SELECT DISTINCT kind, track FROM p) GROUP BY kind""")
-def mime_parameters(spark, sf_dir):
-    rows = packets(spark, sf_dir).select("kind", "track").distinct()
-    return rows.groupBy("kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list("track")), lambda x: x.cast("string")), ", ").alias("tracks"))
+@query("""SELECT c_nationkey AS file, 'video/mp4' || coalesce('; codecs="' || string_agg(c, ', ' ORDER BY t) || '"', '') AS mime_type FROM (SELECT c_nationkey, 'mp4a.' || (c_custkey % 5)::VARCHAR || lower(c_mktsegment) AS c, min(c_custkey) AS t FROM customer GROUP BY ALL) GROUP BY c_nationkey""")
+def mime_type(spark, sf_dir):
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("file"), F.col("c_custkey").alias("ordinal"), F.concat(F.lit("mp4a."), (F.col("c_custkey") % 5).cast("string"), F.lower("c_mktsegment")).alias("codec_string"))
+    return stats.mime_type(rows, ["file"], F.lit("video/mp4"))
 
 
 @query(f"""WITH {P} SELECT CASE WHEN max(e) IS NULL THEN 0 ELSE greatest(0.0, least(1.0, min(e)::DOUBLE / 1800000000000000.0::DOUBLE)) END AS progress FROM (SELECT track, max(us + dur) AS e FROM p GROUP BY track)""")
@@ -458,12 +542,12 @@ def pcm_round_trip(spark, sf_dir):
     return _table(spark, sf_dir, "embeddings").select("vec_id", audio.normalise(audio.quantise(F.col("embedding"), "s16"), "s16").alias("samples"))
 
 
-@query("""SELECT o_orderkey AS file, l_linenumber::BIGINT AS track, CASE WHEN l_returnflag = 'R' THEN 'copy' ELSE 'transcode' END AS action FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
+@query("""SELECT o_orderkey AS file, l_linenumber::BIGINT AS track, CASE WHEN l_returnflag = 'R' THEN 'copy' ELSE 'transcode' END AS action FROM orders JOIN lineitem ON o_orderkey = l_orderkey""")
 def conversion_plan(spark, sf_dir):
     """Line items as video tracks: returned ones are in the target's codec, the others must be transcoded."""
     from .plans import conversion
 
-    rows = _table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
+    rows = _table(spark, sf_dir, "orders").join(_table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select(
         F.col("o_orderkey").alias("file_id"), F.col("l_linenumber").cast("long").alias("track_id"), F.lit("video").alias("type"), F.when(F.col("l_returnflag") == "R", "vp9").otherwise("avc").alias("codec"), F.col("l_linenumber").alias("ordinal"), F.lit(0).alias("rotation"), F.lit(640).alias("coded_width"), F.lit(480).alias("coded_height")
     )
     options = spark.createDataFrame([("video", 0, False, None, None, None, False)], "type string, option int, discard boolean, target_codec string, width int, height int, force boolean")
@@ -497,11 +581,10 @@ def pcm_digest(spark, sf_dir):
 
 @query(f"""WITH {P} SELECT track, seq, us - us % {SLOT} AS floored, (us + {SLOT // 2}) // {SLOT} * {SLOT} AS rounded FROM p""")
 def round_to_multiple(spark, sf_dir):
-    whole = lambda c: (F.floor(c / SLOT).cast("long") * SLOT).cast("long")
-    return packets(spark, sf_dir).select("track", "seq", whole(F.col("us")).alias("floored"), whole(F.col("us") + SLOT // 2).alias("rounded"))
+    return packets(spark, sf_dir).select("track", "seq", timeline.floor_to_multiple(F.col("us"), SLOT).alias("floored"), timeline.round_to_multiple(F.col("us"), SLOT).alias("rounded"))
 
 
-@query("""SELECT conv_id, count(*) AS cues, '00:00:' || lpad(max(turn)::VARCHAR, 2, '0') || '.000' AS last_start FROM conversations WHERE turn < 60 GROUP BY conv_id""")
+@query("""SELECT conv_id, count(*) AS cues, (CASE WHEN max(turn) < 36000 THEN '0' ELSE '' END) || (max(turn) // 3600)::VARCHAR || ':' || lpad((max(turn) // 60 % 60)::VARCHAR, 2, '0') || ':' || lpad((max(turn) % 60)::VARCHAR, 2, '0') || '.000' AS last_start FROM conversations GROUP BY conv_id""")
 def cue_times(spark, sf_dir):
-    rows = _table(spark, sf_dir, "conversations").filter("turn < 60").groupBy("conv_id").agg(F.count("*").alias("cues"), F.max("turn").alias("t"))
+    rows = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("cues"), F.max("turn").alias("t"))
     return rows.select("conv_id", "cues", text.format_subtitle_time(F.col("t") * 1000).alias("last_start"))

@@ -6,10 +6,8 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
 
 #: By (source, target) channels, the weights of the source channels in each target channel.
 HALF = math.sqrt(0.5)
@@ -112,17 +110,66 @@ def alaw_decode(b: np.ndarray) -> np.ndarray:
     return np.where(c & 0x80, -m, m)
 
 
-def _per_row(f):
-    def apply(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else f(np.asarray(r)).tolist() for r in rows])
+def _shift(name: str, x: Column, by: Column) -> Column:
+    return F.call_function(name, x, by.cast("int"))
 
-    return apply
 
+def _highest(x: Column) -> Column:
+    """The place of the highest set bit of a positive whole number."""
+    return F.length(F.bin(x.cast("long"))) - 1
 
-to_ulaw = F.pandas_udf(_per_row(ulaw_encode), ArrayType(IntegerType()))
-from_ulaw = F.pandas_udf(_per_row(ulaw_decode), ArrayType(IntegerType()))
-to_alaw = F.pandas_udf(_per_row(alaw_encode), ArrayType(IntegerType()))
-from_alaw = F.pandas_udf(_per_row(alaw_decode), ArrayType(IntegerType()))
+
+def _chord(x: Column, least: int, most: int) -> Column:
+    return F.greatest(F.lit(least), F.least(F.lit(most), _highest(F.greatest(x, F.lit(1)))))
+
+
+def to_ulaw(samples: Column) -> Column:
+    """ulaw_encode of every sample of an array."""
+
+    def code(x: Column) -> Column:
+        m = F.least(F.abs(x.cast("int")) + 33, F.lit(0x1FFF))
+        high = _chord(m, 5, 12)
+        body = F.when(x < 0, 0x80).otherwise(0) + (high - 5) * 16 + _shift("shiftright", m, high - 4).bitwiseAND(15)
+        return (F.lit(255) - body).cast("int")
+
+    return F.transform(samples, code)
+
+
+def from_ulaw(codes: Column) -> Column:
+    """ulaw_decode of every byte of an array."""
+
+    def sample(b: Column) -> Column:
+        c = F.lit(255) - b
+        high = F.floor(c.bitwiseAND(0x70) / 16).cast("int") + 5
+        m = _shift("shiftleft", F.lit(1), high) + _shift("shiftleft", c.bitwiseAND(15), high - 4) + _shift("shiftleft", F.lit(1), high - 5) - 33
+        return F.when(c >= 0x80, -m).otherwise(m).cast("int")
+
+    return F.transform(codes, sample)
+
+
+def to_alaw(samples: Column) -> Column:
+    """alaw_encode of every sample of an array."""
+
+    def code(x: Column) -> Column:
+        m = F.least(F.abs(x.cast("int")), F.lit(0xFFF))
+        high = _chord(m, 4, 11)
+        body = F.when(x < 0, 0x80).otherwise(0) + (high - 4) * 16 + _shift("shiftright", m, F.greatest(high - 4, F.lit(1))).bitwiseAND(15)
+        return body.bitwiseXOR(F.lit(0x55)).cast("int")
+
+    return F.transform(samples, code)
+
+
+def from_alaw(codes: Column) -> Column:
+    """alaw_decode of every byte of an array."""
+
+    def sample(b: Column) -> Column:
+        c = b.bitwiseXOR(F.lit(0x55))
+        high = F.floor(c.bitwiseAND(0x70) / 16).cast("int") + 4
+        low = c.bitwiseAND(15)
+        m = F.when(high == 4, 2 * low + 1).otherwise(_shift("shiftleft", F.lit(1), high) + _shift("shiftleft", low, high - 4) + _shift("shiftleft", F.lit(1), F.greatest(high - 5, F.lit(0))))
+        return F.when(c >= 0x80, -m).otherwise(m).cast("int")
+
+    return F.transform(codes, sample)
 
 
 def resample(samples: np.ndarray, channels: int, rate: int, target: int, start: float = 0.0) -> tuple[int, np.ndarray]:
@@ -146,16 +193,34 @@ def resample(samples: np.ndarray, channels: int, rate: int, target: int, start:
     return first, (frame(low) + part * (frame(low + 1) - frame(low))).astype(np.float32).ravel()
 
 
+def resample_column(samples: Column, start: Column, channels: int, rate: int, target: int) -> tuple[Column, Column]:
+    """What ``resample`` gives, as columns: the first output frame's number, and the interleaved frames."""
+    n = F.floor(F.size(samples) / channels).cast("long")
+    first = F.greatest(F.lit(0), F.floor(start * target)).cast("long")
+    last = F.ceil((start + n / F.lit(float(rate))) * target).cast("long")
+
+    def frame(j: Column, c: int) -> Column:
+        return F.when((j >= 0) & (j < n), F.get(samples, (j * channels + c).cast("int")).cast("double")).otherwise(0.0)
+
+    def output(i: Column) -> Column:
+        at = (i / F.lit(float(target)) - start) * rate
+        low = F.floor(at).cast("long")
+        return F.array(*[(frame(low, c) + (at - low) * (frame(low + 1, c) - frame(low, c))).cast("float") for c in range(channels)])
+
+    frames = F.flatten(F.transform(F.sequence(first, last - 1), output))
+    return first, F.when((n > 0) & (last > first), frames).otherwise(F.array().cast("array<float>"))
+
+
 def resample_rows(rows: DataFrame, keys: Sequence[str], channels: int, rate: int, target: int) -> DataFrame:
     """keys, ``start`` (seconds) and ``samples`` to keys, first_frame and resampled samples."""
+    first, samples = resample_column(F.col("samples"), F.col("start"), channels, rate, target)
+    return rows.select(*keys, first.alias("first_frame"), samples.alias("samples"))
 
-    def run(batches):
-        for pdf in batches:
-            found = [resample(np.asarray(s if s is not None else []), channels, rate, target, t) for s, t in zip(pdf["samples"], pdf["start"], strict=True)]
-            yield pdf[list(keys)].assign(first_frame=[f for f, _ in found], samples=[x.tolist() for _, x in found])
 
-    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, "start", "samples").mapInPandas(run, f"{kinds}, first_frame long, samples array<float>")
+def mix_frames(pieces: DataFrame, keys: Sequence[str], channels: int) -> DataFrame:
+    """keys, frame, channel, sample: where resampled pieces of a track overlap, their samples are added up."""
+    each = pieces.select(*keys, "first_frame", F.posexplode("samples").alias("_i", "sample"))
+    return each.groupBy(*keys, (F.col("first_frame") + F.floor(F.col("_i") / channels)).alias("frame"), (F.col("_i") % channels).alias("channel")).agg(F.sum(F.col("sample").cast("double")).alias("sample"))
 
 
 def pcm_codec(c: Column) -> Column:

@@ -53,27 +53,44 @@ def first_timestamp(packets: DataFrame, file_keys: Sequence[str], keys: Sequence
     return firsts.groupBy(*file_keys).agg(F.coalesce(F.min("us"), F.lit(0)).alias("first_us"))
 
 
-def frame_metrics(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rates from the gaps between distinct times: least, greatest, average, and the median of instantaneous rates."""
+def frame_metrics(packets: DataFrame, keys: Sequence[str], resolution: float = 1e6, fitted: DataFrame | None = None, target: int | None = None) -> DataFrame:
+    """Rates from the gaps between distinct times: least, greatest, average, and the median of instantaneous rates.
+
+    A track with one time has the resolution (times a second) as every rate.
+    fitted: keys and ``rate`` of tracks whose underlying rate is known (null:
+    none); their gaps count in whole frames of it. target: only so many packets
+    of a track, the first in decode order, are looked at.
+    """
+    if target is not None:
+        first = Window.partitionBy(*keys).orderBy("seq")
+        packets = packets.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= target)
     ticks = packets.select(*keys, "us").distinct()
     order = Window.partitionBy(*keys).orderBy("us")
-    gaps = ticks.withColumn("gap", F.col("us") - F.lag("us").over(order)).filter("gap is not null")
+    rows = ticks.withColumn("gap", F.col("us") - F.lag("us").over(order))
+    if fitted is None:
+        rows = rows.withColumn("unit", F.lit(float(resolution)))
+    else:
+        rows = rows.join(fitted.select(*keys, F.col("rate").alias("_rate")), list(keys), "left")
+        frames = F.greatest(F.lit(1), F.floor(F.col("gap") / (F.lit(float(resolution)) / F.col("_rate")) + 0.5)).cast("long")
+        rows = rows.withColumns({"gap": F.when(F.col("gap").isNotNull() & F.col("_rate").isNotNull(), frames).otherwise(F.col("gap")), "unit": F.coalesce("_rate", F.lit(float(resolution)))})
     by_gap = Window.partitionBy(*keys).orderBy("gap", "us")
-    ranked = gaps.withColumns({"i": F.row_number().over(by_gap), "n": F.count("*").over(Window.partitionBy(*keys))})
+    # The first time of a track has no gap; it sorts first and is not counted.
+    ranked = rows.withColumns({"i": F.row_number().over(by_gap) - 1, "n": F.count("*").over(Window.partitionBy(*keys)) - 1})
     middle = lambda i: F.max(F.when(F.col("i") == i, F.col("gap")))
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     sums = ranked.groupBy(*keys).agg(
-        (F.max("n") + 1).alias("frames"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.sum("gap").alias("total"), F.max("n").alias("n"), middle(low).alias("m1"), middle(high).alias("m2")
+        (F.max("n") + 1).alias("frames"), F.max("unit").alias("unit"), F.min("gap").alias("least"), F.max("gap").alias("most"), F.sum("gap").alias("total"), F.max("n").alias("n"), middle(low).alias("m1"), middle(high).alias("m2")
     )
-    rate = lambda gap: F.lit(1e6) / gap.cast("double")
+    only = lambda c: F.when(F.col("n") == 0, F.lit(float(resolution))).otherwise(c)
+    rate = lambda gap: F.try_divide(F.col("unit"), gap.cast("double"))
     return sums.select(
         *keys,
         "frames",
-        rate(F.col("most")).alias("min_rate"),
-        rate(F.col("least")).alias("max_rate"),
-        (F.col("n") * F.lit(1e6) / F.col("total").cast("double")).alias("avg_rate"),
-        ((rate(F.col("m1")) + rate(F.col("m2"))) / 2).alias("median_rate"),
-        (F.col("least") == F.col("most")).alias("constant"),
+        only(rate(F.col("most"))).alias("min_rate"),
+        only(rate(F.col("least"))).alias("max_rate"),
+        only(F.try_divide(F.col("n") * F.col("unit"), F.col("total").cast("double"))).alias("avg_rate"),
+        only((rate(F.col("m1")) + rate(F.col("m2"))) / 2).alias("median_rate"),
+        F.coalesce(F.col("least") == F.col("most"), F.lit(True)).alias("constant"),
     )
 
 

@@ -116,10 +116,10 @@ def segment_greedy(packets: DataFrame, keys: Sequence[str], target_us: int = 2_0
 
 
 def cue_flatten(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Disjoint intervals between all starts and ends of a track's cues, with how many cues and which are shown in each.
+    """Disjoint intervals between all starts and ends of a track's cues, with how many cues are shown in each.
 
     A running sum of +1 at starts and -1 at ends counts the cues; no interval
-    is joined with all cues. Only the least shown id is kept where ids are asked.
+    is joined with all cues.
     """
     starts = cues.select(*keys, F.col("us").alias("t"), F.lit(1).alias("d"))
     ends = cues.select(*keys, (F.col("us") + F.col("dur")).alias("t"), F.lit(-1).alias("d"))
@@ -129,6 +129,16 @@ def cue_flatten(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter("end_us is not null").select(*keys, F.col("t").alias("start_us"), "end_us", "shown")
 
 
+def floor_to_multiple(value: Column, step: int) -> Column:
+    """The greatest multiple of a whole step that is no greater."""
+    return (F.floor(value / step).cast("long") * step).cast("long")
+
+
+def round_to_multiple(value: Column, step: int) -> Column:
+    """The nearest multiple of a whole step; halves go up."""
+    return floor_to_multiple(value + step // 2, step)
+
+
 def segments_of(packets: DataFrame, keys: Sequence[str], segment: Column) -> DataFrame:
     """Segments of a track with their sizes, numbered from 0."""
     rows = packets.withColumn("_s", segment).groupBy(*keys, "_s").agg(F.min("us").alias("us"), (F.max(F.col("us") + F.col("dur")) - F.min("us")).alias("dur"), F.sum("bytes").alias("bytes"))

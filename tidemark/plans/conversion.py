@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 VIDEO_CODECS = ("avc", "hevc", "vp9", "av1", "vp8", "prores")
 AUDIO_CODECS = ("aac", "opus", "mp3", "vorbis", "flac", "ac3", "eac3", "dts")
 PCM_CODECS = ("pcm-s16", "pcm-s16be", "pcm-s24", "pcm-s24be", "pcm-s32", "pcm-s32be", "pcm-f32", "pcm-f32be", "pcm-f64", "pcm-f64be", "pcm-u8", "pcm-s8", "ulaw", "alaw")
+SUBTITLE_CODECS = ("webvtt",)
 _MKV_PCM = tuple(c for c in PCM_CODECS if c not in ("pcm-s8", "pcm-f32be", "pcm-f64be", "ulaw", "alaw"))
 _MP4_PCM = tuple(c for c in PCM_CODECS if c not in ("pcm-u8", "pcm-s8", "ulaw", "alaw"))
 
@@ -27,6 +28,7 @@ FORMATS: dict[str, tuple] = {
     "ogg": ((), ("vorbis", "opus"), (), {}, 2**31 - 1, False, False),
     "adts": ((), ("aac",), (), {"audio": 1}, 1, False, False),
     "flac": ((), ("flac",), (), {"audio": 1}, 1, False, False),
+    "hls": (VIDEO_CODECS, AUDIO_CODECS + _MP4_PCM, ("webvtt",), {}, 2**31 - 1, False, True),
     "mpegts": (("avc", "hevc"), ("aac", "mp3", "ac3", "eac3", "dts"), (), {"video": 16, "audio": 32}, 48, False, True),
 }
 
@@ -65,7 +67,7 @@ def plan(tracks: DataFrame, options: DataFrame, target: str, by: Sequence[str] =
     """
     video, audio, subtitle, most, total, rotation, timed = FORMATS[target]
     allowed = {"video": video, "audio": audio, "subtitle": subtitle}
-    rows = tracks.join(F.broadcast(options), "type", "left").withColumns({"discard": F.coalesce("discard", F.lit(False)), "option": F.coalesce("option", F.lit(0))})
+    rows = tracks.join(options, "type", "left").withColumns({"discard": F.coalesce("discard", F.lit(False)), "option": F.coalesce("option", F.lit(0))})
     fits = F.lit(False)
     first = F.lit(None).cast("string")
     for kind, names in allowed.items():

@@ -2,7 +2,7 @@
 
 Files come from Spark's binaryFile source, so they are listed, filtered and
 split over tasks by Spark, in any store that it reads. One file is parsed in
-one task; ``columns`` prunes payloads, which otherwise travel with the rows.
+one task; ``packets(data=False)`` keeps payloads out of the result.
 """
 
 from __future__ import annotations
@@ -84,6 +84,16 @@ def _read(rows: DataFrame, schema: str, emit: Callable[[str, bytes, Media], Iter
     return rows.select("file_id", "content").mapInArrow(run, schema)
 
 
+def formats(rows: DataFrame) -> DataFrame:
+    """file_id, format: the family of each file told from its bytes, null if it can't be read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([detect(c.as_py() or b"") for c in batch.column(1)], pa.string())], names=["file_id", "format"])
+
+    return rows.select("file_id", "content").mapInArrow(run, "file_id string, format string")
+
+
 def tracks(rows: DataFrame, errors: str = "raise") -> DataFrame:
     """One row per track of each file. errors: "raise", or "skip" files that can't be read."""
 
