@@ -81,17 +81,17 @@ def test_marks_are_found_once_for_copies(spark):
     docs, labels = labelled(spark)
     marks = quality.toxic_marks(docs, labels)
     # The words of the copied document would all be marks if its copies counted.
-    assert marks == ["badwo"]
+    assert marks == ["badw", "badwor"]
     assert quality.toxic_marks(docs, labels.limit(0)) == [] and quality.toxic_marks(docs.limit(0), labels) == []
     # By hand: 22 toxic documents and a few of the copies have the mark, none of 88 others has it.
     assert 2 * (22 * math.log(110 / 22) + 88 * math.log(110 / 88)) > quality.LEAST_SURE > 2 * (3 * math.log(110 / 22) + 1)
 
 
 def test_marked_words_are_counted_in_the_whole_text(spark):
-    texts = ["badword BADWORK " + words(4, 120), words(4, 120) + " badwo", words(4, 3000) + " badwo badwo", words(4, 120) + " abadwo badw", None]
+    texts = ["badword BADWORK " + words(4, 120), words(4, 120) + " badwor", words(4, 3000) + " badwo badwords bad", words(4, 120) + " abadwo bad", "bad bad " + words(4, 120), None]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    entries = quality.apply_policy(quality.ledger(docs, marks=["badwo", "other"])).collect()
-    assert {r["doc_id"]: (r["n_marked"], r["kept"]) for r in entries} == {0: (2, False), 1: (1, True), 2: (2, True), 3: (0, True), 4: (0, False)}
+    entries = quality.apply_policy(quality.ledger(docs, marks=["badwor", "badwo", "bad", "other"])).collect()
+    assert {r["doc_id"]: (r["n_marked"], r["kept"]) for r in entries} == {0: (2, False), 1: (1, True), 2: (3, True), 3: (1, True), 4: (2, False), 5: (0, False)}
     assert {r["n_marked"] for r in quality.ledger(docs).collect()} == {0}
 
 
@@ -106,6 +106,6 @@ def test_held_out_toxic_documents(spark):
 
 def test_ablation_of_an_older_policy_ignores_newer_bits(spark):
     docs = spark.createDataFrame([(0, "badword badwork " + words(4, 120))], "doc_id long, text string")
-    entries = quality.ledger(docs, marks=["badwo"])
+    entries = quality.ledger(docs, marks=["badwor"])
     assert [r["kept"] for r in quality.apply_policy(entries, "v2").collect()] == [True]
     assert {r["rule"]: r["n_kept_without"] for r in quality.ablation(entries, "v3").collect()}["toxic_rate"] == 1

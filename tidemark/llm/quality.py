@@ -22,10 +22,13 @@ alphabet.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, require
+from .common import durable, let, require
 
 #: Insults of which a text that holds two different ones fails ``toxic_terms``.
 TOXIC = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
@@ -53,8 +56,8 @@ POLICIES = {
 }
 DEFAULT_POLICY = "v3"
 
-#: Labelled documents that are counted at most, those with the least hash of their id; letters of a mark; marks at most.
-SAMPLE, LETTERS, MAX_MARKS = 20_000, 5, 2_000
+#: Labelled documents that are counted at most, those with the least hash of their id; letters of a mark (of whole words, if they have fewer); marks at most.
+SAMPLE, LETTERS, MAX_MARKS = 20_000, (4, 6), 2_000
 #: A mark stands in so many different toxic documents at least, with so large a log-odds ratio, and a likelihood ratio (G) against chance so large:
 #: by chance alone one beginning of some twenty million has it.
 LEAST_DOCS, LEAST_ODDS, LEAST_SURE = 4, 1.6, 30.0
@@ -116,10 +119,20 @@ def toxic_marks(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> lis
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample)
     words = F.filter(F.array_distinct(_letters("text")), lambda w: w != "")
+
+    # Spark gives a function of two parameters an element's place, so these have one.
+    def beginning(n: int):
+        return lambda x: F.substring(x, 1, n)
+
+    def hashed(k: int):
+        return lambda x: F.xxhash64(x, F.lit(k))
+
+    def read(w: Column) -> Column:
+        marks = F.array_distinct(F.concat(*[F.transform(w, beginning(n)) for n in LETTERS]))
+        return F.struct(marks.alias("marks"), *[F.array_min(F.transform(w, hashed(k))).alias(f"m{k}") for k in (1, 2)])
+
     told = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    told = told.select("toxic", words.alias("words")).filter(F.size("words") > 0)
-    least = [F.array_min(F.transform("words", lambda w, k=k: F.xxhash64(w, F.lit(k)))).alias(f"m{k}") for k in (1, 2)]
-    told = told.select("toxic", F.array_distinct(F.transform("words", lambda w: F.substring(w, 1, LETTERS))).alias("marks"), *least).dropDuplicates(["toxic", "m1", "m2"])
+    told = durable(told.select("toxic", let(words, read).alias("x"))).select("toxic", "x.*").filter(F.size("marks") > 0).dropDuplicates(["toxic", "m1", "m2"])
     counted = told.select("toxic", F.explode("marks").alias("mark")).groupBy("mark").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b"))
     totals = told.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic"), F.count("*").alias("all"))
     odds = F.log((F.col("a") + 0.5) / (F.col("toxic") + 1)) - F.log((F.col("b") + 0.5) / (F.col("all") - F.col("toxic") + 1))
@@ -159,7 +172,9 @@ def measure(docs: DataFrame, text: str = "text", marks: list[str] | None = None)
 
     def toxic(plain: Column) -> Column:
         terms = F.size(F.array_intersect(plain, F.array(*map(F.lit, TOXIC))))
-        marked = F.size(F.filter(plain, lambda p: F.substring(p, 1, LETTERS).isin(*marks))) if marks else F.lit(0)
+        known = [(n, [m for m in marks or () if least < len(m) <= n]) for least, n in zip((0, *LETTERS), LETTERS, strict=False)]
+        known = [(n, m) for n, m in known if m]
+        marked = F.size(F.filter(plain, lambda p: reduce(or_, [F.substring(p, 1, n).isin(*m) for n, m in known]))) if known else F.lit(0)
         return F.struct(terms.cast("long").alias("terms"), marked.cast("long").alias("marked"))
 
     def line_counts(x: Column) -> Column:
