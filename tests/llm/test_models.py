@@ -131,6 +131,39 @@ def test_language_id(spark):
             assert r["lang_pred"] == (lang or "yy")
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_language_id_against_brute_force(spark, monkeypatch, most):
+    """Every step by its definition: bound letters, summed n-grams, prototypes, what is common taken away, cosines; in one pass or two."""
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", most)
+    docs = [(d, t + " " + words(d, d % 4), lang) for d, t, lang in language_docs(70)] + [(900, "Größe, größer!", "zz"), (900, "Größe, größer!", "zz"), (901, None, "xx"), (902, "k", None), (None, LANGS["yy"] * 30, "yy")]
+    letters = language_id.Encoder(256).letter
+
+    def vector(text):
+        low = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if not low.strip():
+            return None
+        low = " " + " ".join(low.split()) + " "
+        return sum(np.roll(letters(ord(a)).astype(float), 2) * np.roll(letters(ord(b)), 1) * letters(ord(c)) for a, b, c in zip(low, low[1:], low[2:], strict=False))
+
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 4 == 2
+    unit = lambda v: v / np.linalg.norm(v)
+    sums = {}
+    for d, t, lang in docs:
+        if lang and not held(d) and (v := vector(t)) is not None:
+            sums[lang] = sums.get(lang, 0) + unit(v)
+    names = sorted(sums)
+    raw = np.array([unit(sums[x]) for x in names])
+    mean = raw.mean(axis=0)
+    away = np.array([unit(x - mean) for x in raw])
+    want = []
+    for d, t, _ in docs:
+        v = vector(t)
+        cosines = [-1.0] if v is None else away @ unit(v - unit(mean) * (unit(mean) @ v))
+        want.append((d, held(d), "und" if v is None else names[int(np.argmax(cosines))], round(max(0.0, float(np.max(cosines))), 3)))
+    got = language_id.identify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), dimensions=256).collect()
+    assert sorted(((r["doc_id"], r["held_out"], r["lang_pred"], round(r["score"], 3)) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_language_id_odd(odd_docs, no_docs, spark):
     assert language_id.identify(odd_docs).count() == odd_docs.count()
     assert language_id.identify(no_docs).count() == 0

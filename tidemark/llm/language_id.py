@@ -5,14 +5,16 @@ by rule, so there is no alphabet to learn. An n-gram's vector is the product of
 its letters' vectors, each rotated by its place; a document's is the sum over
 all its n-grams, and a language's prototype the sum over its training
 documents, each scaled to length one so that no long text outweighs others.
-Prototypes are compared after what all languages have in common (their mean)
-is taken from them and from the document. The score is the cosine between a
-document's vector and the predicted language's prototype.
+Documents are compared with prototypes by cosine, after what all languages have
+in common (their mean) is taken from both. The greatest cosine decides, and is
+the score (0 if it is negative).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0
 and trains nothing; a null lang trains nothing; a null doc_id reads as an empty
 string (remainder 0: it trains); without any prototype all are ``und``; ties
-go to the first language in order; every row is predicted, repeated rows too.
+go to the first language in order; every row is predicted, repeated rows too;
+very long texts are read whole; columns other than doc_id, text and lang are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from .lm_scoring import fold
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Languages whose prototypes are sent to every task: 4 KB each.
+#: Languages whose prototypes are sent to a task at once, 4 KB each; more are compared in several passes.
 MAX_LANGUAGES = 4096
 #: n-gram vectors that a worker keeps: 1 KB each.
 CACHE = 100_000
@@ -122,10 +124,8 @@ def prototypes(train: DataFrame, dimensions: int = DIMENSIONS) -> dict[str, np.n
     parts = train.filter(F.col("lang").isNotNull()).select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(task, "lang string, i int, v long")
     # Whole numbers, so that the order of adding changes nothing.
     summed = parts.groupBy("lang", "i").agg(F.sum("v").alias("v")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v"))
-    found = summed.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages; their prototypes would not fit a task")
-    return {r["lang"]: np.array([x["v"] for x in r["v"]], float) for r in sorted(found, key=lambda r: r["lang"])}
+    found = summed.select("lang", F.transform("v", lambda x: x["v"]).alias("v")).toArrow()  # one vector per language
+    return dict(sorted((lang, v.values.to_numpy().astype(float)) for lang, v in zip(found.column("lang").to_pylist(), found.column("v"), strict=True)))
 
 
 def identify(docs: DataFrame, folds: int = 4, held: int = 2, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -138,23 +138,32 @@ def identify(docs: DataFrame, folds: int = 4, held: int = 2, dimensions: int = D
     mean = raw.mean(axis=0) if len(names) > 1 else np.zeros(dimensions)
     apart = raw - mean
     apart /= np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
-    shared = docs.sparkSession.sparkContext.broadcast((raw.astype(np.float32), apart.astype(np.float32), mean.astype(np.float32)))
+    out = rows.select("doc_id", "text", "held_out", F.lit("und").alias("lang_pred"), F.lit(-1.0).alias("score"))
+    for at in range(0, len(names), MAX_LANGUAGES):
+        out = _compared(out, names[at : at + MAX_LANGUAGES], apart[at : at + MAX_LANGUAGES], mean, at + MAX_LANGUAGES < len(names))
+    return out.select("doc_id", "held_out", "lang_pred", F.greatest("score", F.lit(0.0)).alias("score"))
+
+
+def _compared(rows: DataFrame, names: list[str], apart: np.ndarray, mean: np.ndarray, more: bool) -> DataFrame:
+    """rows, with lang_pred and score where one of these languages is nearer than what they have; without texts if there are no more languages."""
+    dimensions = apart.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast((apart.astype(np.float32), (mean / max(float(np.linalg.norm(mean)), 1e-12)).astype(np.float32)))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(dimensions)
-        plain, away, common = shared.value
+        away, common = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(1):
-                v = encoder.vector(text.as_py()) if names else None
+            langs, scores = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for k, text in enumerate(batch.column(1)):
+                v = encoder.vector(text.as_py())
                 if v is None:
-                    langs.append("und")
-                    scores.append(0.0)
                     continue
-                v = v / max(float(np.linalg.norm(v)), 1e-12)
-                best = int(np.argmax(away @ (v - common * float(common @ v) / max(float(common @ common), 1e-12))))
-                langs.append(names[best])
-                scores.append(min(1.0, max(0.0, float(plain[best] @ v))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
-
-    return rows.select("doc_id", "text", "held_out").mapInArrow(task, "doc_id long, held_out boolean, lang_pred string, score double")
+                v = v - common * float(common @ v)
+                cosines = away @ (v / max(float(np.linalg.norm(v)), 1e-12))
+                best = int(np.argmax(cosines))
+                if cosines[best] > scores[k]:
+                    langs[k], scores[k] = names[best], min(1.0, float(cosines[best]))
+            found = {"doc_id": batch.column(0), "text": batch.column(1), "held_out": batch.column(2), "lang_pred": pa.array(langs, pa.string()), "score": pa.array(scores, pa.float64())}
+            yield pa.RecordBatch.from_arrays([v for k, v in found.items() if more or k != "text"], names=[k for k in found if more or k != "text"])
+
+    return rows.mapInArrow(task, f"doc_id long, {'text string, ' if more else ''}held_out boolean, lang_pred string, score double")

@@ -216,15 +216,14 @@ def _node(k1: Column, k2: Column) -> Column:
     return F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0"))
 
 
-def jaccard_join(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies, k1, k2, class_key of every row.
-
-    class_id and class_key are shared by all that links connect; class_key is
-    null for texts without words, and stands for the class where ids are null.
-    """
-    require(docs, "doc_id", "text")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, k1, k2, has_words of every row."""
     rows = with_text_key(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-    rows = rows.withColumn("has_words", F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)))
+    return rows.withColumn("has_words", F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)))
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """k1, k2, class_id, class_key, n_copies, links, has_words of every different text with words; links to other texts."""
 
     def band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -278,7 +277,18 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
     ids = texts.groupBy("k1", "k2").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n_copies"))
     ids = durable(ids.join(links, ["k1", "k2"], "left").withColumn("node", _node(F.col("k1"), F.col("k2"))).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")))
     classes = durable(ids.groupBy("component").agg(F.min("least_id").alias("class_id")))  # written: Spark can split the join at a large class
-    known = ids.join(classes, "component").select("k1", "k2", "class_id", F.col("component").alias("class_key"), "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.lit(True).alias("has_words"))
+    return ids.join(classes, "component").select("k1", "k2", "class_id", F.col("component").alias("class_key"), "n_copies", F.coalesce("links", F.lit(0)).alias("links"), F.lit(True).alias("has_words"))
+
+
+def jaccard_join(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies, k1, k2, class_key of every row.
+
+    class_id and class_key are shared by all that links connect; class_key is
+    null for texts without words, and stands for the class where ids are null.
+    """
+    require(docs, "doc_id", "text")
+    rows = _keyed(docs)
+    known = classes_of(rows)
     return rows.select("doc_id", "k1", "k2", "has_words").join(known, ["k1", "k2", "has_words"], "left").select(
         "doc_id",
         F.when(F.col("n_copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
@@ -292,7 +302,8 @@ def jaccard_join(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row of each class, with all its columns: the least doc_id's; texts without words all stay."""
-    classes = jaccard_join(docs).filter("n_links > 0").select("k1", "k2", "class_id", "class_key").distinct()
+    require(docs, "doc_id", "text")
+    classes = classes_of(_keyed(docs)).filter("links > 0 or n_copies > 1").select("k1", "k2", "class_id", "class_key")
     rows = with_text_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     marked = rows.drop("text").join(durable(classes), ["k1", "k2"], "left")
     # Of a class only rows with its least doc_id can stay; repeated ones of these are settled by partial minima, not by a window over the class.
