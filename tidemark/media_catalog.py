@@ -86,6 +86,12 @@ def mux_mp4(spark, sf_dir):
     return _read_back(_built(spark, sf_dir, "mp4"))
 
 
+@query(_packets_sql())
+def mux_cmaf(spark, sf_dir):
+    """The same in fragments."""
+    return _read_back(_built(spark, sf_dir, "cmaf"))
+
+
 @query(_packets_sql())
 def mux_mov(spark, sf_dir):
     return _read_back(_built(spark, sf_dir, "mov"))
@@ -374,3 +380,148 @@ def exp_golomb(spark, sf_dir):
         return {"id": r["id"], "value": unsigned.exp_golomb(), "signed": signed.signed_exp_golomb(), "bits": unsigned.at}
 
     return _per_row(_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id")), f, "id long, value long, signed long, bits long")
+
+
+def _bits(*fields: tuple[int, int | str]) -> bytes:
+    """Numbers of given widths, or exponential Golomb codes ("ue"), one after the other."""
+    text = "".join(_golomb(v) if n == "ue" else f"{v:0{n}b}" for v, n in fields)
+    return int(text + "0" * (-len(text) % 8), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+_KBITS = "[32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384, 448, 512, 576, 640][p_partkey % 38 // 2 + 1]"
+_CODING = "[2, 1, 2, 3, 3, 4, 4, 5][p_partkey % 8 + 1] + p_partkey % 2"
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"))
+
+
+@query(f"""SELECT p_partkey AS id, 2 * CASE p_partkey % 3 WHEN 0 THEN 2 * {_KBITS} WHEN 1 THEN 320 * {_KBITS} // 147 + p_partkey % 38 % 2 ELSE 3 * {_KBITS} END AS size, [48000, 44100, 32000][p_partkey % 3 + 1] AS rate, {_CODING} AS channels, 1000 * {_KBITS} AS bitrate FROM part""")
+def ac3_headers(spark, sf_dir):
+    from .functions import headers
+
+    def f(r: dict) -> dict:
+        n = r["id"]
+        coding = n % 8
+        mixes = 2 * (coding & 1 and coding != 1) + 2 * (coding >= 4) + 2 * (coding == 2)
+        found = headers.ac3_frame(b"\x0b\x77\0\0" + _bits((n % 3, 2), (n % 38, 6), (8, 5), (0, 3), (coding, 3), *([(0, mixes)] if mixes else []), (n % 2, 1)) + bytes(4))
+        return {"id": n, **{k: found[k] for k in ("size", "rate", "channels", "bitrate")}}
+
+    return _per_row(_parts(spark, sf_dir), f, "id long, size long, rate long, channels long, bitrate long")
+
+
+@query(f"""SELECT p_partkey AS id, 2 * (p_partkey % 1900 + 64) AS size, [48000, 44100, 32000][p_partkey % 3 + 1] AS rate, {_CODING} AS channels, 256 * [1, 2, 3, 6][p_partkey % 4 + 1] AS samples FROM part""")
+def eac3_headers(spark, sf_dir):
+    from .functions import headers
+
+    def f(r: dict) -> dict:
+        n = r["id"]
+        found = headers.eac3_frame(b"\x0b\x77" + _bits((0, 2), (0, 3), (n % 1900 + 63, 11), (n % 3, 2), (n % 4, 2), (n % 8, 3), (n % 2, 1), (16, 5)) + bytes(4))
+        return {"id": n, **{k: found[k] for k in ("size", "rate", "channels", "samples")}}
+
+    return _per_row(_parts(spark, sf_dir), f, "id long, size long, rate long, channels long, samples long")
+
+
+@query("""SELECT p_partkey AS id, 96 + p_partkey % 4000 AS size, [8000, 16000, 32000, 11025, 22050, 44100, 12000, 24000, 48000][p_partkey % 9 + 1] AS rate, [1, 2, 2, 2, 2, 3, 3, 4, 4, 5, 6, 6, 6, 7, 8, 8][p_partkey % 16 + 1] + p_partkey % 2 AS channels, 32 * (6 + p_partkey % 100) AS samples FROM part""")
+def dts_headers(spark, sf_dir):
+    from .functions import headers
+
+    codes = (1, 2, 3, 6, 7, 8, 11, 12, 13)
+
+    def f(r: dict) -> dict:
+        n = r["id"]
+        found = headers.dts_frame(b"\x7f\xfe\x80\x01" + _bits((1, 1), (31, 5), (0, 1), (5 + n % 100, 7), (95 + n % 4000, 14), (n % 16, 6), (codes[n % 9], 4), (0, 5), (0, 10), (n % 2, 2)) + bytes(4))
+        return {"id": n, **{k: found[k] for k in ("size", "rate", "channels", "samples")}}
+
+    return _per_row(_parts(spark, sf_dir), f, "id long, size long, rate long, channels long, samples long")
+
+
+@query("""SELECT p_partkey AS id, 16 * (p_size + 1) AS width, 16 * (p_size + 1) - 8 AS height, 8 + p_partkey % 3 AS depth, 'hvc1.1.6.' || (CASE p_partkey % 2 WHEN 0 THEN 'L' ELSE 'H' END) || (30 * (1 + p_partkey % 6))::VARCHAR || '.B0' AS codec_string, 3 AS units FROM part""")
+def hevc_parameters(spark, sf_dir):
+    """Sequence parameter sets of HEVC in configuration records: written by bits, read back."""
+    from .functions import headers
+
+    def f(r: dict) -> dict:
+        n, size, depth = r["id"], 16 * (r["size"] + 1), r["id"] % 3
+        raw = _bits((0x4201, 16), (0, 4), (0, 3), (1, 1), (0, 2), (n % 2, 1), (1, 5), (0x60000000, 32), (0xB0, 8), (0, 40), (30 * (1 + n % 6), 8), (0, "ue"), (1, "ue"), (size, "ue"), (size, "ue"), (1, 1), (0, "ue"), (0, "ue"), (0, "ue"), (4, "ue"), (depth, "ue"), (depth, "ue"), (4, "ue"), (1, 1))
+        unit = bytearray()
+        for x in raw:
+            if x <= 3 and unit[-2:] == b"\0\0":
+                unit.append(3)
+            unit.append(x)
+        record = headers.parse_hevc_configuration(headers.hevc_configuration([b"\x40\x01\x0c", bytes(unit), b"\x44\x01\xc1"]))
+        found = headers.hevc_sps(record["units"][33][0])
+        return {"id": n, "width": found["width"], "height": found["height"], "depth": found["depth"], "codec_string": headers.hevc_codec_string(found), "units": sum(map(len, record["units"].values()))}
+
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("size"))
+    return _per_row(rows, f, "id long, width long, height long, depth long, codec_string string, units long")
+
+
+@query("""SELECT p_partkey AS id, 16 * p_size AS width, 9 * p_size AS height, 'av01.0.' || lpad((p_partkey % 20)::VARCHAR, 2, '0') || (CASE WHEN p_partkey % 20 > 7 AND p_partkey % 2 = 1 THEN 'H' ELSE 'M' END) || '.' || (CASE p_partkey % 3 WHEN 0 THEN '10' ELSE '08' END) AS codec_string FROM part""")
+def av1_sequences(spark, sf_dir):
+    from .functions import headers
+
+    def f(r: dict) -> dict:
+        n, w, h = r["id"], 16 * r["size"], 9 * r["size"]
+        level = n % 20
+        body = _bits((0, 3), (0, 1), (0, 1), (0, 1), (0, 1), (0, 5), (0, 12), (level, 5), *([(n % 2, 1)] if level > 7 else []), (11, 4), (11, 4), (w - 1, 12), (h - 1, 12), (0, 1), (0, 3), (0, 4), (1, 1), (0, 2), (1, 1), (1, 1), (0, 3), (0, 3), (int(n % 3 == 0), 1), (0, 1), (0, 8))
+        found = headers.av1_sequence(bytes([0x12, 0, 0x0A, len(body)]) + body)
+        return {"id": n, "width": found["width"], "height": found["height"], "codec_string": headers.av1_codec_string(found)}
+
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("size"))
+    return _per_row(rows, f, "id long, width long, height long, codec_string string")
+
+
+@query("""SELECT p_partkey AS id, 4 * p_size * (p_size + 3) AS rgba, p_size * (p_size + 3) + 2 * ((p_size + 1) // 2) * ((p_size + 4) // 2) AS i420, p_size * (p_size + 3) + 2 * ((p_size + 1) // 2) * (p_size + 3) AS i422, 3 * p_size * (p_size + 3) AS i444, p_size * (p_size + 3) + 2 * ((p_size + 1) // 2) * ((p_size + 4) // 2) AS nv12, 2 * (p_size * (p_size + 3) + 2 * ((p_size + 1) // 2) * ((p_size + 4) // 2)) AS i420p10 FROM part""")
+def frame_sizes(spark, sf_dir):
+    """Bytes of frames by pixel format."""
+    from .functions import pixels
+
+    formats = {"rgba": "RGBA", "i420": "I420", "i422": "I422", "i444": "I444", "nv12": "NV12", "i420p10": "I420P10"}
+    rows = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), F.col("p_size").cast("long").alias("size"))
+    return _per_row(rows, lambda r: {"id": r["id"], **{k: pixels.allocation_size(f, r["size"], r["size"] + 3) for k, f in formats.items()}}, "id long, rgba long, i420 long, i422 long, i444 long, nv12 long, i420p10 long")
+
+
+_U8 = "list_transform(embedding[1:64], lambda x: greatest(least(floor((x::DOUBLE + 1) * 127.5), 255), 0)::BIGINT)"
+
+
+@query(f"""WITH u AS (SELECT vec_id, {_U8} AS b FROM embeddings WHERE len(embedding) >= 64),
+  t AS (SELECT vec_id, list_transform(range(0, 24), lambda i: b[((2 - i // 4 % 3) * 4 + i // 12 + 1) * 4 + i % 4 + 1]) AS c FROM u)
+  SELECT vec_id, 3 AS width, 2 AS height, list_aggregate(list_transform(c, lambda v: lpad(hex(v), 2, '0')), 'string_agg', '') AS pixels FROM t""")
+def frame_transform(spark, sf_dir):
+    """Vectors as frames of 4 x 4 pixels: the two columns in the middle of the first three rows, turned clockwise."""
+    from .functions import audio, pixels
+
+    body = F.unhex(F.array_join(F.transform(F.slice(audio.quantise(F.col("embedding"), "u8"), 1, 64), lambda x: F.lpad(F.hex(x), 2, "0")), ""))
+    rows = _table(spark, sf_dir, "embeddings").filter("size(embedding) >= 64").select(
+        F.col("vec_id").cast("string").alias("file_id"), F.lit(1).alias("track_id"), F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("timestamp"), F.lit(0.0).alias("duration"), F.lit("RGBA").alias("format"), F.lit(4).alias("width"), F.lit(4).alias("height"), F.lit(0).alias("rotation"), body.alias("data")
+    )
+    out = pixels.transform_frames(rows, pixels.Transform(crop=(1, 0, 2, 3), rotate=90))
+    return out.select(F.col("file_id").cast("long").alias("vec_id"), F.col("width").cast("int").alias("width"), "height", F.hex("data").alias("pixels"))
+
+
+@query("SELECT vec_id, list_transform(embedding, lambda x: (greatest(least(floor(x::DOUBLE * 32767 + 0.5), 32767), -32768)::BIGINT::DOUBLE / 32768.0::DOUBLE)::FLOAT) AS samples FROM embeddings")
+def coded_audio(spark, sf_dir):
+    """Vectors as samples, coded as 16-bit PCM and decoded."""
+    from .functions import coders
+
+    registry = coders.Registry()
+    rows = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("file_id"), F.lit(1).alias("track_id"), F.lit(0).cast("long").alias("seq"), F.lit(0.0).alias("timestamp"), F.lit(1).alias("channels"), F.lit(48000).alias("sample_rate"), F.col("embedding").alias("samples"))
+    coded = coders.encode_audio(rows, registry, "pcm-s16").withColumns({"codec": F.lit("pcm-s16"), "channels": F.lit(1), "sample_rate": F.lit(48000)})
+    return coders.decode_audio(coded, registry).select(F.col("file_id").cast("long").alias("vec_id"), "samples")
+
+
+@query("SELECT page_id, octet_length(encode(html))::BIGINT AS size, md5(encode(html)) AS digest, html != '' AS changed FROM pages WHERE html IS NOT NULL")
+def counter_mode(spark, sf_dir):
+    """Pages encrypted in counter mode, all but their first bytes, and decrypted."""
+    from .functions import encryption
+
+    data = F.col("html").cast("binary")
+    size = F.octet_length(data)
+    parts = F.array(F.struct(F.least(size, F.lit(5)).alias("clear"), F.greatest(size - 5, F.lit(0)).alias("protected")))
+    key = F.unhex(F.md5(F.col("page_id").cast("string").cast("binary")))
+    rows = _table(spark, sf_dir, "pages").filter("html is not null").select("page_id", data.alias("data"), key.alias("key"), F.unhex(F.lit("0102030405060708")).alias("iv"), parts.alias("parts"))
+    coded = encryption.decrypt_ctr(rows).select("page_id", F.col("clear").alias("data"), F.col("data").alias("before"), "key", "iv", "parts")
+    changed = (F.col("data") != F.col("before")) | ((F.octet_length("data") <= 5) & (F.octet_length("data") > 0))
+    back = encryption.decrypt_ctr(coded)
+    return back.select("page_id", F.octet_length("clear").cast("long").alias("size"), F.md5("clear").alias("digest"), changed.alias("changed"))

@@ -113,12 +113,19 @@ def timestamp_errors(packets: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.join(tops, [*keys, "gop"]).withColumn("error", error).drop("_before")
 
 
-def interleave(packets: DataFrame, group: Sequence[str], track: str) -> DataFrame:
+def interleave(packets: DataFrame, group: Sequence[str], track: str, bucket_us: int = BUCKET_US) -> DataFrame:
     """Adds ``position``: the order in which a merge of the tracks' queues by their heads' times sends packets.
 
     A queue's head can't pass an earlier packet of its track, so a packet waits
-    for the greatest time up to it; equal times go to the first track.
+    for the greatest time up to it; equal times go to the first track. A file's
+    packets are numbered by time bucket, so a long file is many tasks.
     """
     reach = Window.partitionBy(*group, track).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    order = Window.partitionBy(*group).orderBy("_reach", track, "seq")
-    return packets.withColumn("_reach", F.max("us").over(reach)).withColumn("position", F.row_number().over(order)).drop("_reach")
+    rows = packets.withColumn("_reach", F.max("us").over(reach)).withColumn("_bucket", F.floor(F.col("_reach") / F.lit(bucket_us)).cast("long"))
+    counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*group).orderBy("_bucket")
+    before = counts.select(*group, "_bucket", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))
+    order = Window.partitionBy(*group, "_bucket").orderBy("_reach", track, "seq")
+    ranked = rows.withColumn("_own", F.row_number().over(order))
+    same = [ranked[c].eqNullSafe(before[c]) for c in (*group, "_bucket")]
+    return ranked.join(before, same).select(*[ranked[c] for c in packets.columns], (ranked["_own"] + before["_before"]).alias("position"))

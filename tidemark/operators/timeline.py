@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Empty slots that are made from one row at once.
+STRETCH = 10_000
+
+
 def slot_normalise(frames: DataFrame, keys: Sequence[str], slot_us: int) -> DataFrame:
     """Constant frame rate: one frame per slot of slot_us.
 
@@ -23,7 +27,10 @@ def slot_normalise(frames: DataFrame, keys: Sequence[str], slot_us: int) -> Data
     w = Window.partitionBy(*keys).orderBy("slot")
     final = F.floor(F.col("end") / slot_us).cast("long") - 1
     upto = F.greatest("slot", F.coalesce(F.lead("slot").over(w) - 1, final))
-    each = used.withColumn("upto", upto).select(*keys, "slot", "first_seq", "last_seq", F.explode(F.sequence("slot", "upto")).alias("at"))
+    # A gap of any length comes as stretches of at most STRETCH slots, so that no row holds a long array.
+    spans = used.withColumn("upto", upto).select(*keys, "slot", "first_seq", "last_seq", "upto", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("upto") - F.col("slot")) / STRETCH).cast("long"))).alias("_k"))
+    begin = F.col("slot") + F.col("_k") * STRETCH
+    each = spans.select(*keys, "slot", "first_seq", "last_seq", F.explode(F.sequence(begin, F.least("upto", begin + (STRETCH - 1)))).alias("at"))
     return each.select(*keys, F.col("at").alias("slot"), F.when(F.col("at") == F.col("slot"), F.col("first_seq")).otherwise(F.col("last_seq")).alias("seq"), (F.col("at") != F.col("slot")).alias("repeated"))
 
 

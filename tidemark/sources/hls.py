@@ -10,6 +10,7 @@ from collections.abc import Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import join_path
 
@@ -218,6 +219,12 @@ def segment_at(segments: DataFrame, times: DataFrame) -> DataFrame:
     return as_of(times, base, ["playlist"], ["seq_no", "path"])
 
 
+def neighbours(segments: DataFrame) -> DataFrame:
+    """Adds previous_seq and next_seq: the segments before and after each one in its playlist, null at the ends."""
+    order = Window.partitionBy("playlist").orderBy("seq_no")
+    return segments.withColumns({"previous_seq": F.lag("seq_no").over(order), "next_seq": F.lead("seq_no").over(order)})
+
+
 def media_playlist(segments: DataFrame, keys: Sequence[str], top: DataFrame, done: bool = True, version: int = 3) -> DataFrame:
     """One playlist text per key: segments have i, path and seconds (text); top has ``target``, whole seconds."""
     head = f"#EXTM3U\n#EXT-X-VERSION:{version}\n" + ("#EXT-X-PLAYLIST-TYPE:VOD\n" if done else "") + "#EXT-X-TARGETDURATION:"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import replace
 
 from .model import Media, MediaError, Packet, Track
 from .mpeg_audio import parse_audio_specific_config
@@ -13,15 +14,23 @@ AUDIO = {"mp4a": "aac", "Opus": "opus", "fLaC": "flac", "ac-3": "ac3", "ec-3": "
 TAG_NAMES = {b"\xa9nam": "title", b"\xa9ART": "artist", b"\xa9alb": "album", b"aART": "album_artist", b"\xa9cmt": "comment", b"\xa9gen": "genre", b"\xa9day": "date", b"\xa9lyr": "lyrics", b"desc": "description"}
 
 
+def _take(form: str, data: bytes, at: int = 0) -> tuple:
+    """Fields at a place; data may be anything that gives bytes for a slice, so that only what is asked for is read."""
+    body = data[at : at + struct.calcsize(form)]
+    if len(body) < struct.calcsize(form):
+        raise MediaError("the data ends within a field")
+    return struct.unpack(form, body)
+
+
 def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """Type, start and end of the contents of each box."""
     while at + 8 <= end:
-        size, name = struct.unpack_from(">I4s", data, at)
+        size, name = _take(">I4s", data, at)
         head = 8
         if size == 1:
             if at + 16 > end:
                 return
-            size, head = struct.unpack_from(">Q", data, at + 8)[0], 16
+            size, head = _take(">Q", data, at + 8)[0], 16
         elif size == 0:
             size = end - at
         if size < head:
@@ -47,9 +56,9 @@ def _table(data: bytes, stbl: tuple[int, int], name: bytes, form: str) -> list[t
     hit = find(data, *stbl, name)
     if not hit:
         return []
-    (n,) = struct.unpack_from(">I", data, hit[0] + 4)
+    (n,) = _take(">I", data, hit[0] + 4)
     n = min(n, (hit[1] - hit[0] - 8) // struct.calcsize(form))
-    return [struct.unpack_from(form, data, hit[0] + 8 + i * struct.calcsize(form)) for i in range(n)]
+    return list(struct.iter_unpack(form, data[hit[0] + 8 : hit[0] + 8 + n * struct.calcsize(form)]))
 
 
 def _description(data: bytes, track: Track, a: int, b: int) -> None:
@@ -59,7 +68,7 @@ def _description(data: bytes, track: Track, a: int, b: int) -> None:
         track.internal_codec_id = kind
         if track.type == "video":
             track.codec = VIDEO.get(kind)
-            track.width, track.height = struct.unpack_from(">HH", data, at + 24)
+            track.width, track.height = _take(">HH", data, at + 24)
             for n, x, y in boxes(data, at + 78, end):
                 if n in (b"avcC", b"hvcC", b"vpcC", b"av1C"):
                     track.description = data[x:y]
@@ -67,9 +76,9 @@ def _description(data: bytes, track: Track, a: int, b: int) -> None:
                         track.codec_string = "avc1." + data[x + 1 : x + 4].hex()
         elif track.type == "audio":
             track.codec = AUDIO.get(kind)
-            version = struct.unpack_from(">H", data, at + 8)[0]
-            track.channels, bits = struct.unpack_from(">HH", data, at + 16)
-            track.sample_rate = struct.unpack_from(">I", data, at + 24)[0] >> 16
+            version = _take(">H", data, at + 8)[0]
+            track.channels, bits = _take(">HH", data, at + 16)
+            track.sample_rate = _take(">I", data, at + 24)[0] >> 16
             inner = at + 28 + {1: 16, 2: 36}.get(version, 0)
             if kind in ("sowt", "twos") and bits == 8:
                 track.codec = "pcm-s8"
@@ -121,8 +130,8 @@ def _samples(data: bytes, track: Track, stbl: tuple[int, int]) -> None:
     sizes = find(data, *stbl, b"stsz")
     if not sizes:
         return
-    fixed, count = struct.unpack_from(">II", data, sizes[0] + 4)
-    length = [fixed] * count if fixed else list(struct.unpack_from(f">{count}I", data, sizes[0] + 12))
+    fixed, count = _take(">II", data, sizes[0] + 4)
+    length = [fixed] * count if fixed else list(_take(f">{count}I", data, sizes[0] + 12))
     times = [d for n, d in _table(data, stbl, b"stts", ">II") for _ in range(n)]
     shifts = [d for n, d in _table(data, stbl, b"ctts", ">Ii") for _ in range(n)]
     keys = {i - 1 for (i,) in _table(data, stbl, b"stss", ">I")} if find(data, *stbl, b"stss") else None
@@ -150,42 +159,42 @@ def _fragments(data: bytes, tracks: dict[int, Track], defaults: dict[int, tuple]
             if kind != b"traf":
                 continue
             head = find(data, x, y, b"tfhd")
-            flags, number = struct.unpack_from(">II", data, head[0])
+            flags, number = _take(">II", data, head[0])
             flags &= 0xFFFFFF
             track = tracks.get(number)
             if track is None:
                 continue
             at, base = head[0] + 8, a - 8
             if flags & 1:
-                base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+                base, at = _take(">Q", data, at)[0], at + 8
             if flags & 2:
                 at += 4
             d = list(defaults.get(number, (0, 0, 0)))
             for bit, i in ((8, 0), (16, 1), (32, 2)):
                 if flags & bit:
-                    d[i], at = struct.unpack_from(">I", data, at)[0], at + 4
+                    d[i], at = _take(">I", data, at)[0], at + 4
             if hit := find(data, x, y, b"tfdt"):
-                clock[number] = struct.unpack_from(">Q" if data[hit[0]] else ">I", data, hit[0] + 4)[0]
+                clock[number] = _take(">Q" if data[hit[0]] else ">I", data, hit[0] + 4)[0]
             now, place = clock.get(number, 0), base
             for n, p, _ in boxes(data, x, y):
                 if n != b"trun":
                     continue
-                version, f = data[p], struct.unpack_from(">I", data, p)[0] & 0xFFFFFF
-                (count,) = struct.unpack_from(">I", data, p + 4)
+                version, f = data[p], _take(">I", data, p)[0] & 0xFFFFFF
+                (count,) = _take(">I", data, p + 4)
                 p += 8
                 if f & 1:
-                    place, p = base + struct.unpack_from(">i", data, p)[0], p + 4
+                    place, p = base + _take(">i", data, p)[0], p + 4
                 first = None
                 if f & 4:
-                    first, p = struct.unpack_from(">I", data, p)[0], p + 4
+                    first, p = _take(">I", data, p)[0], p + 4
                 for i in range(count):
                     values = list(d)
                     for bit, k in ((0x100, 0), (0x200, 1), (0x400, 2)):
                         if f & bit:
-                            values[k], p = struct.unpack_from(">I", data, p)[0], p + 4
+                            values[k], p = _take(">I", data, p)[0], p + 4
                     shift = 0
                     if f & 0x800:
-                        shift, p = struct.unpack_from(">i" if version else ">I", data, p)[0], p + 4
+                        shift, p = _take(">i" if version else ">I", data, p)[0], p + 4
                     mark = first if first is not None and i == 0 else values[2]
                     track.packets.append(Packet(len(track.packets), now + shift, values[0], place, values[1], not mark & 0x10000))
                     now, place = now + values[0], place + values[1]
@@ -206,10 +215,10 @@ def parse(data: bytes) -> Media:
         if not (tkhd and mdhd and hdlr and stbl):
             continue
         long = data[tkhd[0]] == 1
-        (number,) = struct.unpack_from(">I", data, tkhd[0] + (20 if long else 12))
-        matrix = struct.unpack_from(">9i", data, tkhd[0] + (52 if long else 40))
-        scale, length = struct.unpack_from(">IQ" if data[mdhd[0]] else ">II", data, mdhd[0] + (20 if data[mdhd[0]] else 12))
-        (packed,) = struct.unpack_from(">H", data, mdhd[0] + (32 if data[mdhd[0]] else 20))
+        (number,) = _take(">I", data, tkhd[0] + (20 if long else 12))
+        matrix = _take(">9i", data, tkhd[0] + (52 if long else 40))
+        scale, length = _take(">IQ" if data[mdhd[0]] else ">II", data, mdhd[0] + (20 if data[mdhd[0]] else 12))
+        (packed,) = _take(">H", data, mdhd[0] + (32 if data[mdhd[0]] else 20))
         kind = {b"vide": "video", b"soun": "audio", b"text": "subtitle", b"subt": "subtitle"}.get(data[hdlr[0] + 8 : hdlr[0] + 12])
         if kind is None or not scale:
             continue
@@ -223,7 +232,7 @@ def parse(data: bytes) -> Media:
     if mvex := find(data, *moov, b"mvex"):
         for name, a, _ in boxes(data, *mvex):
             if name == b"trex":
-                number, _, d, s, f = struct.unpack_from(">5I", data, a + 4)
+                number, _, d, s, f = _take(">5I", data, a + 4)
                 defaults[number] = (d, s, f)
     _fragments(data, tracks, defaults)
     tags = {}
@@ -235,7 +244,7 @@ def parse(data: bytes) -> Media:
                     if name in TAG_NAMES:
                         tags[TAG_NAMES[name]] = body.decode("utf-8", "replace")
                     elif name in (b"trkn", b"disk") and len(body) >= 6:
-                        n, of = struct.unpack_from(">HH", body, 2)
+                        n, of = _take(">HH", body, 2)
                         tags[{b"trkn": "track", b"disk": "disc"}[name]] = f"{n}/{of}" if of else str(n)
     return Media("mov" if quick else "mp4", list(tracks.values()), tags)
 
@@ -342,3 +351,108 @@ def build(tracks: list[Track], payloads: dict[int, list[bytes]], tags: dict[str,
     first = len(head) + len(moov(0)) + (16 if wide else 8)
     data = (struct.pack(">I4sQ", 1, b"mdat", size + 16) if wide else struct.pack(">I4s", size + 8, b"mdat")) + b"".join(payloads[n][i] for _, n, g in chunks for i in g)
     return head + moov(first) + data
+
+
+def initialisation(tracks: list[Track], tags: dict[str, str] | None = None) -> bytes:
+    """What stands before the fragments: the tracks without packets."""
+    bare = [replace(t, packets=[]) for t in tracks]
+    whole = build(bare, {t.track_id: [] for t in tracks}, tags)
+    a, b = find(whole, 0, len(whole), b"moov")
+    extends = _box(b"mvex", *[_full(b"trex", struct.pack(">5I", t.track_id, 1, 0, 0, 0)) for t in tracks])
+    return _box(b"ftyp", b"iso5", struct.pack(">I", 0x200), b"iso5iso6mp41cmfc") + _box(b"moov", whole[a:b], extends)
+
+
+def fragment(number: int, tracks: list[Track], payloads: dict[int, list[bytes]], parts: dict[int, tuple[int, int]], dts: dict[int, list[int]]) -> bytes:
+    """One fragment: of each track the packets from parts[track][0] up to parts[track][1]."""
+
+    def moof(size: int) -> bytes:
+        at, trafs = size + 8, []
+        for t in tracks:
+            first, last = parts.get(t.track_id, (0, 0))
+            if first == last:
+                continue
+            d = dts[t.track_id]
+            rows = []
+            for i in range(first, last):
+                p = t.packets[i]
+                step = d[i + 1] - d[i] if i + 1 < len(d) else p.duration_ticks
+                rows.append(struct.pack(">IIIi", step, len(payloads[t.track_id][i]), 0x02000000 if p.key else 0x01010000, p.ticks - d[i]))
+            run = _full(b"trun", struct.pack(">Ii", len(rows), at), *rows, version=1, flags=0xF01)
+            trafs.append(_box(b"traf", _full(b"tfhd", struct.pack(">I", t.track_id), flags=0x20000), _full(b"tfdt", struct.pack(">Q", d[first]), version=1), run))
+            at += sum(len(payloads[t.track_id][i]) for i in range(first, last))
+        return _box(b"moof", _full(b"mfhd", struct.pack(">I", number)), *trafs)
+
+    body = b"".join(payloads[t.track_id][i] for t in tracks for i in range(*parts.get(t.track_id, (0, 0))))
+    return moof(len(moof(0))) + _box(b"mdat", body)
+
+
+def fragments(tracks: list[Track], payloads: dict[int, list[bytes]], seconds: float = 1.0) -> list[bytes]:
+    """All packets as fragments of at least so long, which begin with a key packet of the first video track (or of any track, without video)."""
+    dts = {t.track_id: decode_ticks(t.packets) for t in tracks}
+    lead = next((t for t in tracks if t.type == "video" and t.packets), next((t for t in tracks if t.packets), None))
+    if lead is None:
+        return []
+    cuts: list[float] = []
+    for p, d in zip(lead.packets, dts[lead.track_id], strict=True):
+        if p.key and (not cuts or d / lead.resolution - cuts[-1] >= seconds - 1e-9):
+            cuts.append(d / lead.resolution)
+    out, places = [], dict.fromkeys(dts, 0)
+    for k in range(len(cuts)):
+        parts = {}
+        for t in tracks:
+            first = last = places[t.track_id]
+            while last < len(t.packets) and (k + 1 == len(cuts) or dts[t.track_id][last] / t.resolution < cuts[k + 1] - 1e-9):
+                last += 1
+            parts[t.track_id], places[t.track_id] = (first, last), last
+        out.append(fragment(k + 1, tracks, payloads, parts, dts))
+    return out
+
+
+def build_fragmented(tracks: list[Track], payloads: dict[int, list[bytes]], tags: dict[str, str] | None = None, seconds: float = 1.0) -> bytes:
+    """A fragmented MP4 file."""
+    return initialisation(tracks, tags) + b"".join(fragments(tracks, payloads, seconds))
+
+
+def with_initialisation(init: bytes, segment: bytes) -> Media:
+    """A segment that has no header of its own, read with that of another file."""
+    moov, brand = find(init, 0, len(init), b"moov"), find(init, 0, len(init), b"ftyp")
+    if not moov:
+        raise MediaError("no moov box")
+    head = (init[brand[0] - 8 : brand[1]] if brand else b"") + init[moov[0] - 8 : moov[1]]
+    found = parse(head + segment)
+    for t in found.tracks:
+        for p in t.packets:
+            p.offset -= len(head)
+    return found
+
+
+def size_bound(tracks: list[Track]) -> int:
+    """At most so many bytes a file's header takes: what tables need at worst, a row for each packet, and a fixed part for each track."""
+    return 1024 + sum(2048 + len(t.description or b"") + 40 * len(t.packets) for t in tracks)
+
+
+def protection(data: bytes) -> list[dict]:
+    """The protection boxes (pssh) of a file: system, key ids and data in hexadecimal."""
+    moov = find(data, 0, len(data), b"moov")
+    places = [p for p in [moov, *((a, b) for n, a, b in boxes(data, 0, len(data)) if n == b"moof")] if p]
+    return [parse_protection(data[a:b]) for p in places for n, a, b in boxes(data, *p) if n == b"pssh"]
+
+
+def parse_protection(body: bytes) -> dict:
+    """The contents of a pssh box."""
+    if len(body) < 24:
+        raise MediaError("a protection box is too short")
+    version, system, at, keys = body[0], body[4:20].hex(), 20, []
+    if version:
+        (n,) = _take(">I", body, at)
+        keys, at = [body[at + 4 + 16 * i : at + 20 + 16 * i].hex() for i in range(n)], at + 4 + 16 * n
+    (size,) = _take(">I", body, at)
+    if len(body) < at + 4 + size:
+        raise MediaError("a protection box ends early")
+    return {"version": version, "system_id": system, "key_ids": keys, "data": body[at + 4 : at + 4 + size].hex()}
+
+
+def build_protection(system_id: str, key_ids: list[str], data: bytes) -> bytes:
+    """A pssh box."""
+    keys = struct.pack(">I", len(key_ids)) + b"".join(map(bytes.fromhex, key_ids)) if key_ids else b""
+    return _full(b"pssh", bytes.fromhex(system_id), keys, struct.pack(">I", len(data)), data, version=1 if key_ids else 0)

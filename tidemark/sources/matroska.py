@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 from .model import Media, MediaError, Packet, Track
@@ -50,6 +51,25 @@ def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
         at = stop
 
 
+#: Elements that stand directly in a segment.
+PARTS = (0x114D9B74, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B, 0x1254C367, 0x1043A770, 0x1941A469)
+FILLERS = (0xEC, 0xBF)
+
+
+def _resynchronised(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int]]:
+    """The parts of a segment; after damage it goes on with the next cluster that can be found."""
+    while at < end:
+        for name, a, b in elements(data, at, end):
+            if name not in PARTS and name not in FILLERS:
+                break
+            yield name, a, b
+            at = b
+        if at < end:
+            at = data.find(b"\x1f\x43\xb6\x75", at + 1, end)
+            if at < 0:
+                return
+
+
 def _uint(data: bytes, a: int, b: int) -> int:
     return int.from_bytes(data[a:b], "big")
 
@@ -95,6 +115,8 @@ def parse(data: bytes) -> Media:
     kind, scale, length = "mkv", 1_000_000, None
     tracks: dict[int, Track] = {}
     steps: dict[int, int] = {}
+    stripped: dict[int, bytes] = {}  # what packets begin with, left out of the file
+    squeezed: set[int] = set()  # tracks with zlib packets
     tags: dict[str, str] = {}
 
     def block(a: int, b: int, cluster: int, key: bool | None, duration: int | None) -> None:
@@ -108,11 +130,16 @@ def parse(data: bytes) -> Media:
         frames = _laced(data, p + 3, b, flags >> 1 & 3)
         each = steps.get(no) or (duration or 0) // len(frames)
         for i, (at, n) in enumerate(frames):
-            t.packets.append(Packet(len(t.packets), cluster + shift + i * each, each, at, n, key or t.type != "video"))
+            body = None
+            if no in squeezed:
+                body = zlib.decompress(data[at : at + n])
+            elif no in stripped:
+                body = stripped[no] + data[at : at + n]
+            t.packets.append(Packet(len(t.packets), cluster + shift + i * each, each, at, n if body is None else len(body), key or t.type != "video", body))
 
     def track(a: int, b: int) -> None:
         t = Track(0, "", None, 1e9 / scale)
-        step = 0
+        step, method, settings = 0, None, b""
         for name, x, y in elements(data, a, b):
             if name == 0xD7:
                 t.track_id = _uint(data, x, y)
@@ -130,6 +157,16 @@ def parse(data: bytes) -> Media:
                 step = _uint(data, x, y)
             elif name == 0x88:
                 t.default = bool(_uint(data, x, y))
+            elif name == 0x6D80:  # encodings: only a compression is undone
+                for n, p, q in elements(data, x, y):
+                    for m, u, v in elements(data, p, q) if n == 0x6240 else ():
+                        if m == 0x5034:
+                            method = 0
+                            for k, c, d in elements(data, u, v):
+                                if k == 0x4254:
+                                    method = _uint(data, c, d)
+                                elif k == 0x4255:
+                                    settings = data[c:d]
             elif name == 0xE0:
                 for n, p, q in elements(data, x, y):
                     if n == 0xB0:
@@ -153,6 +190,10 @@ def parse(data: bytes) -> Media:
             if t.type == "audio":
                 t.channels = t.channels or 1
             tracks[t.track_id] = t
+            if method == 3:
+                stripped[t.track_id] = bytes(settings)
+            elif method == 0:
+                squeezed.add(t.track_id)
             if step:
                 steps[t.track_id] = round(step / scale)
 
@@ -163,7 +204,7 @@ def parse(data: bytes) -> Media:
                     kind = "webm" if data[x:y].split(b"\0")[0] == b"webm" else "mkv"
         if name != 0x18538067:
             continue
-        for part, x, y in elements(data, a, b):
+        for part, x, y in _resynchronised(data, a, b):
             if part == 0x1549A966:
                 for n, p, q in elements(data, x, y):
                     if n == 0x2AD7B1:

@@ -94,45 +94,49 @@ def formats(rows: DataFrame) -> DataFrame:
     return rows.select("file_id", "content").mapInArrow(run, "file_id string, format string")
 
 
-def tracks(rows: DataFrame, errors: str = "raise") -> DataFrame:
-    """One row per track of each file. errors: "raise", or "skip" files that can't be read."""
+def track_rows(name: str, data: bytes, media: Media) -> Iterator[dict]:
+    numbers: dict[str, int] = {}
+    for i, t in enumerate(media.tracks):
+        numbers[t.type] = numbers.get(t.type, 0) + 1
+        span = max((p.ticks + p.duration_ticks for p in t.packets), default=0) - min((p.ticks for p in t.packets), default=0)
+        yield {
+            "file_id": name, "format": media.format, "track_id": t.track_id, "number": numbers[t.type], "type": t.type, "codec": t.codec, "codec_string": t.codec_string, "internal_codec_id": t.internal_codec_id, "language": t.language, "name": t.name,
+            "time_resolution": t.resolution, "duration_meta": t.duration_ticks / t.resolution if t.duration_ticks else None, "bitrate": 8 * sum(p.length for p in t.packets) * t.resolution / span if span else None, "only_key": all(p.key for p in t.packets),
+            "is_default": t.default, "decoder_description": t.description, "coded_width": t.width, "coded_height": t.height, "rotation": t.rotation, "channels": t.channels, "sample_rate": t.sample_rate, "ordinal": i,
+        }
+
+
+def packet_rows(name: str, content: bytes, media: Media, data: bool) -> Iterator[dict]:
+    for t in media.tracks:
+        for p in t.packets:
+            row = {"file_id": name, "track_id": t.track_id, "seq": p.seq, "type": "key" if p.key else "delta", "pts_ticks": p.ticks, "timestamp": p.ticks / t.resolution, "duration": p.duration_ticks / t.resolution, "byte_offset": p.offset, "byte_length": p.length, "data": None}
+            if data:
+                row["data"] = p.data if p.data is not None else content[p.offset : p.offset + p.length]
+            elif p.data is not None:
+                row["_inline"] = p.data
+            yield row
+
+
+def tag_rows(name: str, data: bytes, media: Media) -> Iterator[dict]:
+    numbers = ("track_no", "tracks_total", "disc_no", "discs_total")
+    found = normalised(media.tags)
+    row = {k: int(v) if k in numbers and str(v).isdigit() else v for k, v in found.items()}
+    yield {"file_id": name, "format": media.format, **{f.split()[0]: row.get(f.split()[0]) for f in TAG_SCHEMA.split(", ")[2:-1]}, "raw": list(media.tags.items())}
 
-    def emit(name: str, data: bytes, media: Media) -> Iterator[dict]:
-        numbers: dict[str, int] = {}
-        for i, t in enumerate(media.tracks):
-            numbers[t.type] = numbers.get(t.type, 0) + 1
-            span = max((p.ticks + p.duration_ticks for p in t.packets), default=0) - min((p.ticks for p in t.packets), default=0)
-            yield {
-                "file_id": name, "format": media.format, "track_id": t.track_id, "number": numbers[t.type], "type": t.type, "codec": t.codec, "codec_string": t.codec_string, "internal_codec_id": t.internal_codec_id, "language": t.language, "name": t.name,
-                "time_resolution": t.resolution, "duration_meta": t.duration_ticks / t.resolution if t.duration_ticks else None, "bitrate": 8 * sum(p.length for p in t.packets) * t.resolution / span if span else None, "only_key": all(p.key for p in t.packets),
-                "is_default": t.default, "decoder_description": t.description, "coded_width": t.width, "coded_height": t.height, "rotation": t.rotation, "channels": t.channels, "sample_rate": t.sample_rate, "ordinal": i,
-            }
 
-    return _read(rows, TRACK_SCHEMA, emit, errors)
+def tracks(rows: DataFrame, errors: str = "raise") -> DataFrame:
+    """One row per track of each file. errors: "raise", or "skip" files that can't be read."""
+    return _read(rows, TRACK_SCHEMA, track_rows, errors)
 
 
 def packets(rows: DataFrame, data: bool = True, errors: str = "raise") -> DataFrame:
     """One row per packet, in decode order by ``seq``. data=False leaves payloads out."""
-
-    def emit(name: str, content: bytes, media: Media) -> Iterator[dict]:
-        for t in media.tracks:
-            for p in t.packets:
-                body = None if not data else p.data if p.data is not None else content[p.offset : p.offset + p.length]
-                yield {"file_id": name, "track_id": t.track_id, "seq": p.seq, "type": "key" if p.key else "delta", "pts_ticks": p.ticks, "timestamp": p.ticks / t.resolution, "duration": p.duration_ticks / t.resolution, "byte_offset": p.offset, "byte_length": p.length, "data": body}
-
-    return _read(rows, PACKET_SCHEMA, emit, errors)
+    return _read(rows, PACKET_SCHEMA, lambda name, content, media: packet_rows(name, content, media, data), errors)
 
 
 def tags(rows: DataFrame, errors: str = "raise") -> DataFrame:
     """One row of metadata per file."""
-    numbers = ("track_no", "tracks_total", "disc_no", "discs_total")
-
-    def emit(name: str, data: bytes, media: Media) -> Iterator[dict]:
-        found = normalised(media.tags)
-        row = {k: int(v) if k in numbers and str(v).isdigit() else v for k, v in found.items()}
-        yield {"file_id": name, "format": media.format, **{f.split()[0]: row.get(f.split()[0]) for f in TAG_SCHEMA.split(", ")[2:-1]}, "raw": list(media.tags.items())}
-
-    return _read(rows, TAG_SCHEMA, emit, errors)
+    return _read(rows, TAG_SCHEMA, tag_rows, errors)
 
 
 def as_packet_table(rows: DataFrame) -> DataFrame:

@@ -33,10 +33,28 @@ def mp3_header(data: bytes, at: int) -> dict | None:
     return {"layer": layer, "rate": rate, "bitrate": bitrate, "samples": samples, "size": size, "channels": 1 if data[at + 3] >> 6 == 3 else 2, "low": low}
 
 
+#: Bytes after the tag in which the first frame is looked for.
+SEARCHED = 4096
+
+
 def is_mp3(data: bytes) -> bool:
-    at = id3v2_size(data)
-    h = mp3_header(data, at)
-    return h is not None and h["layer"] == 3 and (at + h["size"] >= len(data) or mp3_header(data, at + h["size"]) is not None)
+    """Whether a frame that another one follows, or that ends the data, begins soon after the tag. A first frame elsewhere than there needs a follower."""
+    begin = id3v2_size(data)
+    for at in range(begin, min(begin + SEARCHED, len(data) - 3)):
+        h = mp3_header(data, at)
+        if h is not None and h["layer"] == 3:
+            follows = at + h["size"] < len(data) - 3
+            if (follows and mp3_header(data, at + h["size"]) is not None) or (at == begin and not follows):
+                return True
+    return False
+
+
+def xing_frames(frame: bytes, h: dict) -> int | None:
+    """How many frames a first frame of the Xing kind says there are; None for another frame, 0 if it doesn't say."""
+    side = (9 if h["channels"] == 1 else 17) if h["low"] else (17 if h["channels"] == 1 else 32)
+    if frame[4 + side : 8 + side] not in (b"Xing", b"Info"):
+        return None
+    return int.from_bytes(frame[12 + side : 16 + side], "big") if frame[11 + side] & 1 else 0
 
 
 def parse_mp3(data: bytes) -> Media:
@@ -52,8 +70,9 @@ def parse_mp3(data: bytes) -> Media:
             continue
         if track is None:
             track = Track(1, "audio", "mp3", float(h["rate"]), channels=h["channels"], sample_rate=h["rate"], codec_string="mp3")
-            side = (9 if h["channels"] == 1 else 17) if h["low"] else (17 if h["channels"] == 1 else 32)
-            if data[at + 4 + side : at + 8 + side] in (b"Xing", b"Info"):
+            told = xing_frames(data[at : at + h["size"]], h)
+            if told is not None:
+                track.duration_ticks = told * h["samples"] or None
                 at += h["size"]
                 continue
         track.packets.append(Packet(len(track.packets), ticks, h["samples"], at, h["size"]))
@@ -61,7 +80,7 @@ def parse_mp3(data: bytes) -> Media:
         at += h["size"]
     if track is None:
         raise MediaError("no MP3 frame")
-    track.duration_ticks = ticks
+    track.duration_ticks = track.duration_ticks or ticks
     return Media("mp3", [track], tags)
 
 

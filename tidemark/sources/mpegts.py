@@ -12,8 +12,16 @@ CODECS = {0x1B: ("video", "avc"), 0x24: ("video", "hevc"), 0x0F: ("audio", "aac"
 CLOCK = 90_000
 
 
+def layout(data: bytes) -> tuple[int, int] | None:
+    """The first packet's place and how far packets are apart: 188 bytes, with a time before each (192) or a check after it (204)."""
+    for first, step in ((0, 188), (4, 192), (0, 204)):
+        if len(data) >= first + 188 and all(data[i] == 0x47 for i in range(first, min(len(data) - 1, first + step * 4), step)):
+            return first, step
+    return None
+
+
 def is_mpegts(data: bytes) -> bool:
-    return len(data) >= 188 and data[0] == 0x47 and all(data[i] == 0x47 for i in range(188, min(len(data) - 1, 188 * 4), 188))
+    return layout(data) is not None
 
 
 def timestamp(data: bytes) -> int:
@@ -41,8 +49,12 @@ def is_key(codec: str, data: bytes) -> bool:
 
 
 def parse(data: bytes) -> Media:
-    if not is_mpegts(data):
+    found = layout(data)
+    if found is None:
         raise MediaError("not a transport stream")
+    if found != (0, 188):
+        first, step = found
+        data = b"".join(data[i : i + 188] for i in range(first, len(data) - 187, step))
     maps: set[int] = set()
     kinds: dict[int, tuple[str, str]] = {}
     order: list[int] = []

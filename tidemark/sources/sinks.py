@@ -51,6 +51,8 @@ def mux(format_: str, tracks: list[Track], payloads: dict[int, list[bytes]], tag
     one = tracks[0] if tracks else None
     if format_ in ("mp4", "mov"):
         return isobmff.build(tracks, payloads, tags)
+    if format_ == "cmaf":
+        return isobmff.build_fragmented(tracks, payloads, tags)
     if format_ in ("mkv", "webm"):
         return matroska.build(tracks, payloads, tags, webm=format_ == "webm")
     if format_ == "mpegts":

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass
 
 #: Names in each system and the common name.
 ID3 = {"TIT2": "title", "TIT3": "description", "TPE1": "artist", "TALB": "album", "TPE2": "album_artist", "TRCK": "track", "TPOS": "disc", "TCON": "genre", "TDRC": "date", "TYER": "date", "COMM": "comment", "USLT": "lyrics", "TT2": "title", "TP1": "artist", "TAL": "album", "TP2": "album_artist", "TRK": "track", "TPA": "disc", "TCO": "genre", "TYE": "date", "COM": "comment", "ULT": "lyrics"}
@@ -127,3 +128,94 @@ def normalised(tags: dict[str, str]) -> dict[str, str]:
             if b.strip().isdigit():
                 out.setdefault(total, b.strip())
     return out
+
+
+NUMBERS = ("track_no", "tracks_total", "disc_no", "discs_total")
+TEXTS = ("title", "description", "artist", "album", "album_artist", "genre", "lyrics", "comment", "date")
+IMAGE_KINDS = ("front", "back", "other")
+
+
+@dataclass(frozen=True)
+class AttachedImage:
+    """A picture that goes with a file."""
+
+    data: bytes
+    mime_type: str
+    kind: str = "other"
+    name: str | None = None
+    description: str | None = None
+
+
+@dataclass(frozen=True)
+class AttachedFile:
+    """Any other file that goes with one."""
+
+    data: bytes
+    mime_type: str | None = None
+    name: str | None = None
+    description: str | None = None
+
+
+def validate(tags: dict) -> None:
+    """Raises an error for tags that no file can hold as they are: wrong types, numbers below 1, a number beyond its total."""
+    for key in TEXTS:
+        if tags.get(key) is not None and not isinstance(tags[key], str):
+            raise TypeError(f"{key} must be text")
+    for key in NUMBERS:
+        value = tags.get(key)
+        if value is not None and (isinstance(value, bool) or not isinstance(value, int) or value < 1):
+            raise TypeError(f"{key} must be a whole number above 0")
+    for number, total in (("track_no", "tracks_total"), ("disc_no", "discs_total")):
+        if tags.get(number) and tags.get(total) and tags[number] > tags[total]:
+            raise ValueError(f"{number} is beyond {total}")
+    for image in tags.get("images") or ():
+        if not isinstance(image, AttachedImage) or not image.data or "/" not in image.mime_type or image.kind not in IMAGE_KINDS:
+            raise TypeError("images must be AttachedImage with data, a MIME type and a known kind")
+    raw = tags.get("raw")
+    if raw is not None and not (isinstance(raw, dict) and all(isinstance(k, str) and isinstance(v, (str, bytes, AttachedImage, AttachedFile, type(None))) for k, v in raw.items())):
+        raise TypeError("raw must map names to text, bytes or attachments")
+
+
+def are_empty(tags: dict) -> bool:
+    """Whether no tag has a value."""
+    return not any(v for k, v in tags.items() if k in TEXTS or k in NUMBERS or k in ("images", "raw"))
+
+
+def id3v2_images(data: bytes) -> list[AttachedImage]:
+    """The pictures of an ID3 tag of version 2.3 or 2.4."""
+    size = id3v2_size(data)
+    if not size or data[3] < 3:
+        return []
+    body, at, out = data[10:size], 0, []
+    while at + 10 <= len(body) and body[at]:
+        n = synchsafe(body[at + 4 : at + 8]) if data[3] == 4 else int.from_bytes(body[at + 4 : at + 8], "big")
+        value = body[at + 10 : at + 10 + n]
+        if body[at : at + 4] == b"APIC" and value:
+            mime, _, rest = value[1:].partition(b"\0")
+            wide = value[0] in (1, 2)
+            end = next((i for i in range(1, len(rest), 2) if rest[i : i + 2] == b"\0\0"), len(rest)) if wide else rest.find(b"\0", 1)
+            text = _text(value[:1] + rest[1:end])
+            out.append(AttachedImage(rest[end + (2 if wide else 1) :], mime.decode("latin-1"), {3: "front", 4: "back"}.get(rest[0], "other"), description=text or None))
+        at += 10 + n
+    return out
+
+
+def id3v2_image(image: AttachedImage) -> bytes:
+    """A picture as a frame of an ID3 2.4 tag."""
+    body = b"\x03" + image.mime_type.encode("latin-1") + b"\0" + bytes([{"front": 3, "back": 4}.get(image.kind, 0)]) + (image.description or "").encode() + b"\0" + image.data
+    return b"APIC" + to_synchsafe(len(body)) + b"\0\0" + body
+
+
+def flac_picture(block: bytes) -> AttachedImage:
+    """A picture block, as FLAC and Vorbis comments hold it."""
+    kind, n = struct.unpack_from(">II", block)
+    mime, at = block[8 : 8 + n].decode("latin-1"), 8 + n
+    (m,) = struct.unpack_from(">I", block, at)
+    text, at = block[at + 4 : at + 4 + m].decode("utf-8", "replace"), at + 4 + m + 16
+    (size,) = struct.unpack_from(">I", block, at)
+    return AttachedImage(block[at + 4 : at + 4 + size], mime, {3: "front", 4: "back"}.get(kind, "other"), description=text or None)
+
+
+def build_flac_picture(image: AttachedImage) -> bytes:
+    mime, text = image.mime_type.encode("latin-1"), (image.description or "").encode()
+    return struct.pack(">II", {"front": 3, "back": 4}.get(image.kind, 0), len(mime)) + mime + struct.pack(">I", len(text)) + text + bytes(16) + struct.pack(">I", len(image.data)) + image.data
