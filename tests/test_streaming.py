@@ -38,6 +38,7 @@ def run(df, path, mode="append"):
 
 def test_late_rows_are_counted(spark, tmp_path):
     schema = "track long, ts timestamp, bytes long, key boolean"
+    (tmp_path / "in").mkdir()
 
     def put(*rows):
         spark.createDataFrame([(1, t, b, True) for t, b in rows], "track long, t string, bytes long, key boolean").selectExpr("track", "cast(t as timestamp) as ts", "bytes", "key").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
@@ -56,6 +57,7 @@ def test_reordering(spark, tmp_path):
     order = [0, 3, 1, 2]
     rows = [(t, i, (i // 4 * 4 + order[i % 4]) * 40, i, i % 8 == 0) for t in (1, 2) for i in range(40)]
     schema = "track long, seq long, us long, bytes long, key boolean"
+    (tmp_path / "in").mkdir()
     stream = live.reorder(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"), depth=4)
     got = []
     for part in (rows[:20] + rows[40:50], rows[20:40] + rows[50:]):

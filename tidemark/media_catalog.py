@@ -525,3 +525,59 @@ def counter_mode(spark, sf_dir):
     changed = (F.col("data") != F.col("before")) | ((F.octet_length("data") <= 5) & (F.octet_length("data") > 0))
     back = encryption.decrypt_ctr(coded)
     return back.select("page_id", F.octet_length("clear").cast("long").alias("size"), F.md5("clear").alias("digest"), changed.alias("changed"))
+
+
+@query("""WITH s AS (SELECT c_nationkey AS list, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS seq_no FROM customer), k AS (SELECT unnest(range(0, 3)) AS n)
+  SELECT list, seq_no, (300000000 * seq_no + n)::BIGINT AS seq, (3000 * seq_no + 1000 * n + CASE WHEN list % 4 = 3 THEN 100 * (seq_no % 3) ELSE 0 END) / 1000.0::DOUBLE AS timestamp FROM s, k""")
+def segment_clock(spark, sf_dir):
+    """Packets of segments on one clock: playlists' segments have absolute times, begin anew, fall behind, or stray a little."""
+    w = Window.partitionBy("list").orderBy("c_custkey")
+    segments = _table(spark, sf_dir, "customer").withColumn("list", F.col("c_nationkey")).select(F.col("list").cast("string").alias("playlist"), "list", (F.row_number().over(w) - 1).cast("long").alias("seq_no")).withColumn("start", F.col("seq_no") * 3.0).withColumn("discontinuity", F.lit(0))
+    # List by list: times go on from 100 s, begin at 0 in every segment, lag by a second a segment, or are up to 0.2 s off, which is trusted.
+    kind = F.col("list") % 4
+    own = F.when(kind == 0, 100 + F.col("start")).when(kind == 1, F.lit(0.0)).when(kind == 2, 7 + F.col("start") - F.col("seq_no")).otherwise(7 + F.col("start") + 0.1 * (F.col("seq_no") % 3))
+    packets_ = segments.withColumn("seq", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long")))).select("playlist", "list", "seq_no", F.lit(1).alias("track_id"), "seq", (own + F.col("seq")).alias("timestamp"), F.lit(1000.0).alias("time_resolution"))
+    return hls.adjust_packets(segments, packets_).select("list", "seq_no", "seq", "timestamp")
+
+
+@query("""SELECT 'n' || c_nationkey::VARCHAR AS file, count(*) FILTER (c_mktsegment = 'BUILDING') > 0 AS wav, true AS mp4 FROM customer GROUP BY c_nationkey""")
+def enough_tracks(spark, sf_dir):
+    """Whether outputs have what their formats need: customers are tracks, of audio in one market segment."""
+    from .plans import conversion
+
+    rows = _table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("file"), F.when(F.col("c_mktsegment") == "BUILDING", "audio").otherwise("video").alias("type"))
+    wav, mp4 = (conversion.has_enough_tracks(rows, ["file"], t).withColumnRenamed("enough", t) for t in ("wav", "mp4"))
+    return wav.join(mp4, "file")
+
+
+@query("""SELECT conv_id::VARCHAR AS file_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS seq, turn * 2000000 AS us, 1500000 AS dur, md5(encode(role || ': ' || text)) AS digest, 'webvtt' AS codec FROM conversations WHERE text IS NOT NULL""")
+def mux_subtitles(spark, sf_dir):
+    """Turns as cues of a subtitle track in Matroska files, read back."""
+    rows = _table(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").cast("string").alias("file_id"), "turn", F.concat("role", F.lit(": "), "text").cast("binary").alias("data"))
+    w = Window.partitionBy("file_id").orderBy("turn")
+    packets_ = rows.select("file_id", F.lit(1).alias("track_id"), (F.row_number().over(w) - 1).cast("long").alias("seq"), F.lit("key").alias("type"), (F.col("turn") * 2000).cast("long").alias("pts_ticks"), F.lit(1.5).alias("duration"), "data")
+    none = lambda kind: F.lit(None).cast(kind)
+    track = rows.select("file_id").distinct().select(
+        "file_id", F.lit(1).alias("track_id"), F.lit("subtitle").alias("type"), F.lit("webvtt").alias("codec"), F.lit(1000.0).alias("time_resolution"), F.lit("eng").alias("language"), none("string").alias("name"), none("binary").alias("decoder_description"),
+        none("int").alias("coded_width"), none("int").alias("coded_height"), F.lit(0).alias("rotation"), none("int").alias("channels"), none("int").alias("sample_rate"), F.lit(True).alias("is_default"), F.lit(0).alias("ordinal"),
+    )
+    files = sinks.write_media(track, packets_, "mkv")
+    micros = lambda c: F.floor(F.col(c) * 1e6 + 0.5).cast("long")
+    back = media.packets(files).select("file_id", "seq", micros("timestamp").alias("us"), micros("duration").alias("dur"), F.md5("data").alias("digest"))
+    return back.join(media.tracks(files).select("file_id", "codec"), "file_id")
+
+
+# A last group that stands alone still fits the segment before it.
+@query(f"""{_N}, g AS (SELECT *, (n // 12)::BIGINT AS gop, (max(n) OVER (PARTITION BY file_id) // 12)::BIGINT AS last FROM n), c AS (SELECT file_id, n, (CASE WHEN gop = last AND gop % 2 = 0 AND gop > 0 THEN gop // 2 - 1 ELSE gop // 2 END)::BIGINT AS segment FROM g)
+  SELECT file_id, segment, count(*) AS frames FROM c GROUP BY file_id, segment""")
+def hls_segments(spark, sf_dir):
+    """Files as playlists of transport streams of a second each, two groups of twelve frames: frames by segment, read back."""
+    frames = _frames(spark, sf_dir)
+    rows = _video(frames).unionByName(_audio(frames))
+    timed = rows.withColumns({"timestamp": F.when(F.col("track_id") == 1, F.col("pts_ticks") / 25).otherwise(F.col("pts_ticks") / 48000), "byte_length": F.octet_length("data")})
+    out = sinks.write_hls(_tracks(frames.select("file_id").distinct()), timed, 960_000)
+    streams = out.filter("name like '%.ts'")
+    back = media.packets(streams.select(F.concat("file_id", F.lit("|"), "name").alias("file_id"), "content"), data=False)
+    number = F.regexp_extract("file_id", "-([0-9]+)[.]ts$", 1).cast("long")
+    video = back.join(media.tracks(streams.select(F.concat("file_id", F.lit("|"), "name").alias("file_id"), "content")).filter("type = 'video'").select("file_id", "track_id"), ["file_id", "track_id"])
+    return video.select(F.substring_index("file_id", "|", 1).alias("file_id"), number.alias("segment")).groupBy("file_id", "segment").agg(F.count("*").alias("frames"))

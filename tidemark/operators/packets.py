@@ -64,9 +64,10 @@ def as_of(probes: DataFrame, base: DataFrame, keys: Sequence[str], value: Sequen
     # Every bucket that a probe or a base row falls in, with the last base row of those before it.
     named = ends.unionByName(q.select(*keys, "_bucket").distinct().withColumn("_end", none)).groupBy(*keys, "_bucket").agg(F.max("_end").alias("_end"))
     before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = named.select(*keys, "_bucket", F.last("_end", ignorenulls=True).over(before).alias("_carried"))
-    same = [hits[k].eqNullSafe(carried[k]) for k in keys] + [hits["_bucket"].eqNullSafe(carried["_bucket"])]
-    out = hits.join(carried, same, "left").select(*[hits[c] for c in hits.columns], carried["_carried"])
+    place = [*keys, "_bucket"]
+    carried = named.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(place)], F.last("_end", ignorenulls=True).over(before).alias("_carried"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(place)]
+    out = hits.join(carried, same, "left")
     return out.select(*probes.columns, *[F.coalesce("_hit", "_carried")[v].alias(v) for v in value])
 
 
@@ -124,8 +125,9 @@ def interleave(packets: DataFrame, group: Sequence[str], track: str, bucket_us:
     rows = packets.withColumn("_reach", F.max("us").over(reach)).withColumn("_bucket", F.floor(F.col("_reach") / F.lit(bucket_us)).cast("long"))
     counts = rows.groupBy(*group, "_bucket").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy(*group).orderBy("_bucket")
-    before = counts.select(*group, "_bucket", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))
-    order = Window.partitionBy(*group, "_bucket").orderBy("_reach", track, "seq")
+    place = [*group, "_bucket"]
+    before = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(place)], (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"))
+    order = Window.partitionBy(*place).orderBy("_reach", track, "seq")
     ranked = rows.withColumn("_own", F.row_number().over(order))
-    same = [ranked[c].eqNullSafe(before[c]) for c in (*group, "_bucket")]
-    return ranked.join(before, same).select(*[ranked[c] for c in packets.columns], (ranked["_own"] + before["_before"]).alias("position"))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(place)]
+    return ranked.join(before, same).select(*packets.columns, (F.col("_own") + F.col("_before")).alias("position"))

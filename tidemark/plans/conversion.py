@@ -39,6 +39,16 @@ def formats(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "format string, video array<string>, audio array<string>, subtitle array<string>, max_video int, max_audio int, max_tracks int, rotation boolean, timestamped boolean")
 
 
+#: Formats that hold nothing but one audio track; the others need a track of any type.
+ONE_AUDIO = ("mp3", "wav", "adts", "flac")
+
+
+def has_enough_tracks(tracks: DataFrame, by: Sequence[str], target: str) -> DataFrame:
+    """by, enough: whether an output in this format has the tracks that it needs. tracks: by and type; a null type is an output without tracks."""
+    wanted = F.count_if(F.col("type") == "audio") if target in ONE_AUDIO else F.count("type")
+    return tracks.groupBy(*by).agg((wanted >= 1).alias("enough"))
+
+
 def discard(tracks: DataFrame, by: Sequence[str], most: dict[str, int], total: int, encodable: Column) -> DataFrame:
     """Adds ``reason``: why a track is left out (null: it is used).
 

@@ -225,6 +225,35 @@ def neighbours(segments: DataFrame) -> DataFrame:
     return segments.withColumns({"previous_seq": F.lag("seq_no").over(order), "next_seq": F.lead("seq_no").over(order)})
 
 
+#: Fixed value: seconds by which a segment's own times may be off before they are no longer trusted.
+TRUSTED = 0.25
+
+
+def adjust_packets(segments: DataFrame, packets: DataFrame) -> DataFrame:
+    """Packets of a playlist's segments on one clock: ``timestamp`` and ``seq`` are replaced.
+
+    segments: playlist, seq_no, start, discontinuity; packets: playlist, seq_no,
+    track_id, seq, timestamp, time_resolution. Segments between two breaks keep
+    their own times, moved by what sets the first of them to its start; one whose
+    times stray from the playlist is set to its own start instead. Sequence
+    numbers leave room for the bytes of the time before, so that they rise from
+    segment to segment.
+    """
+    first = packets.groupBy("playlist", "seq_no", "track_id").agg(F.min_by("timestamp", "seq").alias("t")).groupBy("playlist", "seq_no").agg(F.min("t").alias("own"))
+    known = segments.select("playlist", "seq_no", "start", "discontinuity").join(first, ["playlist", "seq_no"])
+    run = Window.partitionBy("playlist", "discontinuity").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("playlist").orderBy("seq_no").rowsBetween(Window.unboundedPreceding, 0)
+    known = known.withColumns({"start0": F.first("start").over(run), "own0": F.first("own").over(run), "begin": F.first("start").over(whole)})
+    elapsed = F.col("start") - F.col("start0")
+    stray = F.abs((F.col("own") - F.col("own0")) - elapsed)
+    leads = (F.col("start") == F.col("start0")) & (F.col("own") == F.col("own0"))
+    offset = F.when(leads | (stray <= F.least(F.lit(TRUSTED), elapsed)), F.col("start0") - F.col("own0")).otherwise(F.col("start") - F.col("own"))
+    moved = known.select("playlist", "seq_no", offset.alias("_offset"), F.floor(F.lit(1e8) * (F.col("start") - F.col("begin"))).cast("long").alias("_before"))
+    joined = packets.join(moved, ["playlist", "seq_no"])
+    at = F.floor((F.col("timestamp") + F.col("_offset")) * F.col("time_resolution") + 0.5) / F.col("time_resolution")
+    return joined.withColumns({"timestamp": at, "seq": F.col("_before") + F.col("seq")}).drop("_offset", "_before")
+
+
 def media_playlist(segments: DataFrame, keys: Sequence[str], top: DataFrame, done: bool = True, version: int = 3) -> DataFrame:
     """One playlist text per key: segments have i, path and seconds (text); top has ``target``, whole seconds."""
     head = f"#EXTM3U\n#EXT-X-VERSION:{version}\n" + ("#EXT-X-PLAYLIST-TYPE:VOD\n" if done else "") + "#EXT-X-TARGETDURATION:"
