@@ -103,8 +103,10 @@ def test_against_brute_force_with_odd_rows(spark, tmp_path):
     labels = spark.createDataFrame([(1, 1, 0), (None, 1, 1), (2, None, None)], "doc_id long, quality int, toxic int")
     items.write.parquet(f"{tmp_path}/a/benchmark.parquet")
     labels.write.parquet(f"{tmp_path}/a/labels.parquet")
-    got = cp.run(spark, f"{tmp_path}/a").collect()
-    assert sorted((x["doc_id"], x["length"]) for x in got) == brute_run(docs, [(1, item)])
+    got = Counter()
+    for x in cp.run(spark, f"{tmp_path}/a").collect():
+        got[x["doc_id"]] += x["length"]
+    assert sorted(got.items()) == brute_run(docs, [(1, item)])
     for name, table in (("documents", frame), ("benchmark", items), ("labels", labels)):
         table.limit(0).write.parquet(f"{tmp_path}/b/{name}.parquet")
     assert cp.run(spark, f"{tmp_path}/b").collect() == []
