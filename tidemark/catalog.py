@@ -368,6 +368,15 @@ def interleave(spark, sf_dir):
     return pk.interleave(rows, ["file"], "track").select("track", "seq", F.col("position").cast("long").alias("position"))
 
 
+@query("""WITH c AS (SELECT conv_id, turn, turn * 2000000 AS us, 1000000 * (1 + turn * 3 % 7) AS dur FROM conversations), t AS (SELECT conv_id, us AS mark FROM c UNION SELECT conv_id, us + dur FROM c),
+  i AS (SELECT conv_id, mark AS start_us, lead(mark) OVER (PARTITION BY conv_id ORDER BY mark) AS end_us FROM t)
+  SELECT i.conv_id, start_us, end_us, list(turn ORDER BY turn) AS ids FROM i JOIN c ON i.conv_id = c.conv_id AND us <= start_us AND start_us < us + dur WHERE end_us IS NOT NULL GROUP BY ALL""")
+def cues_shown(spark, sf_dir):
+    """Turns as cues of one to seven seconds: which are shown in each interval."""
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.col("turn") * 2_000_000).cast("long").alias("us"), (1_000_000 * (1 + F.col("turn") * 3 % 7)).cast("long").alias("dur"))
+    return timeline.cues_shown(rows, ["conv_id"], "turn", 5_000_000)
+
+
 _SEGMENTS = f"""{P}, s AS (SELECT track, row_number() OVER (PARTITION BY track ORDER BY us // {24 * SLOT}) - 1 AS i, max(us + dur) - min(us) AS dur, sum(bytes)::BIGINT AS bytes, min(us) AS us FROM p GROUP BY track, us // {24 * SLOT})"""
 
 
@@ -477,6 +486,27 @@ def resample(spark, sf_dir):
     return audio.resample_rows(rows, ["vec_id"], 1, 48000, 44100)
 
 
+_ARRANGED = """WITH t AS (SELECT c_nationkey AS file, c_custkey AS track, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'video' ELSE 'audio' END AS type, CASE WHEN c_custkey % 2 = 0 THEN 'aac' ELSE 'opus' END AS codec, c_mktsegment = 'MACHINERY' AND c_custkey % 5 = 0 AS only_key FROM customer),
+  e AS (SELECT v.file, v.track AS a, s.track AS b, s.codec FROM t v JOIN t s ON v.file = s.file AND v.type = 'video' AND s.type = 'audio' AND (v.track + s.track) % 7 = 0 AND NOT v.only_key),
+  w AS (SELECT *, count(*) OVER (PARTITION BY file, a) AS sounds, count(*) OVER (PARTITION BY file, b) AS videos FROM e)
+  SELECT file, a AS video, list(b ORDER BY b) AS audio, NOT (max(sounds) = 1 AND max(videos) = 1) AS grouped FROM w GROUP BY file, a, codec
+  UNION ALL SELECT file, track, []::BIGINT[], false FROM t WHERE type = 'video' AND NOT EXISTS (SELECT 1 FROM e WHERE e.file = t.file AND e.a = t.track)
+  UNION ALL SELECT file, NULL, [track], false FROM t WHERE type = 'audio' AND NOT EXISTS (SELECT 1 FROM e WHERE e.file = t.file AND e.b = t.track)"""
+
+
+@query(_ARRANGED)
+def playlist_variants(spark, sf_dir):
+    """Customers as tracks of their nation's file: which variants they become."""
+    from .plans import playlists
+
+    segment = F.col("c_mktsegment")
+    rows = _table(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("file"), F.col("c_custkey").cast("long").alias("track"), F.when(segment.isin("BUILDING", "MACHINERY"), "video").otherwise("audio").alias("type"), F.when(F.col("c_custkey") % 2 == 0, "aac").otherwise("opus").alias("codec"), ((segment == "MACHINERY") & (F.col("c_custkey") % 5 == 0)).alias("only_key")
+    )
+    left, right = (rows.filter(F.col("type") == kind).select("file", F.col("track").alias(name), (F.pmod(F.lit(sign) * F.col("track"), F.lit(7))).alias("_m")) for kind, name, sign in (("video", "a", 1), ("audio", "b", -1)))
+    return playlists.arrange(rows, left.join(right, ["file", "_m"]).select("file", "a", "b"), ["file"])
+
+
 @query(f"""WITH {P}, m AS (SELECT track, seq, us // 1000 % 360000000 AS ms FROM p), f AS (SELECT *, (CASE WHEN ms < 36000000 THEN '0' ELSE '' END) || (ms // 3600000)::VARCHAR || ':' || lpad((ms // 60000 % 60)::VARCHAR, 2, '0') || ':' || lpad((ms // 1000 % 60)::VARCHAR, 2, '0') || '.' || lpad((ms % 1000)::VARCHAR, 3, '0') AS t FROM m)
   SELECT track, seq, t, ms AS back FROM f""")
 def vtt_time(spark, sf_dir):

@@ -136,6 +136,21 @@ def cue_flatten(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
     return rows.filter("end_us is not null").select(*keys, F.col("t").alias("start_us"), "end_us", "shown")
 
 
+def cues_shown(cues: DataFrame, keys: Sequence[str], ident: str, bucket_us: int = 60_000_000) -> DataFrame:
+    """The intervals of cue_flatten in which a cue is shown, with the sorted ids of all that are.
+
+    Intervals and cues meet by time buckets of a fixed width, so a cue is
+    compared with the intervals near it, not with all of its track.
+    """
+    parts = cue_flatten(cues, keys).filter("shown > 0")
+    bucket = lambda c: F.floor(c / F.lit(bucket_us)).cast("long")
+    left = parts.withColumn("_bucket", bucket(F.col("start_us")))
+    right = cues.filter("dur > 0").select(*keys, F.col(ident).alias("_id"), F.col("us").alias("_from"), (F.col("us") + F.col("dur")).alias("_to"))
+    right = right.withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to")))))
+    met = left.join(right, [*keys, "_bucket"]).filter((F.col("_from") <= F.col("start_us")) & (F.col("start_us") < F.col("_to")))
+    return met.groupBy(*keys, "start_us", "end_us").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
+
+
 def floor_to_multiple(value: Column, step: int) -> Column:
     """The greatest multiple of a whole step that is no greater."""
     return (F.floor(value / step).cast("long") * step).cast("long")
