@@ -163,28 +163,34 @@ def measure(docs: DataFrame, text: str = "text", marks: list[str] | None = None)
             (F.length(joined) - F.length(F.translate(joined, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
             (F.length(joined) - F.length(F.replace(joined, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaim"),
             _repeat_words(w).alias("n_repeat_words"),
-            letters(F.array_join(w, " ")).alias("toxic"),
             F.coalesce(joined.rlike("\\p{L}"), F.lit(False)).alias("has_letter"),
         )
 
-    def letters(joined: Column) -> Column:
-        return let(_letters(joined), toxic)
+    known = [(n, [m for m in marks or () if least < len(m) <= n]) for least, n in zip((0, *LETTERS), LETTERS, strict=False)]
+    known = [(n, m) for n, m in known if m]
 
-    def toxic(plain: Column) -> Column:
-        terms = F.size(F.array_intersect(plain, F.array(*map(F.lit, TOXIC))))
-        known = [(n, [m for m in marks or () if least < len(m) <= n]) for least, n in zip((0, *LETTERS), LETTERS, strict=False)]
-        known = [(n, m) for n, m in known if m]
-        marked = F.size(F.filter(plain, lambda p: reduce(or_, [F.substring(p, 1, n).isin(*m) for n, m in known]))) if known else F.lit(0)
-        return F.struct(terms.cast("long").alias("terms"), marked.cast("long").alias("marked"))
+    def toxic(hits: Column) -> Column:
+        terms = F.size(F.array_distinct(F.filter(hits, lambda p: p.isin(*TOXIC))))
+        marked = F.size(F.filter(hits, lambda p: reduce(or_, [F.substring(p, 1, n).isin(*m) for n, m in known]))) if known else F.lit(0)
+        return F.struct(terms.cast("long").alias("n_toxic"), marked.cast("long").alias("n_marked"))
+
+    def maybe(p: Column) -> Column:
+        # One look at each word, by its beginnings, finds the few that count.
+        longest = LETTERS[-1]
+        found = {longest: {w[:longest] for w in TOXIC}}
+        for n, m in known:
+            found.setdefault(n, set()).update(m)
+        return reduce(or_, [F.substring(p, 1, n).isin(*sorted(m)) for n, m in found.items()])
+
+    place = {"n_lines": "_of_lines", "n_dup_lines": "_of_lines", "n_toxic": "_of_terms", "n_marked": "_of_terms"}
 
     def line_counts(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
     return (
-        docs.withColumns({"_w": let(words, all_of), "_l": let(lines, line_counts)})
-        .withColumns({m: F.col("_l" if m in ("n_lines", "n_dup_lines") else "_w")[m] for m in MEASURES if m not in ("n_toxic", "n_marked")})
-        .withColumns({"n_toxic": F.col("_w")["toxic"]["terms"], "n_marked": F.col("_w")["toxic"]["marked"]})
-        .drop("_w", "_l")
+        docs.withColumns({"_of_words": let(words, all_of), "_of_lines": let(lines, line_counts), "_of_terms": let(F.filter(_letters(t), maybe), toxic)})
+        .withColumns({m: F.col(place.get(m, "_of_words"))[m] for m in MEASURES})
+        .drop("_of_words", "_of_lines", "_of_terms")
     )
 
 
