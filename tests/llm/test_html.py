@@ -32,6 +32,11 @@ GOLD = {
     "short paragraphs": ("<nav><a href=/>Home</a></nav><article><h1>Hi</h1><p>Yes.</p><p>No</p></article><footer>x</footer>", ["Hi", "Yes.", "No"]),
     "more comments than article": (f"<article><h1>On rivers</h1><p>{P}</p><div class='comments'>{COMMENTS}</div></article>", ["On rivers", P]),
     "comments outside": (f"<main><h1>On rivers</h1><p>{P}</p></main><section id='comments'>{COMMENTS}</section>", ["On rivers", P]),
+    "comments that are articles": (
+        f"<main><article class='post comments-open'><h1>On rivers</h1><p>{P}</p></article><div class='comments'>" + "".join(f"<article class='comment' id='comment-{k}'><p>{q}</p></article>" for k, q in enumerate(Q)) + "</div></main>",
+        ["On rivers", P],
+    ),
+    "hardly anything but comments": (f"<h1>On rivers</h1><p>{P}</p><div id='comments'>{COMMENTS * 4}</div>", ["On rivers", P]),
     "a form around the page": (f"<form id=all><div id=main><h2>Title here</h2><p>{P}</p><p>{P}</p></div><div class='nav-menu'><ul><li><a href=a>Aa</a><li><a href=b>Bb</a></ul></div></form>", ["Title here", P, P]),
     "an advert and an aside within": (f"<article><h1>T one</h1><p>{P}</p><div class='ad'>{Q[0]}</div><aside><p>{Q[1]}</p></aside><p>End.</p></article>", ["T one", P, "End."]),
     "a list of links within": ("<article><h1>Links</h1><p>See these.</p><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li><li><a href=c>Three words here</a></li></ul></article>", ["Links", "See these.", "One", "Two", "Three words here"]),

@@ -160,8 +160,10 @@ class _Reader(HTMLParser):
         a = dict(attrs)
         role = str(a.get("role") or "").strip().lower()
         evidence = 0.0
-        if tag not in ("html", "body", "article", "main"):
+        if tag not in ("html", "body"):
             evidence = name_evidence([*str(a.get("class") or "").split(), *str(a.get("id") or "").split()])
+            if tag in ("article", "main") and evidence > SURE:
+                evidence = 0.0  # only a comment or an advert is an article that is none
         evidence = min(evidence, ROLES.get(role, 0.0)) if evidence < 0 else ROLES.get(role, evidence)
         hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in re.sub(r"\s", "", str(a.get("style") or "").lower())
         if tag not in BLOCK_TAGS:
@@ -238,7 +240,8 @@ def weigh(blocks: list[Block], elements: list[Element]) -> tuple[list[float], li
         prose[b.element] += b.words if b.links < 0.5 else 0
         if b.tag == "h1":
             elements[b.element].title = True
-    holds = [e.tag in ("article", "main") for e in elements]
+    article = [e.tag in ("article", "main") and e.evidence > 0 for e in elements]
+    holds = list(article)
     for i in range(len(elements) - 1, 0, -1):
         e = elements[i]
         prose[e.above] += prose[i]
@@ -248,14 +251,14 @@ def weigh(blocks: list[Block], elements: list[Element]) -> tuple[list[float], li
     outermost = [False] * len(elements)
     sections = 0
     for i, e in enumerate(elements[1:], 1):
-        outermost[i] = outermost[e.above] or e.tag in ("article", "main")
+        outermost[i] = outermost[e.above] or article[i]
         if outermost[i] and not outermost[e.above]:
             sections += prose[i]
     evidence = [OUTSIDE if sections >= 0.3 * total else 0.0] + [0.0] * (len(elements) - 1)
     for i, e in enumerate(elements[1:], 1):
         own, share = e.evidence, prose[i] / total
         if own < 0 and e.tag not in ("nav", "footer", "aside", "menu"):
-            if share >= 0.9 or share >= 0.5 and (e.title or holds[i]):
+            if share >= 0.9 and own > SURE or share >= 0.5 and (e.title or holds[i]):
                 own = 0.0  # it is the page, whatever it is called
             elif share > 0.5 and own > SURE:
                 own *= 2 * (1 - share)
