@@ -117,3 +117,49 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     found = {r["node"]: r["component"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {found[i] for i in range(41)} == {0} and {found[i] for i in (100, 101, 103)} == {100}
+
+
+def test_a_large_cluster_is_not_sent_once_a_block(spark, monkeypatch):
+    """Near copies, some of which hang on the others by few buckets: rows sent to tiles grow with n ** 1.5, and no link is lost."""
+    monkeypatch.setattr(nd, "BLOCK", 10)
+    kept, n, r = [], 600, random.Random(8)
+    durable = nd.durable
+    monkeypatch.setattr(nd, "durable", lambda df: kept.append(durable(df)) or kept[-1])
+    base, docs = words(300, 150).split(), []
+    for k in range(n):
+        w = list(base)
+        for i in range(min(20, 1 + int(r.expovariate(1 / 3.5)))):
+            w[r.randrange(len(w))] = f"new{k}x{i}"
+        docs.append((k, " ".join(w)))
+    assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
+    members, sides = (next(d for d in kept if columns <= set(d.columns)) for columns in ({"text", "block"}, {"ti", "tj", "side"}))
+    assert n / 2 < members.join(sides, "block").count() < 3 * n * (n / 10) ** 0.5
+
+
+def test_a_block_is_bounded_by_bytes(spark, monkeypatch):
+    docs = [(k, words(400, 200) + f" tail{k}") for k in range(40)]
+    monkeypatch.setattr(nd, "BLOCK_BYTES", 5000)
+    kept, durable = [], nd.durable
+    monkeypatch.setattr(nd, "durable", lambda df: kept.append(durable(df)) or kept[-1])
+    assert got(spark.createDataFrame(docs, "doc_id long, text string")) == [(k, 0, 39) for k in sorted(range(40), key=lambda k: str((k, 0, 39)))]
+    members = next(d for d in kept if {"text", "block"} <= set(d.columns))
+    assert members.select("block").distinct().count() > 4
+
+
+@pytest.mark.parametrize("part", [7, 400])
+@pytest.mark.parametrize("first", [0, 23, 60])
+def test_pairs_by_parts(monkeypatch, part, first):
+    monkeypatch.setattr(nd, "PART", part)
+    r = np.random.default_rng(3)
+    base = r.integers(0, 1 << 62, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(100) < 0.93], np.arange(k, k + 4, dtype=np.uint64)])) for k in range(59)] + [np.zeros(0, np.uint64)]
+    want = {(a, b) for a in range(60) for b in range(a + 1, 60) if first in (0, 60) or a < first <= b if len(sets[a]) and 10 * len(c := np.intersect1d(sets[a], sets[b])) >= 8 * (len(sets[a]) + len(sets[b]) - len(c))}
+    parts = list(nd.linked_pairs(sets, first))
+    assert sorted((x, y) for a, b in parts for x, y in zip(a.tolist(), b.tolist(), strict=True)) == sorted(want) and 0 < len(want)
+    root, plain = np.arange(60), list(range(60))
+    for a, b in parts:
+        root = nd.least_of(root, a, b)
+    for _ in range(60):
+        for x, y in want:
+            plain[x] = plain[y] = min(plain[x], plain[y])
+    assert root.tolist() == plain

@@ -8,10 +8,14 @@ Jaccard similarity of their sets is THRESHOLD or more.
    that agree in a band are candidates: they stand in one bucket. At similarity
    0.8 a pair shares no band with probability 5e-6, and falls with every bit more.
 3. Buckets aren't expanded into pairs. Every text has a home, the least member
-   of all its buckets, so that texts of one cluster mostly share a home; a
-   home's texts are dealt over blocks of BLOCK. Two blocks are compared, as a
-   tile, only if some bucket has members of both; a tile is a task's unit, so
-   no task holds more than two blocks and none emits pairs.
+   of all its buckets; PULLS times it moves to the least home that any bucket of
+   its holds, so that texts of one cluster share a home, however loosely its
+   outer ones hang on. n texts of a home are dealt over the root of n / BLOCK
+   blocks, or more where a block would exceed BLOCK_BYTES. Two blocks are
+   compared, as a tile, only if some bucket has members of both; a tile is a
+   task's unit, so no task holds more than two blocks and none emits pairs. A
+   text goes to as many tiles as it has blocks to meet, so a cluster of n sends
+   n times the root of n / BLOCK texts: n ** 1.5, where its pairs are n ** 2.
 4. In a tile, MinHash values are compared STEP at a time; a pair is dropped when
    the posterior probability (uniform prior) that its similarity reaches the
    threshold falls below TOLERANCE. What is left is verified exactly.
@@ -38,6 +42,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,8 +52,14 @@ from .hashing import Stretches, mix, word_bounds
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 40, 6
 STEP, TOLERANCE = 24, 1e-6
-#: Members of a block: a tile compares two blocks.
+#: A home of n texts has sqrt(n / BLOCK) blocks of sqrt(n * BLOCK) texts, one up to BLOCK texts; a tile compares two blocks.
 BLOCK = 400
+#: Bytes of text in a block, whatever the number of texts.
+BLOCK_BYTES = 8 << 20
+#: Times that texts move to the least home in their buckets.
+PULLS = 2
+#: A tile's sets are compared this many with this many at a time.
+PART = 400
 
 _multipliers = np.random.default_rng(11).integers(1, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _addends = np.random.default_rng(12).integers(0, 1 << 62, BANDS * ROWS, dtype=np.int64).astype(np.uint64)
@@ -106,18 +117,27 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def linked_pairs(sets: list[np.ndarray], first: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a, b) of places whose sets are similar: a < first <= b, or all a < b if first is 0 or the number of sets."""
+def linked_pairs(sets: list[np.ndarray], first: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (a, b) of places whose sets are similar: a < first <= b, or all a < b if first is 0 or the number of sets; of PART by PART places at a time."""
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     sig = np.array([signature(s) for s in sets]).reshape(n, -1)
     square = first in (0, n)
-    left, right = (range(n), range(n)) if square else (range(first), range(first, n))
-    lefts, rights = [], []
-    rest = np.array(right)
+    parts = lambda low, high: [np.arange(i, min(i + PART, high)) for i in range(low, high, PART)]
+    for left in parts(0, n if square else first):
+        for right in parts(left[0] if square else first, n):
+            a, b = _candidates(sizes, sig, left, right)
+            common = _intersections(sets, a, b)
+            good = common >= THRESHOLD * (sizes[a] + sizes[b] - common) - 1e-9
+            yield a[good], b[good]
+
+
+def _candidates(sizes: np.ndarray, sig: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs a < b of these places that sizes and MinHash values let pass."""
+    lefts, rights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     bound = least_matches()
     for a in left:
-        b = rest[rest > a] if square else rest
+        b = right[right > a]
         # Sizes alone bound the similarity.
         b = b[(np.minimum(sizes[b], sizes[a]) >= THRESHOLD * np.maximum(sizes[b], sizes[a])) & (sizes[b] > 0)]
         same = np.zeros(len(b), np.int64)
@@ -127,55 +147,45 @@ def linked_pairs(sets: list[np.ndarray], first: int) -> tuple[np.ndarray, np.nda
             b, same = b[keep], same[keep]
             if not len(b):
                 break
-        if len(b):
-            lefts.append(np.full(len(b), a))
-            rights.append(b)
-    if not lefts:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    a, b = np.concatenate(lefts), np.concatenate(rights)
-    common = _intersections(sets, a, b)
-    union = sizes[a] + sizes[b] - common
-    good = common >= THRESHOLD * union - 1e-9
-    return a[good], b[good]
+        lefts.append(np.full(len(b), a))
+        rights.append(b)
+    return np.concatenate(lefts), np.concatenate(rights)
 
 
 def _intersections(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many shingles each pair shares, exactly."""
-    if len(a) < 4 * len(sets):
-        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)])
-    # Many pairs among few sets: count by blocks of columns of the incidence matrix.
     used = np.unique(np.concatenate([a, b]))
-    row = np.zeros(len(sets), np.int64)
-    row[used] = np.arange(len(used))
+    if len(a) <= 4 * len(used):
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b, strict=True)], np.int64)
+    # Many pairs among few sets: count by blocks of columns of the incidence matrix; what one set alone holds is in no intersection.
+    lefts, rights = np.unique(a), np.unique(b)
     values = np.concatenate([sets[i] for i in used])
     owner = np.repeat(np.arange(len(used)), [len(sets[i]) for i in used])
-    distinct, column = np.unique(values, return_inverse=True)
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    common = np.zeros((len(used), len(used)), np.float32)
-    for at in range(0, len(distinct), 4096):
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]])
+    shared = ~(new & np.concatenate([new[1:], [True]]))
+    column, owner = np.cumsum(new[shared]) - 1, owner[shared]
+    from_left, from_right = np.searchsorted(used, lefts), np.searchsorted(used, rights)
+    common = np.zeros((len(lefts), len(rights)), np.float32)
+    for at in range(0, column[-1] + 1 if len(column) else 0, 4096):
         lo, hi = np.searchsorted(column, [at, at + 4096])
-        x = np.zeros((len(used), min(4096, len(distinct) - at)), np.float32)
+        x = np.zeros((len(used), column[hi - 1] + 1 - at), np.float32)
         x[owner[lo:hi], column[lo:hi] - at] = 1
-        common += x @ x.T
-    return common[row[a], row[b]].astype(np.int64)
+        common += x[from_left] @ x[from_right].T
+    return common[np.searchsorted(lefts, a), np.searchsorted(rights, b)].astype(np.int64)
 
 
-def least_of(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least place that each place is connected to."""
-    root = np.arange(count)
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i, j in zip(a.tolist(), b.tolist(), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-    return np.array([find(i) for i in range(count)])
+def least_of(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """root, the least place that each place is connected to, after places a and b are connected too."""
+    root = root.copy()
+    while len(a):
+        x, y = root[a], root[b]
+        a, b, x, y = a[x != y], b[x != y], x[x != y], y[x != y]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
@@ -222,6 +232,18 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.withColumn("has_words", F.coalesce(F.col("text").rlike("[^ \\t-\\r]"), F.lit(False)))
 
 
+def _blocks(member: DataFrame) -> DataFrame:
+    """k1, block of every text among a bucket's members (k1, band, least, size)."""
+    home = durable(member.groupBy("k1").agg(F.min("least").alias("home"), F.max("size").alias("size")))
+    for _ in range(PULLS):
+        # Written, so that Spark can split the join at a large bucket.
+        nearest = durable(member.select("k1", "band").join(home, "k1").groupBy("band").agg(F.min("home").alias("home")))
+        home = durable(member.join(nearest, "band").groupBy(F.struct("k1").alias("m")).agg(F.min("home").alias("home"), F.max("size").alias("size")).select("m.k1", "home", "size"))
+    count = F.greatest(F.ceil(F.sqrt(F.count("*") / BLOCK)), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("int")
+    sizes = durable(home.groupBy("home").agg(count.alias("blocks")))
+    return durable(home.join(sizes, "home").select("k1", F.xxhash64("home", F.pmod(F.xxhash64(F.lit("block"), "k1"), F.col("blocks"))).alias("block")))
+
+
 def classes_of(rows: DataFrame) -> DataFrame:
     """k1, k2, class_id, class_key, n_copies, links, has_words of every different text with words; links to other texts."""
 
@@ -229,19 +251,16 @@ def classes_of(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                keys = [bands(signature(shingles(t.as_py()))) for t in part.column(2)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["k1", "k2", "keys"])
+                keys = [bands(signature(shingles(t.as_py()))) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pc.binary_length(part.column(1)).cast(pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["k1", "size", "keys"])
 
     texts = rows.filter("has_words")
-    keyed = texts.select("k1", "k2", "text").mapInArrow(band_keys, "k1 long, k2 long, keys array<long>").select("k1", "k2", F.explode("keys").alias("band"))
+    keyed = texts.select("k1", "text").mapInArrow(band_keys, "k1 long, size int, keys array<long>").select("k1", "size", F.explode("keys").alias("band"))
     # A bucket with two different texts: their keys' least and greatest differ. Texts with equal k1 and different k2 go the same way.
     band = durable(keyed)
     bucket = durable(band.groupBy("band").agg(F.min("k1").alias("least"), F.max("k1").alias("most")).filter("least != most").select("band", "least"))
-    member = durable(band.join(bucket, "band").groupBy(F.struct("k1", "band", "least").alias("m")).agg(F.lit(1).alias("one")).select("m.*"))
-    home = member.groupBy("k1").agg(F.min("least").alias("home"))
-    home = durable(home)
-    sizes = durable(home.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    block = durable(home.join(sizes, "home").select("k1", F.xxhash64("home", F.pmod(F.xxhash64(F.lit("block"), "k1"), F.col("blocks"))).alias("block")))
+    member = durable(band.join(bucket, "band").groupBy(F.struct("k1", "band", "least").alias("m")).agg(F.max("size").alias("size")).select("m.*", "size"))
+    block = _blocks(member)
     # Blocks that meet in a bucket. Most buckets lie within one block.
     meet = durable(member.select("k1", "band").join(block, "k1").groupBy(F.struct("band", "block").alias("m")).agg(F.lit(1).alias("one")).select("m.*"))
     wide = durable(meet.groupBy("band").agg(F.min("block").alias("low"), F.max("block").alias("high")).filter("low != high").select("band"))
@@ -263,9 +282,11 @@ def classes_of(rows: DataFrame) -> DataFrame:
         order = np.argsort(side, kind="stable")
         group = group.take(pa.array(order))
         sets = [shingles(t.as_py()) for t in group.column("text")]
-        a, b = linked_pairs(sets, 0 if square else int((side == 0).sum()))
         copies = group.column("copies").to_numpy()
-        n, root = np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets)), least_of(len(sets), a, b)
+        n, root = np.zeros(len(sets)), np.arange(len(sets))
+        for a, b in linked_pairs(sets, 0 if square else int((side == 0).sum())):
+            n += np.bincount(a, copies[b], len(sets)) + np.bincount(b, copies[a], len(sets))
+            root = least_of(root, a, b)
         at = np.flatnonzero(n > 0)
         k1, k2 = group.column("k1").to_numpy()[at], group.column("k2").to_numpy()[at]
         r1, r2 = group.column("k1").to_numpy()[root[at]], group.column("k2").to_numpy()[root[at]]
