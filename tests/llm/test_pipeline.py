@@ -118,3 +118,23 @@ def test_registration():
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {n[: n.index("_") + 1] for n in QUERIES if n.startswith("op")} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def test_a_cluster_of_near_copies_in_jaccard_join(spark, monkeypatch):
+    """One of the cluster stays, and its texts aren't sent to tiles once a block."""
+    import corpus_pipeline as cp
+    from tidemark.llm import near_duplicates as nd
+
+    monkeypatch.setattr(nd, "BLOCK", 10)
+    kept, durable, r, n = [], nd.durable, random.Random(9), 250
+    monkeypatch.setattr(nd, "durable", lambda df: kept.append(durable(df)) or kept[-1])
+    base, docs = words(500, 150).split(), [(n, words(501, 150))]
+    for k in range(n):
+        w = list(base)
+        for i in range(r.choice([1, 1, 2, 2, 3])):
+            w[r.randrange(len(w))] = f"new{k}x{i}"
+        docs.append((k, " ".join(w)))
+    left = cp.jaccard_join(spark, spark.createDataFrame(docs, "doc_id long, text string"), "")
+    assert sorted(row["doc_id"] for row in left.collect()) == [0, n]
+    members, sides = (next(d for d in kept if columns <= set(d.columns)) for columns in ({"text", "block"}, {"ti", "tj", "side"}))
+    assert members.join(sides, "block").count() < 2 * n * (n / 10) ** 0.5
