@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import repeats
@@ -51,6 +52,23 @@ def test_random_documents(spark, monkeypatch, many):
     assert got(spark.createDataFrame(docs, "doc_id long, text string")) == brute(docs)
 
 
+def test_a_segment_has_one_mark(spark):
+    p, q = words(20, 60).encode()[:201], words(21, 60).encode()[:201]
+    # Starts 0, 1 of a and 9, 10 of b stand twice; c's own strings all do, as it stands twice itself.
+    a, b, c = p + b"." * 8, b"#" * 9 + p, q
+    rows = [(1, 1, 1, len(a) - 199, a), (1, 2, 1, len(b) - 199, b), (1, 3, 2, len(c) - 199, c), (1, 4, 1, 1, words(22, 60).encode()[:200])]
+    counted = repeats._counted(spark.createDataFrame(rows, "ah long, sh long, n long, starts int, bytes binary"))
+    assert sorted(map(tuple, counted.collect())) == [(1, 1, 0, 2), (1, 2, 9, 11)]
+
+
+def test_runs_of_a_segment_are_one_mark():
+    p, q = words(23, 60).encode()[:200], words(24, 60).encode()[:200]
+    both = p[:150] + b"-" * 20 + q
+    rows = [{"ah": 1, "sh": k, "n": 1, "starts": len(x) - 199, "bytes": x} for k, x in enumerate([both, both[:205], both[60:260], both[-202:]])]
+    marks = [m for batch in repeats._judge(iter([pa.RecordBatch.from_pylist(rows)])) for m in batch.to_pylist()]
+    assert [(m["sh"], m["a"], m["b"]) for m in marks] == [(0, 0, 171), (1, 0, 6), (2, 0, 1), (3, 0, 3)]
+
+
 def test_odd_documents(odd_docs, no_docs):
     assert got(odd_docs) == brute([(r["doc_id"], r["text"]) for r in odd_docs.collect()])
     cut = repeats.remove_repeats(odd_docs)

@@ -16,7 +16,9 @@ in another text or the same one. Suffixes are sorted where repeats can be:
    counts included. An anchor with more than ``MANY`` different segments would
    not fit a task: the strings of its segments are counted one by one instead,
    by two 64-bit hashes, with partial sums, so that no task gathers them.
-4. The marks go back to every place of a segment; each text is cut once.
+4. A segment has one mark, from the first of its starts that repeat to the last:
+   it has under LENGTH starts, so two strings of it touch and what they cover is
+   one run. The marks go back to every place of a segment; each text is cut once.
 
 Texts are moved once, keyed by two 64-bit hashes: Spark reuses that exchange,
 as all that needs texts is one query.
@@ -118,12 +120,6 @@ def repeated_starts(pieces: list[bytes], counts: np.ndarray, starts: np.ndarray)
     return [flags[b : b + s] for b, s in zip(begin, starts, strict=True)]
 
 
-def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First places and ends of the runs of True."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return edge[::2], edge[1::2]
-
-
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         k1, k2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -167,7 +163,7 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         flags = repeated_starts([x["bytes"] for x in held], np.array([x["n"] for x in held]), np.array([x["starts"] for x in held]))
-        rows = [(x["ah"], x["sh"], int(a), int(b)) for x, f in zip(held, flags, strict=True) if x["n"] == 1 for a, b in zip(*runs(f), strict=True)]
+        rows = [(x["ah"], x["sh"], int(f.argmax()), len(f) - int(f[::-1].argmax())) for x, f in zip(held, flags, strict=True) if x["n"] == 1 and f.any()]
         if rows:
             yield _marks(rows)
 
@@ -207,11 +203,13 @@ def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _counted(segments_: DataFrame) -> DataFrame:
-    """ah, sh, a, b of the strings that stand twice or more, for anchors with too many segments to be sorted in one task."""
+    """ah, sh, a, b from the first to the last string that stands twice or more, of segments that stand once, for anchors with too many segments to be sorted in one task."""
     once = segments_.groupBy("ah", "sh").agg(F.first("n").alias("n"), F.first("starts").alias("starts"), F.first("bytes").alias("bytes"))
-    each = once.select("ah", "sh", "n", "starts", "bytes").mapInArrow(_strings, "h1 long, h2 long, n long, ah long, sh long, a int")
-    twice = each.groupBy(F.struct("h1", "h2").alias("h")).agg(F.sum("n").alias("times")).filter("times > 1").select("h.*")
-    return each.join(twice, ["h1", "h2"]).select("ah", "sh", "a", (F.col("a") + 1).alias("b"))
+    once = once.select("ah", "sh", "n", "starts", "bytes")
+    kind = "h1 long, h2 long, n long, ah long, sh long, a int"
+    twice = once.mapInArrow(_strings, kind).groupBy(F.struct("h1", "h2").alias("h")).agg(F.sum("n").alias("times")).filter("times > 1").select("h.*")
+    found = once.filter("n = 1").mapInArrow(_strings, kind).join(twice, ["h1", "h2"])
+    return found.groupBy("ah", "sh").agg(F.min("a").alias("a"), (F.max("a") + 1).alias("b"))
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
