@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dealing import join_blocks
+
 
 def arrange(tracks: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame:
     """by, video, audio, grouped: one row per variant of a file.
@@ -34,3 +36,28 @@ def arrange(tracks: DataFrame, pairs: DataFrame, by: Sequence[str]) -> DataFrame
     lone_audio = audio.join(edges.select(*keys, F.col("b").alias("sound")).distinct(), [*keys, "sound"], "left_anti")
     lone_audio = lone_audio.select(*keys, F.lit(None).cast(paired.schema["video"].dataType).alias("video"), F.array("sound").alias("audio"), F.lit(False).alias("grouped"))
     return paired.unionByName(lone_video).unionByName(lone_audio)
+
+
+def arrange_alike(tracks: DataFrame, by: Sequence[str], meet: str) -> DataFrame:
+    """As arrange, where a video and an audio track go together if their ``meet`` columns are equal (null: with none).
+
+    No pair is listed: the audio tracks that meet are gathered once by codec,
+    and each video track takes the lists. The result is as long as all lists,
+    but nothing else is.
+    """
+    keys = list(by)
+    place = [*keys, "_m"]
+    video = tracks.filter("type = 'video'").select(*keys, F.col("track").alias("video"), F.coalesce("only_key", F.lit(False)).alias("only_key"), F.col(meet).alias("_m"))
+    audio = tracks.filter("type = 'audio'").select(*keys, F.col("track").alias("sound"), "codec", F.col(meet).alias("_m"))
+    moving = video.filter("not only_key").select(*place, "video")
+    videos = moving.groupBy(*place).agg(F.count("*").alias("_videos"))
+    sounds = audio.groupBy(*place).agg(F.count("*").alias("_sounds"))
+    met = videos.join(sounds, place).select(*place, ((F.col("_sounds") != 1) | (F.col("_videos") != 1)).alias("grouped"))
+    # A list is as long as a file has audio tracks of one codec that meet.
+    lists = audio.groupBy(*place, "codec").agg(F.sort_array(F.collect_list("sound")).alias("audio")).join(met, place)
+    paired = join_blocks(moving, lists, place, "video").select(*keys, "video", "audio", "grouped")
+    none = F.array().cast(paired.schema["audio"].dataType)
+    lone_video = video.join(met.select(*place, F.lit(True).alias("_met")), place, "left").filter("only_key or _met is null").select(*keys, "video", none.alias("audio"), F.lit(False).alias("grouped"))
+    lone_audio = audio.join(met.select(*place), place, "left_anti")
+    lone_audio = lone_audio.select(*keys, F.lit(None).cast(paired.schema["video"].dataType).alias("video"), F.array("sound").alias("audio"), F.lit(False).alias("grouped"))
+    return paired.unionByName(lone_video).unionByName(lone_audio)
