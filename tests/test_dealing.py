@@ -4,10 +4,14 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import dealing
+from tidemark.operators import dealing, tracks
 from tidemark.plans import playlists
 
 
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_variants_without_pairs_are_those_of_the_pairs(spark):
     draw = random.Random(5)
     rows = [(draw.choice([0, 1, 2, None]), i, draw.choice(["video", "audio"]), draw.choice(["aac", "opus"]), draw.choice([True, False, None]), draw.choice([0, 1, 2, 3, 4, None])) for i in range(200)]
@@ -28,5 +32,19 @@ def test_one_class_of_variants_is_many_tasks(spark):
     assert len({r["p"] for r in got}) > 4
 
 
+def test_pairs_need_no_comparison_with_each_other(spark):
+    rows = [(1, 1, [3, 5, 5]), (1, 2, [5, 3]), (1, 2, [8]), (1, 3, [8, 3]), (1, 4, [None, 9]), (1, 5, [None, 7]), (2, 6, [3]), (None, 7, [3]), (None, 8, [3]), (1, None, [3]), (1, 9, None)]
+    t = spark.createDataFrame(rows, "file int, track int, members array<int>")
+    got = tracks.pairs(t, t, "file", "track", "members")
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 2), (1, 1, 3), (1, 2, 1), (1, 2, 3), (1, 3, 1), (1, 3, 2)]
+    assert "Aggregate" not in plan(got).split("Join")[0]
+
+
+def test_one_bit_of_pairs_is_many_tasks(spark):
+    t = spark.range(1200).select(F.lit(1).alias("file"), F.col("id").alias("track"), F.array(F.lit(1), F.lit(2)).alias("members"))
+    got = tracks.pairs(t, t, "file", "track", "members").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 1200 * 1199 and len(got) > 3
+
+
 def test_a_small_table_is_many_tasks(spark):
     assert dealing.deal(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 12

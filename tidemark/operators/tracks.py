@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .dealing import join_blocks
+
 
 def asc(c: Column) -> Column:
     """Least first; null last."""
@@ -47,11 +49,17 @@ class TrackQuery:
 def pairs(a: DataFrame, b: DataFrame, file: str, track: str, members: str) -> DataFrame:
     """Tracks of one file that can be played together: different ones that share a bit of their ``members`` arrays.
 
-    Joined on the shared bit, so tracks that share none never meet.
+    Joined on the shared bit, so tracks that share none never meet. A pair that
+    shares several is kept at the least of them, so that pairs need no
+    comparison with each other; a bit's tracks are dealt in blocks.
     """
-    left = a.select(file, F.col(track).alias("a"), F.explode(members).alias("_m"))
-    right = b.select(file, F.col(track).alias("b"), F.explode(members).alias("_m"))
-    return left.join(right, [file, "_m"]).filter("a <> b").select(file, "a", "b").distinct()
+
+    def each(t: DataFrame, name: str) -> DataFrame:
+        bits = t.groupBy(file, F.col(track).alias(name)).agg(F.array_distinct(F.flatten(F.collect_list(members))).alias(f"_of_{name}"))
+        return bits.withColumn("_m", F.explode(f"_of_{name}"))
+
+    met = join_blocks(each(a, "a"), each(b, "b"), [file, "_m"], "a")
+    return met.filter((F.col("a") != F.col("b")) & (F.col("_m") == F.array_min(F.array_intersect("_of_a", "_of_b")))).select(file, "a", "b")
 
 
 def has_pairable(a: DataFrame, b: DataFrame, file: str, track: str, members: str) -> DataFrame:
