@@ -2,10 +2,13 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark import media_catalog
 from tidemark.operators import dealing, tracks
 from tidemark.plans import playlists
+from tidemark.sources import media
 
 
 def plan(df):
@@ -48,3 +51,32 @@ def test_one_bit_of_pairs_is_many_tasks(spark):
 
 def test_a_small_table_is_many_tasks(spark):
     assert dealing.deal(spark.range(100).coalesce(1), "id").rdd.getNumPartitions() >= 12
+
+
+class Kept:
+    """Stands for a table: keeps the function that is applied to its batches."""
+
+    dtypes = [("file_id", "string"), ("content", "binary")]
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, f, schema):  # noqa: N802
+        self.f = f
+        return self
+
+
+def test_small_files_share_a_batch():
+    files = [media_catalog._flac({"title": f"t{i}"}) for i in range(500)]
+    table = pa.table({"file_id": [str(i) for i in range(500)], "content": pa.array(files, pa.binary())})
+    out = list(media.tags(Kept()).f(iter(table.to_batches(max_chunksize=100))))
+    assert len(out) == 1 and out[0].column("title").to_pylist() == [f"t{i}" for i in range(500)]
+    big = [media_catalog._mp3({"title": "x"}) * 1000] * 12
+    table = pa.table({"file_id": [str(i) for i in range(12)], "content": pa.array(big, pa.binary())})
+    out = list(media.packets(Kept()).f(iter(table.to_batches())))
+    assert len(out) > 2 and max(b.nbytes for b in out) < 8_000_000
+
+
+def test_tagged_files_are_many_tasks(spark):
+    files = media_catalog._tagged(spark, "/root/testdata/sf0.001", media_catalog._flac)
+    assert files.rdd.getNumPartitions() >= 12

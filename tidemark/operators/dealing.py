@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 BLOCK = 256
 
 
-def deal(rows: DataFrame, *by: str) -> DataFrame:
-    """The rows, dealt by these columns over as many tasks as a shuffle has, three per core at least.
+def deal(rows: DataFrame, *by: str, share: int = 4) -> DataFrame:
+    """The rows, dealt by these columns over tasks: three per core, or a shuffle's over ``share`` if that is more.
 
     Spark reads a small table in one task and merges small shuffles, as it goes
-    by bytes; a fixed number of partitions is left alone.
+    by bytes; a fixed number of partitions is left alone. A task that starts
+    Python costs a fraction of a second, so they aren't as many as a shuffle's.
     """
     spark = rows.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // share, 3 * spark.sparkContext.defaultParallelism)
     return rows.repartition(n, *by)
 
 
@@ -33,4 +34,4 @@ def join_blocks(left: DataFrame, right: DataFrame, keys: Sequence[str], ident: s
     mine = left.join(blocks, keys).withColumn("_block", F.pmod(F.xxhash64(ident), F.col("_blocks"))).drop("_blocks")
     theirs = right.join(blocks, keys).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).drop("_blocks")
     on = [*keys, "_block"]
-    return deal(mine, *on).join(deal(theirs, *on), on).drop("_block")
+    return deal(mine, *on, share=1).join(deal(theirs, *on, share=1), on).drop("_block")

@@ -32,6 +32,8 @@ FORMATS: list[tuple[str, Callable[[bytes], bool], Callable[[bytes], Media]]] = [
 TRACK_SCHEMA = "file_id string, format string, track_id int, number int, type string, codec string, codec_string string, internal_codec_id string, language string, name string, time_resolution double, duration_meta double, bitrate double, only_key boolean, is_default boolean, decoder_description binary, coded_width int, coded_height int, rotation int, channels int, sample_rate int, ordinal int"
 PACKET_SCHEMA = "file_id string, track_id int, seq long, type string, pts_ticks long, timestamp double, duration double, byte_offset long, byte_length int, data binary"
 TAG_SCHEMA = "file_id string, format string, title string, description string, artist string, album string, album_artist string, genre string, lyrics string, comment string, track_no int, tracks_total int, disc_no int, discs_total int, date string, raw map<string,string>"
+#: Bytes of rows that are sent on at once, and what a row counts besides its data.
+BATCH_BYTES, ROW_BYTES = 4_000_000, 400
 _KINDS = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
 
@@ -62,6 +64,8 @@ def _read(rows: DataFrame, schema: str, emit: Callable[[str, bytes, Media], Iter
     kinds = _arrow(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows of several files go out as one batch, as small files would cost a batch each.
+        held, size = [], 0
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1), strict=True):
                 data = content.as_py() or b""
@@ -71,15 +75,14 @@ def _read(rows: DataFrame, schema: str, emit: Callable[[str, bytes, Media], Iter
                     if errors == "raise":
                         raise MediaError(f"{name}: {e}") from e
                     continue
-                held, size = [], 0
                 for row in emit(name.as_py(), data, media):
                     held.append(row)
-                    size += len(row.get("data") or b"") + 100
-                    if size > 4_000_000:
+                    size += len(row.get("data") or row.get("_inline") or b"") + ROW_BYTES
+                    if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(held, kinds)
                         held, size = [], 0
-                if held:
-                    yield pa.RecordBatch.from_pylist(held, kinds)
+        if held:
+            yield pa.RecordBatch.from_pylist(held, kinds)
 
     return rows.select("file_id", "content").mapInArrow(run, schema)
 
