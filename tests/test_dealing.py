@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark import catalog, media_catalog
-from tidemark.functions import rates
+from tidemark.functions import batches, encryption, rates
 from tidemark.operators import dealing, tracks
 from tidemark.plans import playlists
 from tidemark.sources import media
@@ -96,3 +96,32 @@ def test_frames_are_made_where_their_tracks_are(spark):
     got = catalog.QUERIES["frame_fit"](spark, "/root/testdata/sf0.001")
     made = got._jdf.queryExecution().executedPlan().toString()
     assert made.count("Exchange") == 1 and made.index("Generate") < made.index("Exchange")
+
+
+def test_batches_come_in_pieces():
+    sizes = [0, 10, 3_000_000, 500, 9_000_000, 1, None, 2_000_000, 2_000_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9)), pa.array([None if n is None else bytes(n) for n in sizes], pa.binary())], names=["i", "b"])
+    out = list(batches.pieces(batch))
+    assert [p.column(0).to_pylist() for p in out] == [[0, 1, 2, 3], [4], [5, 6, 7], [8]]
+    assert list(batches.pieces(batch.slice(0, 0))) == []
+
+
+def test_encryption_sends_on_few_bytes_at_once():
+    rows = Kept()
+    rows.dtypes = [("data", "binary"), ("iv", "binary"), ("parts", "array<struct<clear:int,protected:int>>")]
+    encryption._stage(rows, lambda r: r["data"][::-1], "clear", ["data"])
+    batch = pa.RecordBatch.from_pylist([{"data": bytes([i]) * 100_000, "iv": b"12345678", "parts": None} for i in range(200)])
+    out = list(rows.f(iter([batch, batch])))
+    assert max(p.nbytes for p in out) < 12_000_000 and sum(p.num_rows for p in out) == 400
+    assert [x[0] for p in out[: len(out) // 2] for x in p.column("clear").to_pylist()] == list(range(200))
+
+
+def test_counters_run_over_64_bits(spark):
+    part = "array<struct<clear:int,protected:int>>"
+    data, key = bytes(range(256)) * 40, bytes(16)
+    for iv in ("ffffffffffffffff", "00000000000000ffffffffffffffffff", "ff" * 16, "0123456789abcdef01ffffffffffff7f", "00ffffffffffffffffffffffffffff80"):
+        row = spark.createDataFrame([(data, key, bytes.fromhex(iv), None)], f"data binary, key binary, iv binary, parts {part}")
+        start = int(iv.ljust(32, "0"), 16)
+        counters = b"".join(((start + i) % (1 << 128)).to_bytes(16, "big") for i in range(640))
+        stream = spark.createDataFrame([(counters, key)], "c binary, key binary").select(F.aes_encrypt("c", "key", F.lit("ECB"), F.lit("PKCS")).alias("s")).first()["s"]
+        assert bytes(encryption.decrypt_ctr(row).first()["clear"]) == bytes(a ^ b for a, b in zip(data, stream[:10240], strict=True))
