@@ -1,6 +1,7 @@
 """Work that is larger than its input: results without the pairs between, dealt over tasks."""
 
 import random
+import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from tidemark import catalog, media_catalog
 from tidemark.functions import batches, encryption, rates
 from tidemark.operators import dealing, tracks
 from tidemark.plans import playlists
-from tidemark.sources import media
+from tidemark.sources import hls, media, sinks
 
 
 def plan(df):
@@ -125,3 +126,20 @@ def test_counters_run_over_64_bits(spark):
         counters = b"".join(((start + i) % (1 << 128)).to_bytes(16, "big") for i in range(640))
         stream = spark.createDataFrame([(counters, key)], "c binary, key binary").select(F.aes_encrypt("c", "key", F.lit("ECB"), F.lit("PKCS")).alias("s")).first()["s"]
         assert bytes(encryption.decrypt_ctr(row).first()["clear"]) == bytes(a ^ b for a, b in zip(data, stream[:10240], strict=True))
+
+
+def test_segments_are_written_and_read_once(spark):
+    got = plan(catalog.QUERIES["hls_segments"](spark, "/root/testdata/sf0.001"))
+    assert len(re.findall(r"FlatMapCoGroupsInArrow|MapInArrow run\(file_id[^)]*_track", got)) == 1
+
+
+def test_playlists_still_name_the_segments(spark):
+    frames = media_catalog._frames(spark, "/root/testdata/sf0.001").filter("file_id < 'f3'")
+    rows = media_catalog._video(frames).unionByName(media_catalog._audio(frames))
+    timed = rows.withColumns({"timestamp": F.when(F.col("track_id") == 1, F.col("pts_ticks") / 25).otherwise(F.col("pts_ticks") / 48000), "byte_length": F.octet_length("data")})
+    files = sinks.write_hls(media_catalog._tracks(frames.select("file_id").distinct()), timed, 960_000).collect()
+    for one in {r["file_id"] for r in files}:
+        mine = {r["name"]: bytes(r["content"]) for r in files if r["file_id"] == one}
+        lists = [n for n in mine if n.endswith(".m3u8") and not n.endswith("-master.m3u8")]
+        assert len(lists) == 1 and {lists[0].replace(".m3u8", "-master.m3u8"), *lists} == {n for n in mine if n.endswith(".m3u8")}
+        assert {s["path"].rsplit("/")[-1] for s in hls.parse_media_playlist(lists[0], mine[lists[0]].decode())} == {n for n in mine if n.endswith(".ts")}

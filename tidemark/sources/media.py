@@ -7,7 +7,8 @@ one task; ``packets(data=False)`` keeps payloads out of the result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -81,6 +82,7 @@ def _read(rows: DataFrame, schema: str, emit: Callable[[str, bytes, Media], Iter
                     if size > BATCH_BYTES:
                         yield pa.RecordBatch.from_pylist(held, kinds)
                         held, size = [], 0
+            batch = name = content = data = media = None  # the next batch comes before a name is given anew
         if held:
             yield pa.RecordBatch.from_pylist(held, kinds)
 
@@ -132,9 +134,14 @@ def tracks(rows: DataFrame, errors: str = "raise") -> DataFrame:
     return _read(rows, TRACK_SCHEMA, track_rows, errors)
 
 
-def packets(rows: DataFrame, data: bool = True, errors: str = "raise") -> DataFrame:
-    """One row per packet, in decode order by ``seq``. data=False leaves payloads out."""
-    return _read(rows, PACKET_SCHEMA, lambda name, content, media: packet_rows(name, content, media, data), errors)
+def packets(rows: DataFrame, data: bool = True, errors: str = "raise", types: Sequence[str] | None = None) -> DataFrame:
+    """One row per packet, in decode order by ``seq``. data=False leaves payloads out; types are those of the tracks that are read (None: all)."""
+
+    def emit(name: str, content: bytes, media: Media) -> Iterator[dict]:
+        asked = media if types is None else replace(media, tracks=[t for t in media.tracks if t.type in types])
+        return packet_rows(name, content, asked, data)
+
+    return _read(rows, PACKET_SCHEMA, emit, errors)
 
 
 def tags(rows: DataFrame, errors: str = "raise") -> DataFrame:

@@ -6,7 +6,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -151,16 +151,15 @@ def master_playlist(variants: list[dict], renditions: list[dict] = ()) -> str:
     return "\n".join(lines) + "\n"
 
 
-def write_hls(tracks: DataFrame, packets: DataFrame, target_us: int = 2_000_000) -> DataFrame:
-    """file_id, name, content: every file as a playlist of transport-stream segments, which all its tracks share, and a master playlist.
+def _stem(c: Column) -> Column:
+    """A file's name by its id."""
+    return F.substring(F.md5(c.cast("binary")), 1, 12)
 
-    The first video track (without one, the first track) is cut at key packets;
-    the others are cut where it is. tracks and packets are as media.tracks and
-    media.packets give them. A file is named by a hash of its id.
-    """
+
+def hls_segments(tracks: DataFrame, packets: DataFrame, target_us: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """The segments of write_hls (file_id, name, content), and what is known before they are written (file_id, i, path, seconds, span)."""
     from ..operators import packets as pk
     from ..operators import timeline
-    from . import hls
 
     rows = packets.withColumns({"us": F.floor(F.col("timestamp") * 1e6 + 0.5).cast("long"), "key": F.col("type") == "key", "dur": F.floor(F.col("duration") * 1e6 + 0.5).cast("long")})
     lead = tracks.groupBy("file_id").agg(F.min_by("track_id", F.struct(F.col("type") != "video", "ordinal")).alias("track_id"))
@@ -172,8 +171,7 @@ def write_hls(tracks: DataFrame, packets: DataFrame, target_us: int = 2_000_000)
     mine = cut.select("file_id", "track_id", "seq", F.col("segment").alias("_leads"))
     keys = ["file_id", "track_id", "seq"]
     parts = rows.join(dealt, keys).join(mine, keys, "left").withColumn("segment", F.coalesce("_leads", "_follows"))
-    stem = lambda c: F.substring(F.md5(c.cast("binary")), 1, 12)
-    name = F.concat(stem(F.col("file_id")), F.lit("-"), F.col("segment"), F.lit(".ts"))
+    name = F.concat(_stem(F.col("file_id")), F.lit("-"), F.col("segment"), F.lit(".ts"))
     made = parts.select(F.col("file_id").alias("_file"), "segment", name.alias("file_id"), *[c for c in PACKET_COLUMNS if c != "file_id"])
     of = made.select("_file", "file_id").distinct().join(tracks.withColumnRenamed("file_id", "_file"), "_file")
     segments = write_media(of.select(*TRACK_COLUMNS), made, "mpegts").select(F.col("file_id").alias("name"), "content")
@@ -181,13 +179,26 @@ def write_hls(tracks: DataFrame, packets: DataFrame, target_us: int = 2_000_000)
     segments = segments.join(listed, "name").select(F.col("_file").alias("file_id"), "name", "content")
     order = Window.partitionBy("file_id").orderBy("segment")
     timed = starts.withColumn("span", F.coalesce(F.lead("us").over(order), F.col("end")) - F.col("us"))
-    info = timed.select("file_id", F.col("segment").alias("i"), F.concat(stem(F.col("file_id")), F.lit("-"), F.col("segment"), F.lit(".ts")).alias("path"), F.format_string("%.6f", F.col("span") / 1e6).alias("seconds"), "span")
+    info = timed.select("file_id", F.col("segment").alias("i"), F.concat(_stem(F.col("file_id")), F.lit("-"), F.col("segment"), F.lit(".ts")).alias("path"), F.format_string("%.6f", F.col("span") / 1e6).alias("seconds"), "span")
+    return segments, info
+
+
+def write_hls(tracks: DataFrame, packets: DataFrame, target_us: int = 2_000_000) -> DataFrame:
+    """file_id, name, content: every file as a playlist of transport-stream segments, which all its tracks share, and a master playlist.
+
+    The first video track (without one, the first track) is cut at key packets;
+    the others are cut where it is. tracks and packets are as media.tracks and
+    media.packets give them. A file is named by a hash of its id.
+    """
+    from . import hls
+
+    segments, info = hls_segments(tracks, packets, target_us)
     top = info.groupBy("file_id").agg(F.ceil(F.max("span") / 1e6).cast("long").alias("target"))
-    lists = hls.media_playlist(info, ["file_id"], top).select("file_id", F.concat(stem(F.col("file_id")), F.lit(".m3u8")).alias("name"), F.col("playlist").cast("binary").alias("content"))
+    lists = hls.media_playlist(info, ["file_id"], top).select("file_id", F.concat(_stem(F.col("file_id")), F.lit(".m3u8")).alias("name"), F.col("playlist").cast("binary").alias("content"))
     sizes = segments.select("file_id", "name", F.octet_length("content").alias("n")).join(info.select("file_id", F.col("path").alias("name"), "span"), ["file_id", "name"])
     rates = sizes.groupBy("file_id").agg(
         F.max(F.ceil(F.col("n") * 8e6 / F.greatest("span", F.lit(1)))).cast("long").alias("peak"), F.ceil(F.sum("n") * 8e6 / F.greatest(F.sum("span"), F.lit(1))).cast("long").alias("mean")
     )
-    line = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-INDEPENDENT-SEGMENTS\n\n#EXT-X-STREAM-INF:BANDWIDTH="), "peak", F.lit(",AVERAGE-BANDWIDTH="), "mean", F.lit("\n"), stem(F.col("file_id")), F.lit(".m3u8\n"))
-    masters = rates.select("file_id", F.concat(stem(F.col("file_id")), F.lit("-master.m3u8")).alias("name"), line.cast("binary").alias("content"))
+    line = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:3\n#EXT-X-INDEPENDENT-SEGMENTS\n\n#EXT-X-STREAM-INF:BANDWIDTH="), "peak", F.lit(",AVERAGE-BANDWIDTH="), "mean", F.lit("\n"), _stem(F.col("file_id")), F.lit(".m3u8\n"))
+    masters = rates.select("file_id", F.concat(_stem(F.col("file_id")), F.lit("-master.m3u8")).alias("name"), line.cast("binary").alias("content"))
     return segments.unionByName(lists).unionByName(masters)
