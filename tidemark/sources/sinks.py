@@ -16,6 +16,8 @@ from .model import MediaError, Packet, Track
 from .tags import build_id3v2, build_vorbis_comments
 
 TRACK_COLUMNS = ["file_id", "track_id", "type", "codec", "time_resolution", "language", "name", "decoder_description", "coded_width", "coded_height", "rotation", "channels", "sample_rate", "is_default", "ordinal"]
+#: Bytes of files that are sent on at once.
+FILES_BYTES = 4_000_000
 PACKET_COLUMNS = ["file_id", "track_id", "seq", "type", "pts_ticks", "duration", "data"]
 
 
@@ -80,23 +82,47 @@ def mux(format_: str, tracks: list[Track], payloads: dict[int, list[bytes]], tag
 def write_media(tracks: DataFrame, packets: DataFrame, format_: str) -> DataFrame:
     """file_id, content, length: one row per file. A file is one task's work; a file without packets is written too."""
 
-    def run(key: tuple, t: pa.Table, p: pa.Table) -> pa.Table:
-        made, payloads = [], {}
-        for r in sorted(t.to_pylist(), key=lambda r: r["ordinal"]):
-            made.append(Track(r["track_id"], r["type"], r["codec"], r["time_resolution"], language=r["language"] or "und", name=r["name"], description=r["decoder_description"], width=r["coded_width"], height=r["coded_height"], rotation=r["rotation"] or 0, channels=r["channels"], sample_rate=r["sample_rate"], default=bool(r["is_default"])))
-            payloads[r["track_id"]] = []
-        by = {x.track_id: x for x in made}
-        for r in sorted(p.to_pylist(), key=lambda r: (r["track_id"], r["seq"])):
-            track = by[r["track_id"]]
-            track.packets.append(Packet(len(track.packets), r["pts_ticks"], round((r["duration"] or 0) * track.resolution), 0, len(r["data"]), r["type"] == "key"))
-            payloads[r["track_id"]].append(r["data"])
-        content = mux(format_, made, payloads)
-        return pa.table({"file_id": pa.array([key[0].as_py()], pa.string()), "content": pa.array([content], pa.binary()), "length": pa.array([len(content)], pa.int64())})
-
-    # The id is made anew, as Spark can't tell apart a column that both tables have from one source.
-    own = tracks.select(F.concat("file_id", F.lit("")).alias("file_id"), *[c for c in TRACK_COLUMNS if c != "file_id"])
-    left, right = own.groupBy("file_id"), packets.select(*PACKET_COLUMNS).groupBy("file_id")
-    return left.cogroup(right).applyInArrow(run, "file_id string, content binary, length long")
+    def written(name: str | None, made: list[Track], payloads: dict[int, list[bytes]]) -> tuple[str | None, bytes]:
+        return name, mux(format_, made, payloads)
+
+    def batch_of(held: list[tuple[str | None, bytes]]) -> pa.RecordBatch:
+        names, contents = zip(*held, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary()), pa.array(map(len, contents), pa.int64())], names=["file_id", "content", "length"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A file's tracks come first, in order, then its packets: a file is written when the next one begins.
+        name, made, payloads, by, started = None, [], {}, {}, False
+        held, size = [], 0
+        for batch in batches:
+            head, *rest = (batch.column(c).to_pylist() for c in ("file_id", "_track", "track_id", "type", "pts_ticks", "duration", "data"))
+            for one, r, track_id, kind, ticks, duration, data in zip(head, *rest, strict=True):
+                if not started or one != name:
+                    if started:
+                        held.append(written(name, made, payloads))
+                        size += len(held[-1][1])
+                        if size > FILES_BYTES:
+                            yield batch_of(held)
+                            held, size = [], 0
+                    name, made, payloads, by, started = one, [], {}, {}, True
+                if r is not None:
+                    made.append(Track(track_id, r["type"], r["codec"], r["time_resolution"], language=r["language"] or "und", name=r["name"], description=r["decoder_description"], width=r["coded_width"], height=r["coded_height"], rotation=r["rotation"] or 0, channels=r["channels"], sample_rate=r["sample_rate"], default=bool(r["is_default"])))
+                    payloads[track_id], by[track_id] = [], made[-1]
+                else:
+                    track = by[track_id]
+                    track.packets.append(Packet(len(track.packets), ticks, round((duration or 0) * track.resolution), 0, len(data), kind == "key"))
+                    payloads[track_id].append(data)
+        if started:
+            held.append(written(name, made, payloads))
+        if held:
+            yield batch_of(held)
+
+    about = F.struct(*[c for c in TRACK_COLUMNS if c not in ("file_id", "track_id")])
+    first = tracks.select("file_id", "track_id", about.alias("_track"), F.col("ordinal").cast("long").alias("_order"))
+    later = packets.select(*PACKET_COLUMNS, F.col("track_id").cast("long").alias("_order"))
+    both = first.unionByName(later, allowMissingColumns=True)
+    # As for a cogroup, a file's rows are dealt to one task and sorted there, but they come as one stream.
+    rows = both.repartition("file_id").sortWithinPartitions("file_id", F.col("_track").isNull(), "_order", "seq")
+    return rows.select("file_id", "_track", "track_id", "type", "pts_ticks", "duration", "data").mapInArrow(run, "file_id string, content binary, length long")
 
 
 def save_files(files: DataFrame, folder: str, name: str = "name") -> DataFrame:
